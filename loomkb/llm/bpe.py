@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -183,7 +184,7 @@ class Encoder:
             yield "".join([x for x, _ in own])[:-1], b"".join([x for _, x in own])
 
 
-ENCODERS: dict[int, Encoder] = {}
+ENCODERS: dict[str, Encoder] = {}
 
 
 def _words(batches: Iterator[pa.RecordBatch], text_col: str, least: int) -> Iterator[pa.RecordBatch]:
@@ -225,12 +226,12 @@ def frequent_words(docs: DataFrame, text_col: str, most: int) -> list[str]:
     return words
 
 
-def _encode(spec_of, lexicon_of, id_col: str, text_col: str):
+def _encode(key: str, spec_of, lexicon_of, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if lexicon_of.id not in ENCODERS:
+        if key not in ENCODERS:
             ENCODERS.clear()
-            ENCODERS[lexicon_of.id] = Encoder(spec_of.value, lexicon_of.value)
-        encode = ENCODERS[lexicon_of.id]
+            ENCODERS[key] = Encoder(spec_of.value, lexicon_of.value)
+        encode = ENCODERS[key]
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
                 rows = list(encode([t or "" for t in part.column(text_col).to_pylist()]))
@@ -258,4 +259,4 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, *, tokenizer: str, id_c
     lexicon = compile_lexicon(dict(zip(raw, merges.many(raw), strict=True)))
     spec_of, lexicon_of = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(lexicon)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return narrow.mapInArrow(_encode(spec_of, lexicon_of, id_col, text_col), "doc_id long, ids string, decoded binary")
+    return narrow.mapInArrow(_encode(uuid.uuid4().hex, spec_of, lexicon_of, id_col, text_col), "doc_id long, ids string, decoded binary")
