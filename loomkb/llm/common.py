@@ -109,7 +109,7 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n] + np.uint64(k + 1))
-    return out
+    out = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(1, size):
+        out += words[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
+    return mix(out)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import Scratch
 from .exact_dedup import exact_dedup
+from .jaccard_join import shingle_components
 from .packing import pack_documents
+from .substrings import substring_dedup
 from .token_files import document_checksums, read_token_files, write_token_files
 from .url_filter import judge_urls
 
@@ -32,6 +34,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are 0.9 similar."""
+    return shingle_components(spark, table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     coded = bpe_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
@@ -52,6 +59,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_checksums(read_token_files(spark, files.base))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps when windows of 20 words that began earlier go."""
+    out = substring_dedup(spark, table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by its url's rule or its aliases."""
     return judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -60,9 +73,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_bpe": op5_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_token_files": op7_token_files,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
     }
 
