@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import Scratch
 from .exact_dedup import exact_dedup
@@ -59,6 +60,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_checksums(read_token_files(spark, files.base))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each row whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(spark, vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when windows of 20 words that began earlier go."""
     out = substring_dedup(spark, table(spark, sf_dir, "documents"), width=20)
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_token_files": op7_token_files,
+        "op8_nearest": op8_nearest,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
     }
