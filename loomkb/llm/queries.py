@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
@@ -13,6 +13,7 @@ from .common import Scratch
 from .exact_dedup import exact_dedup
 from .jaccard_join import shingle_components
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .substrings import substring_dedup
 from .token_files import document_checksums, read_token_files, write_token_files
 from .url_filter import judge_urls
@@ -35,6 +36,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document's labels must not be learnt from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels of those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = score_quality(spark, docs.select("doc_id", "text"), fit_quality(spark, docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are 0.9 similar."""
     return shingle_components(spark, table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -80,6 +94,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_quality": op2_quality,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_bpe": op5_bpe,
         "op6_exact_dedup": op6_exact_dedup,
