@@ -11,6 +11,7 @@ from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import Scratch
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .jaccard_join import shingle_components
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
@@ -49,6 +50,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are 0.9 similar."""
     return shingle_components(spark, table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_quality": op2_quality,
+        "op3_html_text": op3_html_text,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_bpe": op5_bpe,
         "op6_exact_dedup": op6_exact_dedup,
