@@ -139,7 +139,9 @@ def _postings(buckets: int, most: int = 1_000_000):
             bucket = (by % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             t, d, bucket = t[order], d[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+            if not len(bucket):
+                continue
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
                 yield int(bucket[s]), known, t[s:e].tobytes(), d[s:e].tobytes()
 
