@@ -1,0 +1,334 @@
+"""The operators of the training-data subpackage against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomkb.llm import rans
+from loomkb.llm.ann import CrossPolytope, hadamard, nearest_neighbours
+from loomkb.llm.bpe import bpe_round_trip
+from loomkb.llm.components import connected_components
+from loomkb.llm.common import Scratch
+from loomkb.llm.cutting_stock import plan
+from loomkb.llm.exact_dedup import exact_dedup, perfect_hash
+from loomkb.llm.html_text import extract_text, main_text
+from loomkb.llm.jaccard_join import shingle_components
+from loomkb.llm.lexicon import Lexicon, compile_lexicon
+from loomkb.llm.packing import pack_documents
+from loomkb.llm.quality import fit_quality, score_quality
+from loomkb.llm.substrings import substring_dedup
+from loomkb.llm.token_files import document_checksums, read_token_files, write_token_files
+from loomkb.llm.url_filter import judge_urls
+
+RNG = random.Random(7)
+WORDS = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 6))) for _ in range(400)]
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def edited(t, edits, seed):
+    rng, words = random.Random(seed), t.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"x{rng.random()}"
+    return " ".join(words)
+
+
+def edge_texts():
+    base, passage, rng = prose(200, 1), prose(60, 2), random.Random(8)
+    texts = [None, "", " \n\t", "one", "one two", "ONE two", base, base, base.upper(), prose(3000, 3), "a " * 50, "é 中文 😀 <|endoftext|> x"]
+    texts += [edited(base, k % 5, k) for k in range(30)]  # one group of near copies
+    texts += [prose(25, 100 + k) + " " + passage + " " + prose(5, 200 + k) for k in range(20)]  # one shared passage
+    texts += [prose(rng.randint(1, 120), 300 + k) for k in range(30)]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 7, 7, 7, 7, 7) for i, t in edge_texts()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, digest long, sequence_id long, kept int, lists int")
+
+
+def no_rows(docs):
+    return docs.where("doc_id < 0")
+
+
+def path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def library_ids(name, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path(name))
+    t.no_truncation()
+    t.no_padding()
+    return t, [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_packing(spark, docs):
+    _, ids = library_ids("word_bpe_49k.json", [t or "" for _, t in edge_texts()])
+    want = {i: x + [2] for (i, _), x in zip(edge_texts(), ids, strict=True)}
+    rows = pack_documents(spark, docs, tokenizer=path("word_bpe_49k.json"), capacity=256).collect()
+    pieces, places = {}, {}
+    for r in rows:
+        assert bytes(r["ids"]) == np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, x in want.items():
+        assert sum(n for _, n in pieces[i]) == len(x) and len({s for s, _ in pieces[i]}) == len(pieces[i])
+    for own in places.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 256
+    assert len(places) <= 1.15 * sum(map(len, want.values())) / 256 + 1
+    assert pack_documents(spark, no_rows(docs), tokenizer=path("word_bpe_49k.json")).count() == 0
+
+
+def test_patterns_cover_all_lengths():
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 100, 60))
+    counts = rng.integers(1, 50, len(lengths))
+    p = plan(lengths, counts, 100)
+    room = {}
+    for length, n, before in zip(lengths, counts, p["before"], strict=True):
+        for rank in range(before, before + n):
+            s = np.searchsorted(p["start"], rank, side="right") - 1
+            r = rank - p["start"][s]
+            key = (p["base"][s] + r // p["per"][s], p["slot"][s] + r % p["per"][s])
+            assert key not in room
+            room[key] = length
+    total = {}
+    for (seq, _), length in room.items():
+        total[seq] = total.get(seq, 0) + length
+    assert max(total.values()) <= 100 and len(room) == counts.sum()
+    assert len(total) <= 1.1 * (lengths * counts).sum() / 100 + 2
+
+
+def test_quality_learns_held_out_labels(spark):
+    good = [(k, prose(RNG.randint(20, 80), k)) for k in range(150)]
+    bad = [(1000 + k, " ".join(w + RNG.choice(["###", "$$$", "!!"]) for w in prose(RNG.randint(20, 80), k).split())) for k in range(60)]
+    rows = spark.createDataFrame([*good, *bad, (5000, None), (5001, "")], "doc_id long, text string").withColumn("score", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i < 1000), None) for i, _ in good + bad if i % 2], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in score_quality(spark, rows, fit_quality(spark, rows, labels)).collect()}
+    assert len(found) == 212 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found.values())
+    held = [i for i, _ in good + bad if not i % 2]
+    assert sum(found[i]["predicted"] == int(i < 1000) for i in held) >= 0.97 * len(held)
+    alone = score_quality(spark, rows, fit_quality(spark, rows, labels.where("doc_id < 0")))
+    assert alone.count() == 212 and fit_quality(spark, no_rows(rows), labels) is not None
+
+
+PAGE = (
+    "<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies here</div>"
+    "<article><h1>A &lt;b&gt;</h1><p>One&nbsp;two <b>three</b>\n four.<br><p>Short.<aside>see</aside><form><p>Name</p></form><script>var x='</p>'</script><!-- no --><div id=comments><p>Nice!</p></div></article>"
+    "<div class=sidebar>Side</div><footer>c</footer></body></html>"
+)
+
+
+def test_html(spark):
+    assert main_text(PAGE) == "A <b>\nOne two three four.\nShort."
+    assert main_text("") == "" and main_text("plain & <") == ""
+    long = "the quick one and the other of them are in this house and it is not so bad for all of us to be here " * 3
+    loose = f"<body><div><a href=x>Menu</a></div><p>{long}</p><p>In between.</p><p>{long}</p><div><a href=y>More</a></div>"
+    assert main_text(loose) == f"{long.strip()}\nIn between.\n{long.strip()}"
+    rows = spark.createDataFrame([(1, PAGE, "u", 3), (2, None, None, 4), (3, "", "u", 5), (4, "<article>" + "x" * 100_000, "u", 6)], "page_id long, html string, url string, text int")
+    found = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_text(rows).collect()}
+    assert found == {1: (main_text(PAGE), 32), 2: ("", 0), 3: ("", 0), 4: ("x" * 100_000, 100_000)}
+
+
+def plain_components(rows, size, percent):
+    sets, parent = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = {b" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = [i for i, _ in rows if sets[i]]
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and find(i) != find(j):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i, _ in rows}
+
+
+@pytest.mark.parametrize(("size", "percent", "rare"), [(3, 90, 48), (3, 90, 4), (5, 80, 5)])
+def test_jaccard_components(spark, docs, size, percent, rare):
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_components(spark, docs, size=size, percent=percent, rare=rare).collect()}
+    assert found == plain_components(edge_texts(), size, percent)
+
+
+def test_jaccard_without_rows(spark, docs):
+    assert shingle_components(spark, no_rows(docs)).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 51), (51, 50), (7, 7), (None, 1)], "u long, v long")
+    found = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "test")).collect()}
+    assert found == {**{k: 0 for k in range(41)}, 50: 50, 51: 50}
+
+
+def test_bpe_round_trip(spark, docs):
+    t, ids = library_ids("byte_bpe_50k.json", [t or "" for _, t in edge_texts()])
+    found = {r["doc_id"]: r for r in bpe_round_trip(spark, docs, tokenizer=path("byte_bpe_50k.json"), lexicon_words=100).collect()}
+    for (i, _), x in zip(edge_texts(), ids, strict=True):
+        assert found[i]["ids"] == ",".join(map(str, x)) and bytes(found[i]["decoded"]) == t.decode(x, skip_special_tokens=False).encode()
+    assert bpe_round_trip(spark, no_rows(docs), tokenizer=path("byte_bpe_50k.json")).count() == 0
+
+
+def test_lexicon_shares_suffixes():
+    words = {w.encode(): [k, k + 1] for k, w in enumerate(sorted(set(WORDS)))}
+    lexicon = Lexicon.mapped(compile_lexicon(words))
+    numbers = lexicon.numbers([*words, b"nothing", b""])
+    assert [lexicon.ids_of(n).tolist() for n in numbers[:-2]] == list(words.values()) and numbers[-2:].tolist() == [-1, -1]
+
+
+def test_exact_dedup(spark, docs):
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups = {}
+    for i, t in edge_texts():
+        groups.setdefault(lower(t), []).append(i)
+    found = {r["doc_id"]: r for r in exact_dedup(spark, docs, bucket_keys=10).collect()}
+    for i, t in edge_texts():
+        own, r = groups[lower(t)], found[i]
+        assert (r["keep_id"], r["group_size"], r["kept"], bytes(r["digest"]).hex()) == (max(own), len(own), i == max(own), hashlib.sha256(lower(t).encode()).hexdigest())
+    assert exact_dedup(spark, no_rows(docs)).count() == 0
+
+
+def test_perfect_hash_fills_its_slots():
+    keys = np.random.default_rng(3).integers(0, 2**63, (5000, 4)).astype(np.uint64)
+    assert sorted(perfect_hash(keys)[1].tolist()) == list(range(5000))
+
+
+def test_token_files(spark, docs, tmp_path):
+    _, ids = library_ids("byte_bpe_50k.json", [t or "" for _, t in edge_texts()])
+    write_token_files(spark, docs, str(tmp_path / "files"), tokenizer=path("byte_bpe_50k.json"), block_ids=500)
+    found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in document_checksums(read_token_files(spark, str(tmp_path / "files"))).collect()}
+    at = 0
+    for (i, _), x in zip(edge_texts(), ids, strict=True):
+        assert found[i] == (at, len(x) + 1, crc([*x, 2]))
+        at += len(x) + 1
+
+
+def test_rans_blocks():
+    rng = np.random.default_rng(5)
+    for n in (1, 63, 1000, 200_000):
+        ids = rng.zipf(1.3, n).clip(1, 40_000).astype(np.uint32)
+        symbols, counts = np.unique(ids, return_counts=True)
+        table = rans.Table.unpack(rans.Table(symbols.astype(np.int64), counts).pack())
+        raw = rans.encode_block(ids, table)
+        assert (rans.decode_block(raw, table) == ids).all()
+        broken = bytearray(raw)
+        broken[-1] ^= 1
+        with pytest.raises(ValueError):
+            rans.decode_block(bytes(broken), table)
+    later = rans.decode_block(raw, table, checkpoint=1)
+    assert (later == ids[-len(later) :]).all() and len(later) < len(ids)
+    assert rans.crc32_join(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
+    x[100:200] = x[100]  # one hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (603, []), (None, x[0].tolist())]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
+    found = {}
+    for r in nearest_neighbours(spark, v, v.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(found) == set(range(0, 600, 20))
+    hit = 0
+    for q, near in found.items():
+        s = (x[q] * x).sum(axis=1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(600), -s))[:20]
+        hit += len({i for i, _ in near} & set(want.tolist()))
+        assert len(near) == 20 and near == sorted(near, key=lambda t: (-t[1], t[0]))
+        assert all(abs(s[i] - score) < 1e-12 for i, score in near)
+    assert hit >= 0.9 * 20 * len(found)
+    assert nearest_neighbours(spark, v.where("vec_id < 0"), v.where("vec_id < 0")).count() == 0
+    assert nearest_neighbours(spark, v.where("vec_id < 5"), v.where("vec_id = 0")).count() == 4
+
+
+def test_rotations_keep_lengths():
+    x = np.random.default_rng(2).normal(size=(5, 64))
+    assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+    family = CrossPolytope(60, 2, 2)
+    codes = family.buckets(x[:, :60], 1, 9)
+    assert codes.shape == (5, 9) and all(len(set(r)) == 9 for r in codes.tolist())
+    assert (codes[:, 0] == family.buckets(x[:, :60], 1, 1)[:, 0]).all()
+
+
+def plain_substrings(rows, width):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        words = (t or "").encode().split()
+        covered = [False] * len(words)
+        for s in range(len(words) - width + 1):
+            key = tuple(words[s : s + width])
+            if key in seen:
+                covered[s : s + width] = [True] * width
+            seen.add(key)
+        out[i] = (len(words), sum(covered), b" ".join(w for w, c in zip(words, covered, strict=True) if not c).decode())
+    return out
+
+
+@pytest.mark.parametrize("width", [20, 7])
+def test_substrings(spark, docs, width):
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(spark, docs, width=width).collect()}
+    assert found == plain_substrings(edge_texts(), width)
+
+
+def test_substrings_extend_heavy_prefixes(spark, docs, monkeypatch):
+    from loomkb.llm import substrings
+
+    monkeypatch.setattr(substrings, "GROUP", 5)  # the plan is made by the driver
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(spark, docs, width=20).collect()}
+    assert found == plain_substrings(edge_texts(), 20)
+    assert substring_dedup(spark, no_rows(docs)).count() == 0
+
+
+def test_urls(spark):
+    link = "<link rel=canonical href='{0}'>"
+    rows = [
+        (1, "http://a.example.org/es/x", None),
+        (2, "HTTP://A.Example.ORG/es/x?q#f", ""),
+        (3, "http://b.net/1", link.format("http://b.net/2")),
+        (4, "http://b.net/2", link.format("http://x.com/de/1")),
+        (5, "http://x.com/de/1", ""),
+        (6, "http://c.net/1", link.format("/2")),
+        (7, "http://c.net/2", link.format("//x.com/de/9")),
+        (8, "http://c.net/3", link.format("http://c.net/1") + "<meta http-equiv=refresh content='0;url=http://x.com/fr/1'>"),
+        (9, None, None),
+        (10, "no scheme", None),
+        (11, "http://sub.example.org/en/12", None),
+        (12, "http://notexample.org/es/", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit(1))
+    found = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in judge_urls(spark, pages).collect()}
+    assert found[1] == ("a.example.org", "example.org/es/", "block") and found[2][1:] == ("example.org/es/", "block")
+    assert [found[k][2] for k in (3, 4, 5)] == ["block"] * 3  # blocked through aliases
+    assert [found[k][2] for k in (6, 7, 8)] == ["allow"] * 3  # an allowed member comes first
+    assert found[9] == ("", None, "allow") and found[10] == ("", None, "allow")
+    assert found[11][1:] == ("example.org/en/1", "block") and found[12][1:] == ("org/", "allow")
+    moved = judge_urls(spark, pages, redirects=spark.createDataFrame([("http://new.net/", "http://x.com/de/1")], "source string, target string"), html_col=None)
+    assert moved.count() == 12
