@@ -112,5 +112,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP4_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {SPLIT.format(LOWER)} AS ws FROM documents),
+tok AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(2, len(ws) - 1))) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM tok a JOIN tok b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r USING (doc_id)"""
+
+OP6_SQL = f"""WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+OP9_SQL = f"""WITH w AS (SELECT doc_id, {SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS win FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS i) WHERE len(ws) >= 20),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+covered AS (SELECT DISTINCT doc_id, i + k AS i, true AS gone FROM again, (SELECT unnest(range(0, 20)) AS k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS k FROM words LEFT JOIN covered USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+#: The tables' pages declare no canonical link and no redirect, so rules alone decide in SQL.
+OP10_SQL = r"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(v, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (SELECT page_id, h || s AS rule, v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_jaccard_join": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
