@@ -46,12 +46,14 @@ BAD_NAMES = frozenset(
 OUTER_NAMES = frozenset("header".split())
 GOOD_NAMES = frozenset("article articlebody articletext entry main maincontent post postbody story storybody".split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOPS_LOW, STOPS_HIGH = 0.30, 0.32
+STOPS_LOW, STOPS_HIGH = 0.06, 0.12
 LINKS_HIGH = 0.2
 
 TAG = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+HEADING = re.compile("h[1-6]")
+LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
@@ -60,6 +62,7 @@ class Block:
     text: str
     link_chars: int
     place: str  # what the elements around it say: good, bad or nothing
+    heading: bool = False
 
 
 def _place(tag: str, attributes: str, inside: str) -> str:
@@ -88,7 +91,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(joined, links, inside))
+                found.append(Block(joined, links, inside, any(HEADING.fullmatch(x) for x, _ in stack)))
             text.clear()
         links = 0
 
@@ -160,11 +163,11 @@ def first_pass(block: Block) -> str:
         return "bad"
     if n < LENGTH_LOW:
         return "short"
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()[]") in STOP_WORDS for w in words) / len(words)
+    words = LETTERS.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH:
         return "good" if n > LENGTH_HIGH else "near"
-    return "near" if stops >= STOPS_LOW else "bad"
+    return "near" if stops >= STOPS_LOW or n > LENGTH_HIGH and not block.link_chars else "bad"
 
 
 def main_text(page: str) -> str:
@@ -174,8 +177,8 @@ def main_text(page: str) -> str:
     adverts, forms, notices and comments are left out, and what an article
     or main element holds besides is kept, if the page has one. The first pass
     decides all others; in the second, near-good and short blocks take the
-    label of their nearest decided neighbours, a short one only if both say good or
-    the nearer side is a good block beside it.
+    label of their nearest decided neighbours: a near-good one if either is good, a
+    short one if both are, or one is and a near-good block or, below a heading, text follows.
     """
     blocks = blocks_of(page)
     if any(b.place == "good" for b in blocks):
@@ -196,7 +199,8 @@ def main_text(page: str) -> str:
             sides = [neighbour(k, s, ("good", "bad")) for s in (-1, 1)]
             near = [neighbour(k, s, ("good", "bad", "near")) for s in (-1, 1)]
             both = sides[0] == sides[1] == "good"
-            decided[k] = "good" if both or "good" in sides and "near" in near else "bad"
+            headed = blocks[k].heading and near[1] in ("good", "near") and "good" in sides
+            decided[k] = "good" if both or headed or "good" in sides and "near" in near else "bad"
         elif label == "near":
             decided[k] = "good" if "good" in [neighbour(k, s, ("good", "bad")) for s in (-1, 1)] else "bad"
     if "good" not in decided:  # nothing long enough to decide by: near-good blocks stand for themselves
