@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import broadcast_if_small
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -44,14 +46,17 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 10, *, keep: C
 
 
 def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, rank) for a bounded table of queries (query_id, query), by brute force over all vectors."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("query_id <> vec_id")
+    """(query_id, vec_id, score, rank) for a stated table of queries (query_id, query), each against all vectors.
+
+    Queries are broadcast if they are few, and meet the vectors in blocks otherwise.
+    """
+    pairs = vectors.crossJoin(broadcast_if_small(queries)).where("query_id <> vec_id")
     hits = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= page_size(k))
 
 
 def semantic_duplicates(vectors: DataFrame, candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """(candidate_id, vec_id, score) of stored vectors that a bounded table of new ones (candidate_id, query) repeats, themselves aside."""
-    pairs = vectors.crossJoin(F.broadcast(candidates)).where("candidate_id <> vec_id")
+    """(candidate_id, vec_id, score) of stored vectors that a stated table of new ones (candidate_id, query) repeats, themselves aside."""
+    pairs = vectors.crossJoin(broadcast_if_small(candidates)).where("candidate_id <> vec_id")
     return pairs.select("candidate_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score")).where(F.col("score") >= threshold)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import chunking, text
 from .operators import bm25, conversation, evaluation, ingest, lifecycle, ranking, relational, vectors
+from .operators.sizes import broadcast_if_small
 from .plans.hybrid import hybrid_search, lexical_reranker, rendered
 from .session import table
 from .sources.files import grep_lines, read_lines
@@ -125,7 +126,7 @@ def _chunks(spark, d):
 
 def _asked(spark, d):
     kbs = table(spark, d, "documents").select(F.col("lang").alias("kb_id")).distinct()
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).crossJoin(F.broadcast(kbs))  # a row a language
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).crossJoin(broadcast_if_small(kbs))  # a row a language
 
 
 @query(f"WITH {BM25_CTES} SELECT kb_id, n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs d WHERE d.kb_id = c.kb_id) AS n_tokens FROM corpus c")
@@ -228,7 +229,7 @@ def _legs(spark, d):
     chunks = _chunks(spark, d)
     bm = bm25.retrieve(bm25.build_index(chunks), chunks, _asked(spark, d), 30)
     v = table(spark, d, "embeddings")
-    asked = v.join(F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id")
+    asked = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id")
     vec = vectors.nearest_of_queries(v, asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 30)
     return vec.withColumnRenamed("vec_id", "chunk_id"), bm
 
@@ -299,7 +300,7 @@ SELECT query_id, round(coalesce(found / n_rel, 0), 6) AS recall, round(coalesce(
 def ir_metrics(spark, d):
     v, asked = table(spark, d, "embeddings"), _label_queries(spark, d)
     hits = vectors.nearest_of_queries(v, asked.select("query_id", "query"), 10).withColumnRenamed("vec_id", "doc_id")
-    rel = v.join(F.broadcast(asked), v["label"] == asked["q_label"]).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
+    rel = v.join(asked, v["label"] == asked["q_label"]).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
     return evaluation.metrics(hits, rel, 10).select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
 
 
@@ -339,8 +340,8 @@ def role_names_multimap(spark, d):
 
 @query("SELECT r_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0 AND c_custkey <> 1 GROUP BY 1")
 def rbac_three_way_join(spark, d):
-    rows = table(spark, d, "customer").where("c_acctbal > 0 AND c_custkey <> 1").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "customer").where("c_acctbal > 0 AND c_custkey <> 1").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey")
@@ -437,7 +438,7 @@ def recursive_tree(spark, d):
 
 @query("SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation")
 def cross_join_grants(spark, d):
-    return table(spark, d, "region").select("r_regionkey").crossJoin(F.broadcast(table(spark, d, "nation").select("n_nationkey")))
+    return table(spark, d, "region").select("r_regionkey").crossJoin(broadcast_if_small(table(spark, d, "nation").select("n_nationkey")))
 
 
 @query("SELECT user_id, list_sort(list(DISTINCT event_type)) AS permissions FROM events WHERE event_type <> 'error' GROUP BY 1")
