@@ -78,3 +78,33 @@ def replay(events: DataFrame, since: int, capacity: int = 1024) -> DataFrame:
     """Events of each run from ``since`` on, as far as its ring of the last ``capacity`` still holds them."""
     last = events.groupBy("run_id").agg(F.max("seq").alias("_last"))
     return events.join(last, "run_id").where(F.col("seq") >= F.greatest(F.lit(since), F.col("_last") - (capacity - 1))).drop("_last")
+
+
+def extract(contents: Column, chars: int = 80, most: int = 20) -> Column:
+    """An extractive summary: the openings of the first messages."""
+    return F.array_join(F.transform(F.slice(contents, 1, most), lambda c: F.left(c, F.lit(chars))), "\n")
+
+
+def autocompact(messages: DataFrame, most: int, recent: int = RECENT, at: float = AUTO_AT, summarise=extract) -> DataFrame:
+    """The middle of threads whose token ratio has passed ``at`` becomes one summary message at its first seq."""
+    own = Window.partitionBy("thread_id")
+    rows = with_zones(messages, recent).withColumn("_ratio", F.sum(token_estimate(F.col("content"))).over(own) / F.lit(float(most)))
+    goes = (F.col("_ratio") > at) & (F.col("zone") == "middle")
+    kept = rows.where(~goes).select("thread_id", "seq", "role", "content")
+    middle = rows.where(goes).groupBy("thread_id").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("m"))
+    summary = F.concat(F.lit("[summary of earlier messages]\n"), summarise(F.transform("m", lambda s: s["content"])))
+    return kept.unionByName(middle.select("thread_id", "seq", F.lit("system").alias("role"), summary.alias("content")))
+
+
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """(message_id, index, name, arguments) of streamed tool-call pieces (message_id, index, seq, name, arguments)."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "arguments")))
+    out = deltas.groupBy("message_id", "index").agg(F.max("name").alias("name"), parts.alias("p"))
+    return out.select("message_id", "index", "name", F.array_join(F.transform("p", lambda s: F.coalesce(s["arguments"], F.lit(""))), "").alias("arguments"))
+
+
+def paired_calls(parts: DataFrame) -> DataFrame:
+    """Tool calls with their results by id; calls without one have a null result."""
+    calls = parts.where("type = 'tool_call'").select("run_id", "id", F.col("content").alias("call"))
+    results = parts.where("type = 'tool_result'").select("run_id", "id", F.col("content").alias("result"))
+    return calls.join(results, ["run_id", "id"], "left")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Transitions of tickets and of articles (event, from, to), retry base in seconds and most retries.
-TICKET_STEPS = [("start", 1, 2), ("request_info", 2, 3), ("resolve", 2, 4), ("resolve", 3, 4), ("close", 4, 5), ("close", 1, 5), ("close", 2, 5), ("close", 3, 5)]
-ARTICLE_STEPS = [("submit", 0, 1), ("approve", 1, 2), ("reject", 1, 0), ("publish", 2, 4), ("disable", 4, 5), ("restore", 5, 0)]
+TICKET_STEPS = [("start", 1, 2), ("request_info", 2, 3), ("supplement", 3, 2), ("resolve", 2, 4), ("close", 1, 5), ("close", 2, 5), ("close", 3, 5), ("close", 6, 5), ("withdraw", 1, 6)]
+ARTICLE_STEPS = [("submit", 1, 2), ("approve", 2, 3), ("reject", 2, 5), ("publish", 3, 4), ("disable", 4, 0), ("restore", 0, 3)]
 RETRY_BASE, MOST_RETRIES = 30, 3
 
 
