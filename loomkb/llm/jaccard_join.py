@@ -31,7 +31,7 @@ EXTRA = 24
 #: Classes of frequent tokens within which combinations are made; one for short documents.
 CLASSES = 16
 #: Postings that one task groups, on average.
-BUCKET_POSTINGS = 600_000
+BUCKET_POSTINGS = 400_000
 #: Documents of a block that is compared as a whole.
 BLOCK = 400
 
@@ -119,7 +119,7 @@ def _sets(id_col: str, text_col: str, size: int):
     return run
 
 
-def _postings(buckets: int, most: int = 1_000_000):
+def _postings(buckets: int, rare: int, most: int = 600_000):
     """Rows (bucket, tokens, docs) of a task's prefix tokens, sorted by token within a bucket.
 
     A token that is frequent in this chunk alone is known to be frequent: its
@@ -132,8 +132,8 @@ def _postings(buckets: int, most: int = 1_000_000):
         tokens, docs = tokens[order], docs[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         sizes = np.diff(np.r_[first, len(tokens)])
-        hot = np.repeat(sizes >= RARE, sizes)
-        marks = tokens[first[sizes >= RARE]]
+        hot = np.repeat(sizes >= rare, sizes)
+        marks = tokens[first[sizes >= rare]]
         plain = np.concatenate([tokens[~hot], marks]), np.concatenate([docs[~hot], np.full(len(marks), -1, np.int64)])
         for known, (t, d), by in ((False, plain, plain[0]), (True, (tokens[hot], docs[hot]), tokens[hot] + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))):
             bucket = (by % np.uint64(buckets)).astype(np.int64)
@@ -180,42 +180,46 @@ def _pairs_of_runs(docs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tu
     return np.concatenate(left), np.concatenate(right)
 
 
-def _group_postings(group: pa.Table) -> pa.Table:
+def _group_postings(rare: int):
     """One bucket: pairs of documents that share rare tokens (kind 0: a, b, times), and who holds frequent ones (kind 1: token, doc)."""
-    known = group.column("known").to_pylist()
-    raw_t, raw_d = group.column("tokens").to_pylist(), group.column("docs").to_pylist()
-    join = lambda raw, flag, kind: np.frombuffer(b"".join(x for x, k in zip(raw, known, strict=True) if k == flag), kind)
-    tokens, docs = join(raw_t, False, np.uint64), join(raw_d, False, np.int64)
-    order = np.argsort(tokens, kind="stable")
-    tokens, docs = tokens[order], docs[order]
-    a = b = times = np.zeros(0, np.int64)
-    ft, fd = [join(raw_t, True, np.uint64)], [join(raw_d, True, np.int64)]
-    if len(tokens):
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        sizes = np.diff(np.r_[first, len(tokens)])
-        marked = np.minimum.reduceat(docs, first) < 0
-        hot = marked | (sizes >= RARE)
-        rows = np.repeat(hot, sizes) & (docs >= 0)
-        ft.append(tokens[rows])
-        fd.append(docs[rows])
-        some = ~hot & (sizes > 1)
-        a, b = _pairs_of_runs(docs, first[some], sizes[some])
-        if len(a):
-            both = np.stack([a, b], axis=1)
-            order = np.lexsort((b, a))
-            both = both[order]
-            new = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
-            times = np.diff(np.r_[new, len(both)])
-            a, b = both[new, 0], both[new, 1]
-    ft, fd = np.concatenate(ft).view(np.int64), np.concatenate(fd)
-    return pa.table(
-        {
-            "kind": pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(len(ft), np.int32)]),
-            "a": pa.array(np.r_[a, ft]),
-            "b": pa.array(np.r_[b, fd]),
-            "times": pa.array(np.r_[times, np.zeros(len(ft), np.int64)]),
-        }
-    )
+
+    def run(group: pa.Table) -> pa.Table:
+        known = group.column("known").to_pylist()
+        raw_t, raw_d = group.column("tokens").to_pylist(), group.column("docs").to_pylist()
+        join = lambda raw, flag, kind: np.frombuffer(b"".join(x for x, k in zip(raw, known, strict=True) if k == flag), kind)
+        tokens, docs = join(raw_t, False, np.uint64), join(raw_d, False, np.int64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, docs = tokens[order], docs[order]
+        a = b = times = np.zeros(0, np.int64)
+        ft, fd = [join(raw_t, True, np.uint64)], [join(raw_d, True, np.int64)]
+        if len(tokens):
+            first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            sizes = np.diff(np.r_[first, len(tokens)])
+            marked = np.minimum.reduceat(docs, first) < 0
+            hot = marked | (sizes >= rare)
+            rows = np.repeat(hot, sizes) & (docs >= 0)
+            ft.append(tokens[rows])
+            fd.append(docs[rows])
+            some = ~hot & (sizes > 1)
+            a, b = _pairs_of_runs(docs, first[some], sizes[some])
+            if len(a):
+                both = np.stack([a, b], axis=1)
+                order = np.lexsort((b, a))
+                both = both[order]
+                new = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
+                times = np.diff(np.r_[new, len(both)])
+                a, b = both[new, 0], both[new, 1]
+        ft, fd = np.concatenate(ft).view(np.int64), np.concatenate(fd)
+        return pa.table(
+            {
+                "kind": pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(len(ft), np.int32)]),
+                "a": pa.array(np.r_[a, ft]),
+                "b": pa.array(np.r_[b, fd]),
+                "times": pa.array(np.r_[times, np.zeros(len(ft), np.int64)]),
+            }
+        )
+
+    return run
 
 
 def _combinations(rule: Rule, short: int):
@@ -295,7 +299,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _block_links(rule: Rule):
     """Links of one block pair that join different components, at most one fewer than there are documents."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
 
         def find(x):
@@ -326,7 +330,7 @@ def _block_links(rule: Rule):
 
 
 def shingle_components(
-    spark: SparkSession, docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -335,8 +339,9 @@ def shingle_components(
     smallest id. Documents with equal sets are one class, which its smallest id
     represents. Pairs that share enough rare prefix tokens are verified on whole
     sets. Documents dominated by frequent tokens meet in the buckets of their
-    combinations: each is verified against the bucket's pivot, and documents
-    that this leaves in different components are compared in blocks, so that a
+    combinations, each with a pivot. Each document is verified against its most
+    likely partner first; pairs and bucket members that this leaves in
+    different components are compared too, the latter in blocks, so that a
     large group of copies costs in proportion to its size and no pair is lost.
 
     Null, empty and word-less texts have no shingles and are linked with
@@ -355,8 +360,8 @@ def shingle_components(
     reps = reps.where(F.col("own") == F.col("digest")).select("doc_id", "kept", "n")
     total = scanned.agg(F.sum(F.octet_length("kept")) / 8).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_POSTINGS))
-    posted = reps.select("doc_id", "kept").mapInArrow(_postings(buckets), "bucket long, known boolean, tokens binary, docs binary")
-    grouped = scratch.write(posted.groupBy("bucket").applyInArrow(_group_postings, "kind int, a long, b long, times long"), "grouped")
+    posted = reps.select("doc_id", "kept").mapInArrow(_postings(buckets, rare), "bucket long, known boolean, tokens binary, docs binary")
+    grouped = scratch.write(posted.groupBy("bucket").applyInArrow(_group_postings(rare), "kind int, a long, b long, times long"), "grouped")
 
     held = grouped.where("kind = 1").groupBy(F.col("b").alias("doc")).agg(F.collect_set("a").alias("held"))
     held = scratch.write(held.join(classes.select("doc", "n"), "doc"), "held")
@@ -365,30 +370,32 @@ def shingle_components(
     least = _least_column(rule, F.least("na", "nb"))
     pairs = pairs.join(facts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("often").alias("oa")), "a")
     pairs = pairs.join(facts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("often").alias("ob")), "b")
-    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(F.col("times") + F.least("oa", "ob") >= least)
-    pairs = scratch.write(pairs.select("a", "b"), "pairs")
+    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("common", F.col("times") + F.least("oa", "ob")).where(F.col("common") >= least)
+    pairs = scratch.write(pairs.select("a", "b", "common"), "pairs")
 
     heavy = held.where(F.size("held") >= _least_column(rule, F.col("n")))
     members = scratch.write(heavy.select("doc", "n", "held").mapInArrow(_combinations(rule, short), "sig long, doc long"), "members")
     weighed = members.join(heavy.select("doc", (F.col("n") - F.size("held")).alias("own")), "doc")
     pivots = weighed.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("own", "doc"))["doc"].alias("pivot")).where("m > 1")
-    pivots = scratch.write(pivots, "pivots")
-    stars = members.join(pivots, "sig").where("doc <> pivot")
-    stars = stars.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    checked = scratch.write(pairs.union(stars).distinct(), "checked")
+    around = scratch.write(members.join(pivots, "sig").groupBy("pivot", "doc").agg(F.count("*").alias("common")), "around")
 
-    needed = checked.select(F.col("a").alias(id_col)).union(checked.select("b")).union(members.select("doc")).distinct()
+    # one likely partner for each document first; what that connects needs no further comparison
+    nearest = pairs.union(around.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "common"))
+    nearest = nearest.groupBy("b").agg(F.max(F.struct("common", "a"))["a"].alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    nearest = scratch.write(nearest.distinct(), "nearest")
+    needed = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).union(around.select("doc")).distinct()
     sets = narrow.join(needed, id_col, "left_semi").mapInArrow(_sets(id_col, text_col, size), "doc long, tokens binary")
     sets = scratch.write(sets, "sets")
-    links = scratch.write(_verify(checked, sets, rule), "links")
+    links = scratch.write(_verify(nearest, sets, rule), "links")
     first = scratch.write(connected_components(links, scratch, "cc"), "first")
 
-    placed = members.join(first, members["doc"] == first["node"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = scratch.write(placed, "placed")
-    open_sigs = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    mains = pivots.join(first, pivots["pivot"] == first["node"], "left").select("sig", F.coalesce("component", "pivot").alias("main"))
-    more = scratch.write(_cross(placed.join(open_sigs, "sig").join(mains, "sig"), sets, rule), "more")
-    final = connected_components(links.union(more), scratch, "cc2")
+    comp = lambda df, c, name: df.join(first.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    rest = comp(comp(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    more = scratch.write(_verify(rest, sets, rule), "more")
+    placed = scratch.write(comp(comp(around.select("pivot", "doc"), "doc", "comp"), "pivot", "main"), "placed")
+    open_groups = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("pivot")
+    across = scratch.write(_cross(placed.join(open_groups, "pivot"), sets, rule), "across")
+    final = connected_components(links.union(more).union(across), scratch, "cc2")
 
     named = classes.join(final, classes["doc"] == final["node"], "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = scanned.select("doc_id", "n", "digest").join(named, "digest", "left")
@@ -411,14 +418,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _cross(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between documents of one bucket whose components differ.
+    """Links between documents that share a pivot and whose components differ.
 
-    Documents outside the pivot's component meet each block of the bucket;
+    Buckets with one pivot are taken together, as copies of one text share many.
+    Documents outside the pivot's component meet each block of the others;
     those within it are not compared with each other.
     """
-    rows = placed.select("sig", "doc", "comp", (F.col("comp") != F.col("main")).alias("outer"))
-    sizes = rows.groupBy("sig").agg(F.count_if("outer").alias("outers"), F.count_if(~F.col("outer")).alias("inners"))
-    rows = rows.join(sizes, "sig")
+    rows = placed.select("pivot", "doc", "comp", (F.col("comp") != F.col("main")).alias("outer"))
+    sizes = rows.groupBy("pivot").agg(F.count_if("outer").alias("outers"), F.count_if(~F.col("outer")).alias("inners"))
+    rows = rows.join(sizes, "pivot")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     rows = rows.withColumn("nb", blocks("outers")).withColumn("ni", blocks("inners"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("outer"), F.col("nb")).otherwise(F.col("ni"))).cast("int"))
@@ -429,5 +437,5 @@ def _cross(placed: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     as_right = F.filter(F.transform(every(F.col("nb")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))), lambda s: s["i"] < F.col("own"))
     inner = F.transform(every(F.col("nb")), lambda i: F.struct(i.alias("i"), (F.col("nb") + F.col("own")).alias("j"), F.lit(1).alias("side")))
     rows = rows.withColumn("at", F.explode(F.when(F.col("outer"), F.concat(as_left, as_right)).otherwise(inner)))
-    rows = rows.select("sig", "doc", "comp", "at.i", "at.j", "at.side").join(sets, "doc")
-    return rows.groupBy("sig", "i", "j").applyInPandas(_block_links(rule), "u long, v long")
+    rows = rows.select("pivot", "doc", "comp", "at.i", "at.j", "at.side").join(sets, "doc")
+    return rows.groupBy("pivot", "i", "j").applyInPandas(_block_links(rule), "u long, v long")
