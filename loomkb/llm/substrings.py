@@ -273,14 +273,41 @@ def _regrouped(plan_of):
     return run
 
 
-def _subtree(group: pa.Table) -> pa.Table:
-    """(doc, places) of one subtree's leaves under deep internal nodes, but for each node's earliest leaf."""
-    tops, docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tops", ">u8"), ("docs", np.int64), ("places", np.int32)))
-    tops = tops.reshape(-1, 2).astype(np.uint64)
-    order = np.lexsort((places, docs, tops[:, 1], tops[:, 0]))
-    tops, docs, places = tops[order], docs[order], places[order]
-    again = np.r_[False, (tops[1:] == tops[:-1]).all(axis=1)] if len(tops) else np.zeros(0, bool)
-    return _listed(docs[again], places[again], "doc")
+def _dealt(docs: np.ndarray, places: np.ndarray, slots: int) -> pa.Table:
+    """Places of documents, one row for each slot that some of the documents fall in."""
+    found = list(_by_bucket(docs % slots, docs, places))
+    columns = list(zip(*found, strict=True)) or [()] * 3
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("slot", "docs", "places"), columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _subtree(slots: int):
+    """One subtree's leaves under deep internal nodes, but for each node's earliest leaf."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tops, docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tops", ">u8"), ("docs", np.int64), ("places", np.int32)))
+        tops = tops.reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((places, docs, tops[:, 1], tops[:, 0]))
+        tops, docs, places = tops[order], docs[order], places[order]
+        again = np.r_[False, (tops[1:] == tops[:-1]).all(axis=1)] if len(tops) else np.zeros(0, bool)
+        return _dealt(docs[again], places[again], slots)
+
+    return run
+
+
+def _known(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [np.frombuffer(p, np.int32) for p in b.column("places").to_pylist()]
+            docs = [np.repeat(np.frombuffer(d, np.int64), len(p)) for d, p in zip(b.column("docs").to_pylist(), places, strict=True)]
+            if docs:
+                yield from _dealt(np.concatenate(docs), np.concatenate(places), slots).to_batches()
+
+    return run
+
+
+def _by_document(group: pa.Table) -> pa.Table:
+    docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", np.int32)))
+    return _listed(docs, places, "doc")
 
 
 def _cut(width: int, text_col: str):
@@ -288,13 +315,13 @@ def _cut(width: int, text_col: str):
         for whole in batches:
             for part in slices(whole, text_col):
                 out = []
-                for raw, again, lists in zip(byte_values(part.column(text_col)), part.column("again").to_pylist(), part.column("lists").to_pylist(), strict=True):
+                for raw, again, places in zip(byte_values(part.column(text_col)), part.column("again").to_pylist(), part.column("places").to_pylist(), strict=True):
                     words = raw.split()
                     n, removed = len(words), 0
                     if again and n >= width:
                         words, removed = [], n
-                    elif lists:
-                        starts = np.frombuffer(b"".join(lists), np.int32)
+                    elif places:
+                        starts = np.frombuffer(places, np.int32)
                         steps = np.zeros(n + 1, np.int32)
                         np.add.at(steps, starts, 1)
                         np.add.at(steps, starts + width, -1)
@@ -302,7 +329,7 @@ def _cut(width: int, text_col: str):
                         removed = int(covered.sum())
                         words = [words[k] for k in np.flatnonzero(~covered).tolist()]
                     out.append((n, removed, b" ".join(words)))
-                names = [c for c in whole.schema.names if c not in ("again", "lists", text_col)]
+                names = [c for c in whole.schema.names if c not in ("again", "places", text_col)]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in names], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())],
                     names=[*names, "n_words", "n_removed", "kept_text"],
@@ -349,22 +376,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, width: int = 20, id
     suffixes = scratch.write(sources.mapInArrow(_suffixes(width, bits, text_col), "cell long, tops binary, docs binary, places binary"), "suffixes")
     plan_of = spark.sparkContext.broadcast(prefix_plan(suffixes, bits, 2 * GROUP))
     grouped = suffixes.where("cell >= 0").mapInArrow(_regrouped(plan_of), "cell long, branch long, tops binary, docs binary, places binary")
-    deep = grouped.groupBy("cell", "branch").applyInArrow(_subtree, "doc long, places binary")
-    here = suffixes.where("cell < 0").mapInArrow(_unpacked, "doc long, places binary")
-    covers = deep.union(here).groupBy("doc").agg(F.collect_list("places").alias("lists"))
-    covers = scratch.write(covers, "covers")
+    slots, dealt = max(parts, math.ceil(5 * found / GROUP)), "slot long, docs binary, places binary"
+    deep = grouped.groupBy("cell", "branch").applyInArrow(_subtree(slots), dealt)
+    here = suffixes.where("cell < 0").select("docs", "places").mapInArrow(_known(slots), dealt)
+    covers = scratch.write(deep.union(here).groupBy("slot").applyInArrow(_by_document, "doc long, places binary"), "covers")
 
     copies = ids.join(firsts, "_digest").where("_doc <> _first").select(F.col("_doc").alias("doc")).distinct()
     facts = covers.join(copies.withColumn("again", F.lit(True)), "doc", "full_outer")
-    clash = {"n_words", "n_removed", "kept_text", "again", "lists", "_doc"} - {id_col, text_col}
+    clash = {"n_words", "n_removed", "kept_text", "again", "places", "_doc"} - {id_col, text_col}
     rows = docs.select(*[c for c in docs.columns if c not in clash]).withColumn("_doc", doc)
     rows = rows.join(facts.withColumnRenamed("doc", "_doc"), "_doc", "left").withColumn("again", F.coalesce("again", F.lit(False))).drop("_doc")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("again", "lists", text_col)]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("again", "places", text_col)]
     return rows.mapInArrow(_cut(width, text_col), ", ".join([*kept, "n_words long", "n_removed long", "kept_text string"]))
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        docs = [int(np.frombuffer(d, np.int64)[0]) for d in b.column("docs").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), b.column("places")], names=["doc", "places"])
-
