@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 from .lexicon import Lexicon, compile_lexicon
-from .tokens import LONG_UNIT, spaced_units
+from .tokens import BYTE_WORDS, LONG_UNIT, byte_letters, spaced_units
 
-#: Fixed value: how byte-level BPE of this kind splits text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Frequent words in the lexicon at most.
 LEXICON_WORDS = 1 << 16
 #: Words longer than this many bytes are merged one by one.
@@ -27,19 +25,12 @@ WIDE = 48
 NONE = np.iinfo(np.int64).max
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Merges:
     """Vocabulary and ranked merges of a byte-level BPE file."""
 
     def __init__(self, spec: str):
         data = json.loads(spec)
-        letters, vocab = byte_letters(), data["model"]["vocab"]
+        letters, vocab = {c: b for b, c in byte_letters().items()}, data["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.pieces: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.pieces |= {i: t.encode() for t, i in self.added.items()}
@@ -139,7 +130,7 @@ class Encoder:
     def __init__(self, spec: str, lexicon: bytes, most: int = 150_000):
         self.merges, self.most = Merges(spec), most
         self.lexicon = Lexicon.mapped(lexicon)
-        self.split = regex.compile(PATTERN)
+        self.split = regex.compile(BYTE_WORDS)
         added = sorted(self.merges.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.cache: dict[str, tuple[str, bytes]] = {}
@@ -253,7 +244,7 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, *, tokenizer: str, id_c
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     merges = Merges(spec)
-    split = regex.compile(PATTERN)
+    split = regex.compile(BYTE_WORDS)
     words = {w for u in frequent_words(docs, text_col, lexicon_words) for w in split.findall(u)}
     raw = sorted(w.encode() for w in words if w not in merges.added)
     lexicon = compile_lexicon(dict(zip(raw, merges.many(raw), strict=True)))

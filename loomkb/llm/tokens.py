@@ -8,12 +8,14 @@ texts' ids are put together from the units' ids.
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from .common import slices
 
@@ -41,8 +43,27 @@ def word_units(text: str) -> list[str]:
     return BLANKS.split(text)
 
 
-class UnitEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text."""
+#: How tokenizer files of the two kinds split text into words.
+BYTE_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LOWER_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Characters that such a file's normaliser changes in nothing but their case, one by one.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class UnitEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
+
+    A new unit goes word by word to the library's model where the file's kind is
+    known and the unit is plain, and through the whole library otherwise. Units
+    met lately are kept in two generations of at most ``most`` each.
+    """
 
     def __init__(self, path: str, units: Callable[[str], list[str]], most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,26 +72,49 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_letters()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.words, self.lower = self._kind(spec)
         self.units, self.most = units, most
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(units), 20_000):
-            for e in self.library.encode_batch(units[at : at + 20_000], add_special_tokens=False):
-                yield array.array("I", e.ids).tobytes()
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _kind(spec: dict):
+        """The word pattern, and whether text is lower-cased; no pattern for files of other kinds."""
+        split, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
+        if norm is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space"):
+            return regex.compile(BYTE_WORDS), False
+        steps = [(x["type"], x.get("pattern", {}).get("Regex")) for x in split.get("pretokenizers", [])]
+        if norm and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == [("Split", LOWER_WORDS), ("ByteLevel", None)]:
+            return regex.compile(LOWER_WORDS), True
+        return None, False
+
+    def _encode(self, unit: str) -> bytes:
+        if self.words is None or any(a in unit for a in self.added) or self.lower and not PLAIN.fullmatch(unit):
+            return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
+        ids: list[int] = []
+        for w in self.words.findall(unit.lower() if self.lower else unit):
+            ids += [t.id for t in self.model.tokenize(w.encode().decode("latin1").translate(self.letters))]
+        return array.array("I", ids).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self._encode(unit)
+        if len(unit) <= LONG_UNIT:
+            self[unit] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        cache, long = self.cache, {}
-        new = list(set().union(*split).difference(cache))
-        for u, ids in zip(new, self._encode(new), strict=True):
-            (cache if len(u) <= LONG_UNIT else long)[u] = ids
-        if long:
-            known = cache | long
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+        get, out = self.__getitem__, []
+        for t in texts:
+            if len(self) > self.most:
+                self.older = dict(self)
+                self.clear()
+            out.append(b"".join(map(get, self.units(t))))
+        return out
 
 
 ENCODERS: dict[tuple, UnitEncoder] = {}
