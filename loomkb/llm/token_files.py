@@ -162,7 +162,7 @@ def _joined(runs: pd.DataFrame) -> pd.DataFrame:
 
 def document_checksums(runs: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the runs read back; only runs of split documents are gathered, by document."""
-    runs = runs.select("doc_id", "start", "n", "whole", F.crc32("ids").alias("crc"))
+    runs = Scratch(runs.sparkSession, "token-runs").write(runs.select("doc_id", "start", "n", "whole", F.crc32("ids").alias("crc")), "runs")
     whole = runs.where("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     split = runs.where("NOT whole").drop("whole").groupBy("doc_id").applyInPandas(_joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return whole.union(split)
