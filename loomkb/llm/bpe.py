@@ -127,16 +127,22 @@ class Merges:
 class Encoder:
     """Ids and decoded bytes of whole texts; distinct units of text are looked up once."""
 
-    def __init__(self, spec: str, lexicon: bytes, most: int = 150_000):
+    def __init__(self, spec: str, lexicon: bytes, most: int = 250_000):
         self.merges, self.most = Merges(spec), most
         self.lexicon = Lexicon.mapped(lexicon)
         self.split = regex.compile(BYTE_WORDS)
         added = sorted(self.merges.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.cache: dict[str, tuple[str, bytes]] = {}
+        self.decimals = {i: f"{i}," for i in self.merges.pieces}
+        # of units met lately, in two generations: ids as decimals, each followed by a comma, and the bytes they decode to
+        self.shown: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def words(self, unit: str) -> list[str]:
         """Pre-tokens of a unit; added tokens stand alone."""
+        if (unit[1:] if unit[:1] == " " else unit).isalpha():
+            return [unit]
         if self.added is None or not self.added.search(unit):
             return self.split.findall(unit)
         return [w for k, s in enumerate(self.added.split(unit)) for w in ([s] if k % 2 else self.split.findall(s))]
@@ -152,27 +158,38 @@ class Encoder:
         out |= {words[k]: ids for k, ids in zip(unseen, self.merges.many([raw[k] for k in unseen]), strict=True)}
         return out
 
-    def units(self, units: list[str]) -> dict[str, tuple[str, bytes]]:
-        """By unit: its ids as decimals, each followed by a comma, and the bytes they decode to."""
+    def learn(self, units: list[str]) -> None:
+        """Encode and decode new units."""
         split = [self.words(u) for u in units]
+        pieces, decimals = self.merges.pieces.__getitem__, self.decimals.__getitem__
         ids = self.ids_of(list(set().union(*split)))
-        pieces = self.merges.pieces
-        shown = {w: ("".join(f"{i}," for i in own), b"".join(map(pieces.__getitem__, own))) for w, own in ids.items()}
-        return {u: ("".join(shown[w][0] for w in s), b"".join(shown[w][1] for w in s)) for u, s in zip(units, split, strict=True)}
+        shown = {w: "".join(map(decimals, own)) for w, own in ids.items()}
+        raw = {w: b"".join(map(pieces, own)) for w, own in ids.items()}
+        for u, s in zip(units, split, strict=True):
+            if len(s) == 1:
+                self.shown[u], self.bytes[u] = shown[s[0]], raw[s[0]]
+            else:
+                self.shown[u], self.bytes[u] = "".join(map(shown.__getitem__, s)), b"".join(map(raw.__getitem__, s))
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each text's ids (decimals joined by commas) and the bytes decoded from them."""
         split = [spaced_units(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        found = self.units([u for u in set().union(*split) if u not in self.cache])
-        known = self.cache
-        known.update((u, x) for u, x in found.items() if len(u) <= LONG_UNIT)
-        if any(len(u) > LONG_UNIT for u in found):
-            known = known | found
+        if len(self.shown) > self.most:
+            self.older = self.shown, self.bytes
+            self.shown, self.bytes = {}, {}
+        new = []
+        for u in set().union(*split).difference(self.shown):
+            if (x := self.older[0].get(u)) is None:
+                new.append(u)
+            else:
+                self.shown[u], self.bytes[u] = x, self.older[1][u]
+        self.learn(new)
+        shown, raw = self.shown.__getitem__, self.bytes.__getitem__
         for s in split:
-            own = [known[u] for u in s]
-            yield "".join([x for x, _ in own])[:-1], b"".join([x for _, x in own])
+            yield "".join(map(shown, s))[:-1], b"".join(map(raw, s))
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del self.shown[u], self.bytes[u]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -224,7 +241,7 @@ def _encode(key: str, spec_of, lexicon_of, id_col: str, text_col: str):
             ENCODERS[key] = Encoder(spec_of.value, lexicon_of.value)
         encode = ENCODERS[key]
         for batch in batches:
-            for part in slices(batch, text_col, 1_000_000):
+            for part in slices(batch, text_col, 2_000_000):
                 rows = list(encode([t or "" for t in part.column(text_col).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "ids", "decoded"])
 
