@@ -63,6 +63,7 @@ class Block:
     link_chars: int
     place: str  # what the elements around it say: good, bad or nothing
     heading: bool = False
+    regions: tuple[int, ...] = ()  # the elements around it that mark an article, as numbers in the page
 
 
 def _place(tag: str, attributes: str, inside: str) -> str:
@@ -82,16 +83,16 @@ def _place(tag: str, attributes: str, inside: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order: what stands between block elements' tags, raw elements left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements and what they say
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # open elements, what they say and the articles they lie in
     text: list[str] = []
-    links, at, inside, depth = 0, 0, "", 0  # depth: open links
+    links, at, inside, regions, depth, marked = 0, 0, "", (), 0, 0  # depth: open links
 
     def flush():
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(joined, links, inside, any(HEADING.fullmatch(x) for x, _ in stack)))
+                found.append(Block(joined, links, inside, any(HEADING.fullmatch(x[0]) for x in stack), regions))
             text.clear()
         links = 0
 
@@ -131,7 +132,7 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    depth -= sum(x == "a" for x, _ in stack[k:])
+                    depth -= sum(x[0] == "a" for x in stack[k:])
                     del stack[k:]
                     break
         elif tag not in VOID:
@@ -139,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
                 ends = "p" if block else "a"
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == ends:
-                        depth -= sum(x == "a" for x, _ in stack[k:])
+                        depth -= sum(x[0] == "a" for x in stack[k:])
                         del stack[k:]
                         break
                     if stack[k][0] in BLOCKS:
@@ -148,10 +149,13 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == "body":  # ends an open head
                     stack.clear()
                     depth = 0
-                around = stack[-1][1] if stack else ""
-                stack.append((tag, _place(tag, attributes, around)))
+                around, within = stack[-1][1:] if stack else ("", ())
+                place = _place(tag, attributes, around)
+                if place == "good" and (around != "good" or _place(tag, attributes, "") == "good"):
+                    within, marked = (*within, marked), marked + 1
+                stack.append((tag, place, within))
                 depth += tag == "a"
-        inside = stack[-1][1] if stack else ""
+        inside, regions = stack[-1][1:] if stack else ("", ())
     flush()
     return found
 
@@ -170,21 +174,31 @@ def first_pass(block: Block) -> str:
     return "near" if stops >= STOPS_LOW or n > LENGTH_HIGH and not block.link_chars else "bad"
 
 
+def _favoured(block: Block) -> str:
+    """The first pass with what the elements around say as a prior: bad ones decide, an article's lift all but link lists and short blocks."""
+    if block.place == "bad":
+        return "bad"
+    label = first_pass(block)
+    if block.place == "good" and label != "short" and block.link_chars <= LINKS_HIGH * len(block.text):
+        return "good"
+    return label
+
+
 def main_text(page: str) -> str:
     """The article of a page, its blocks joined by line feeds.
 
-    The elements around a block decide where they can: menus, sidebars,
-    adverts, forms, notices and comments are left out, and what an article
-    or main element holds besides is kept, if the page has one. The first pass
-    decides all others; in the second, near-good and short blocks take the
-    label of their nearest decided neighbours: a near-good one if either is good, a
-    short one if both are, or one is and a near-good block or, below a heading, text follows.
+    Both passes take every block of every page. The first decides by links, length
+    and stop words; the elements around a block are its prior: in menus, sidebars,
+    adverts, forms, notices and comments it is bad, and in an article or main
+    element, or one named like it, good unless it is short or a link list. In the second,
+    near-good and short blocks take the label of their nearest decided neighbours: a near-good one
+    if either is good, a short one if both are, or one is and a near-good block or, below a heading,
+    text follows, or if the article element that it lies in holds a good block.
     """
     blocks = blocks_of(page)
-    if any(b.place == "good" for b in blocks):
-        return "\n".join(b.text for b in blocks if b.place == "good")
-    labels = ["bad" if b.place == "bad" else first_pass(b) for b in blocks]
+    labels = [_favoured(b) for b in blocks]
     decided = list(labels)
+    articles = {r for b, x in zip(blocks, labels, strict=True) if x == "good" for r in b.regions}
 
     def neighbour(k: int, step: int, sure: tuple[str, ...]) -> str:
         k += step
@@ -196,15 +210,17 @@ def main_text(page: str) -> str:
 
     for k, label in enumerate(labels):
         if label == "short":
+            favoured = blocks[k].place == "good"
             sides = [neighbour(k, s, ("good", "bad")) for s in (-1, 1)]
             near = [neighbour(k, s, ("good", "bad", "near")) for s in (-1, 1)]
             both = sides[0] == sides[1] == "good"
             headed = blocks[k].heading and near[1] in ("good", "near") and "good" in sides
-            decided[k] = "good" if both or headed or "good" in sides and "near" in near else "bad"
+            own = favoured and blocks[k].regions[-1] in articles
+            decided[k] = "good" if both or own or headed or "good" in sides and (favoured or "near" in near) else "bad"
         elif label == "near":
             decided[k] = "good" if "good" in [neighbour(k, s, ("good", "bad")) for s in (-1, 1)] else "bad"
-    if "good" not in decided:  # nothing long enough to decide by: near-good blocks stand for themselves
-        decided = ["good" if x == "near" else "bad" for x in labels]
+    if "good" not in decided:  # nothing long enough to decide by: near-good blocks and an article's short ones stand for themselves
+        decided = ["good" if x == "near" or x == "short" and b.place == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
     return "\n".join(b.text for b, label in zip(blocks, decided, strict=True) if label == "good")
 
 

@@ -150,6 +150,16 @@ def test_html(spark):
     assert found == {1: (main_text(PAGE), 32), 2: ("", 0), 3: ("", 0), 4: ("x" * 100_000, 100_000)}
 
 
+def test_html_passes_run_beside_articles():
+    long = ("the quick one and the other of them are in this house and it is not so bad for all of us to be here " * 3).strip()
+    cards = "".join(f"<div class=post><a href=/{k}>Card number {k}</a></div>" for k in range(3))
+    assert main_text(f"<body><h1>Title</h1><div>{long}</div><div>{long}</div>{cards}</body>") == f"Title\n{long}\n{long}"
+    assert main_text(f"<body><div>{long}</div><article><p>In short.</p></article><div>{long}</div></body>") == f"{long}\nIn short.\n{long}"
+    links = "<ul><li><a href=/a>Other things</a></li><li><a href=/b>More of them</a></li></ul>"
+    assert main_text(f"<body><article><h1>Title</h1>{links}<p>{long}</p><p>By one.</p></article></body>") == f"Title\n{long}\nBy one."
+    assert main_text(f"<article><p>{'Lorem ipsum dolor sit amet consectetur. ' * 6}</p></article>") == ("Lorem ipsum dolor sit amet consectetur. " * 6).strip()
+
+
 def plain_components(rows, size, percent):
     sets, parent = {}, {i: i for i, _ in rows}
     for i, t in rows:
