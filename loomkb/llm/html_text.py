@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +37,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("iframe math noembed noframes noscript object script style svg template textarea title audio video canvas select button xmp".split())
 BOILERPLATE = frozenset("aside dialog footer form head menu nav search fieldset".split())
 CONTENT = frozenset("article main".split())
-#: Words in class, id and role that mark what is not the article, and those that mark it.
+#: Class, id and role values that mark what is not the article, and those that mark it.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense alert banner billboard breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo "
     "cookie cookies copyright dialog discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Words that may stand beside others in one value without a change of what it marks (cookie-notice, comments-area, site-footer).
+BAD_SHAPES = frozenset(
+    "area bar block body bottom box button buttons container form group inner item items left link links list panel post posts primary right secondary section site slot "
+    "text top unit wrap wrapper".split()
+)
+GOOD_SHAPES = frozenset("blog body content full news single text".split())
 #: These lie outside the article only; inside it they hold its own title.
 OUTER_NAMES = frozenset("header".split())
 GOOD_NAMES = frozenset("article articlebody articletext entry main maincontent post postbody story storybody".split())
@@ -55,44 +62,112 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 HEADING = re.compile("h[1-6]")
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+PAGE_TAGS = frozenset("body html main".split())
 
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    place: str  # what the elements around it say: good, bad or nothing
+    element: int  # the innermost one around it
+    place: str = ""  # what the elements around it say: good, bad or nothing
     heading: bool = False
-    regions: tuple[int, ...] = ()  # the elements around it that mark an article, as numbers in the page
+    regions: tuple[int, ...] = ()  # the elements around it that mark an article
 
 
-def _place(tag: str, attributes: str, inside: str) -> str:
-    """What an element says about the text in it; ``inside`` is what those around it say."""
-    if inside == "bad":
-        return "bad"
-    names = {w.lower() for m in NAMES.finditer(attributes) for w in WORD.findall(m[1])} if attributes else set()
-    if tag in BOILERPLATE or names & BAD_NAMES or attributes and HIDDEN.search(attributes):
-        return "bad" if tag not in ("body", "html", "main") else inside
-    if inside != "good" and (tag == "header" or names & OUTER_NAMES) and tag not in ("body", "html"):
-        return "bad"
-    if tag in CONTENT or names & GOOD_NAMES and tag not in ("body", "html", "a", "span", "li"):
-        return "good"
-    return inside
+@dataclass
+class Element:
+    around: int
+    tag: str
+    says: str  # bad, named (bad by its name, or a form), outer (bad outside an article) or nothing
+    marks: bool  # whether it marks an article
+
+
+@lru_cache(50_000)
+def _named(value: str, names: frozenset[str], shapes: frozenset[str]) -> bool:
+    """Whether a whole value is one of ``names``, or is made of them and of ``shapes`` alone."""
+    if value.lower().replace("-", "").replace("_", "") in names:
+        return True
+    words = {w.lower() for w in WORD.findall(value)}
+    return bool(words & names) and words <= names | shapes
+
+
+def _element(around: int, tag: str, attributes: str) -> Element:
+    """What an element by itself says about the text in it."""
+    if tag in PAGE_TAGS:
+        return Element(around, tag, "", tag == "main")
+    values = [v for m in NAMES.finditer(attributes) for v in m[1].strip("\"'").split()] if attributes else []
+    marks = tag in CONTENT or tag not in ("a", "span", "li") and any(_named(v, GOOD_NAMES, GOOD_SHAPES) for v in values)
+    if tag in BOILERPLATE and tag != "form" or attributes and HIDDEN.search(attributes):
+        return Element(around, tag, "bad", marks)
+    if tag == "form" or any(_named(v, BAD_NAMES, BAD_SHAPES) for v in values):
+        return Element(around, tag, "named", marks)
+    return Element(around, tag, "outer" if tag == "header" or any(_named(v, OUTER_NAMES, BAD_SHAPES | {"page"}) for v in values) else "", marks)
+
+
+def _wrappers(blocks: list[Block], elements: list[Element]) -> set[int]:
+    """Elements with a bad name that hold main or most of the page's article text, and so say nothing about what is inside.
+
+    The article text is the long text in article elements that have no bad name
+    and lie in no such part of an article; without any, the page's good blocks; else its short ones.
+    """
+    if all(e.says in ("", "bad") for e in elements):
+        return set()
+    lost, own, apart = [], [], []  # below a bad element; in an article; in a part with a bad name within it
+    for e in elements:
+        top = e.around < 0
+        lost.append(e.says == "bad" or not top and lost[e.around])
+        told = not top and own[e.around] and elements[e.around].tag not in PAGE_TAGS
+        apart.append(not top and apart[e.around] or e.says == "named" and told)
+        own.append(not apart[-1] and e.says != "named" and (e.marks or not top and own[e.around]))
+    left = [(b, first_pass(b)) for b in blocks if b.element < 0 or not lost[b.element]]
+    within = [(b, x) for b, x in left if b.element >= 0 and own[b.element]]
+    plain = lambda found: [b for b, x in found if x != "bad"]
+    choices = [b for b, x in within if x in ("good", "near")], [b for b, x in left if x == "good"], plain(within), plain(left)
+    text = next(filter(None, choices), [])
+    share, main = [0] * len(elements), [e.tag == "main" and not x for e, x in zip(elements, lost, strict=True)]
+    for b in text:
+        if b.element >= 0:
+            share[b.element] += len(b.text)
+    for k in range(len(elements) - 1, -1, -1):
+        if (up := elements[k].around) >= 0:
+            share[up] += share[k]
+            main[up] = main[up] or main[k]
+    whole = sum(len(b.text) for b in text)
+    return {k for k, e in enumerate(elements) if e.says in ("named", "outer") and (main[k] or 2 * share[k] > whole)}
+
+
+def _place(blocks: list[Block], elements: list[Element]) -> None:
+    """Tell each block what the elements around it say together."""
+    wrappers = _wrappers(blocks, elements)
+    places: list[tuple[str, tuple[int, ...]]] = []
+    for k, e in enumerate(elements):
+        place, regions = places[e.around] if e.around >= 0 else ("", ())
+        if place != "bad":
+            if e.says == "bad" or k not in wrappers and (e.says == "named" or e.says == "outer" and place != "good"):
+                place = "bad"
+            elif e.marks:
+                place, regions = "good", (*regions, k)
+        places.append((place, regions))
+    for b in blocks:
+        if b.element >= 0:
+            b.place, b.regions = places[b.element]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order: what stands between block elements' tags, raw elements left out."""
     found: list[Block] = []
-    stack: list[tuple[str, str, tuple[int, ...]]] = []  # open elements, what they say and the articles they lie in
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # open elements
     text: list[str] = []
-    links, at, inside, regions, depth, marked = 0, 0, "", (), 0, 0  # depth: open links
+    links, at, inside, depth = 0, 0, -1, 0  # depth: open links
 
     def flush():
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(joined, links, inside, any(HEADING.fullmatch(x[0]) for x in stack), regions))
+                found.append(Block(joined, links, inside, heading=any(HEADING.fullmatch(x) for x, _ in stack)))
             text.clear()
         links = 0
 
@@ -132,7 +207,7 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    depth -= sum(x[0] == "a" for x in stack[k:])
+                    depth -= sum(x == "a" for x, _ in stack[k:])
                     del stack[k:]
                     break
         elif tag not in VOID:
@@ -140,7 +215,7 @@ def blocks_of(page: str) -> list[Block]:
                 ends = "p" if block else "a"
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == ends:
-                        depth -= sum(x[0] == "a" for x in stack[k:])
+                        depth -= sum(x == "a" for x, _ in stack[k:])
                         del stack[k:]
                         break
                     if stack[k][0] in BLOCKS:
@@ -149,14 +224,12 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == "body":  # ends an open head
                     stack.clear()
                     depth = 0
-                around, within = stack[-1][1:] if stack else ("", ())
-                place = _place(tag, attributes, around)
-                if place == "good" and (around != "good" or _place(tag, attributes, "") == "good"):
-                    within, marked = (*within, marked), marked + 1
-                stack.append((tag, place, within))
+                elements.append(_element(stack[-1][1] if stack else -1, tag, attributes))
+                stack.append((tag, len(elements) - 1))
                 depth += tag == "a"
-        inside, regions = stack[-1][1:] if stack else ("", ())
+        inside = stack[-1][1] if stack else -1
     flush()
+    _place(found, elements)
     return found
 
 

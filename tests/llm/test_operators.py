@@ -160,6 +160,18 @@ def test_html_passes_run_beside_articles():
     assert main_text(f"<article><p>{'Lorem ipsum dolor sit amet consectetur. ' * 6}</p></article>") == ("Lorem ipsum dolor sit amet consectetur. " * 6).strip()
 
 
+def test_html_bad_names_are_whole_values_and_spare_wrappers():
+    long = ("the quick one and the other of them are in this house and it is not so bad for all of us to be here " * 3).strip()
+    for wrapper in ("div class='content has-sidebar'", "div id=page class=no-comments", "div class=layout--sidebar-right", "div class=widget", "div id='comments'", "form id=aspnetForm", "div class=pageHeader"):
+        end = wrapper.split()[0]
+        for inner in (f"<article><h1>Title</h1><p>{long}</p></article>", f"<main><h1>Title</h1><p>{long}</p></main>", f"<h1>Title</h1><p>{long}</p><p>{long}</p>"):
+            page = f"<body><{wrapper}>{inner}</{end}><footer>Site</footer></body>"
+            assert main_text(page).startswith(f"Title\n{long}") and "Site" not in main_text(page)
+    for bad in ("class=comments", "id=comments-area", "class='x cookie-notice'", "class=sidebarLeft", "role=navigation"):
+        assert main_text(f"<body><article><p>{long}</p><div {bad}><p>{long[:-5]}</p></div></article><div {bad}><p>{long}</p><p>{long}</p></div></body>") == long
+    assert main_text(f"<article class='post has-sidebar'><p>{long}</p></article>") == long
+
+
 def plain_components(rows, size, percent):
     sets, parent = {}, {i: i for i, _ in rows}
     for i, t in rows:
