@@ -6,7 +6,9 @@ anchor, the least hash of its ANCHOR_WORDS-word runs, and only windows on an anc
 occurs twice go on. Their suffixes are written as symbols of a few words each,
 split by prefixes of the symbol string (longer where many suffixes share one) into
 groups that fit a task, and sorted there; internal nodes at least ``width`` words
-deep are runs of neighbours with equal tops.
+deep are runs of neighbours with equal tops and equal 64-bit hashes of the whole window.
+Words are compared by 64-bit hashes: windows that differ in one word have different hashes
+if the word's have, others collide once in 2^64 pairs.
 """
 
 from __future__ import annotations
@@ -161,26 +163,27 @@ def _listed(keys: np.ndarray, places: np.ndarray, name: str) -> pa.Table:
 
 
 def _suffixes(width: int, bits: int, text_col: str):
-    """Rows (cell, tops, docs, places) of suffixes that start on a repeated anchor; cell -1: places whose window began earlier in this chunk.
+    """Rows (cell, tops, wholes, docs, places) of suffixes that start on a repeated anchor; cell -1: places whose window began earlier in this chunk.
 
-    A top is the big-endian string of its symbols' hashes; a cell is its first ``bits`` bits.
+    A top is the big-endian string of its symbols' hashes; a cell is its first ``bits`` bits; a whole is the hash of all words of the window.
     """
     span = -(-width // SYMBOLS)
     steps = [round(k * (width - span) / (SYMBOLS - 1)) for k in range(SYMBOLS)]
 
-    def rows(tops, docs, places):
-        order = np.lexsort((places, docs, tops[:, 1], tops[:, 0]))
-        tops, docs, places = tops[order], docs[order], places[order]
-        new = np.r_[True, (tops[1:] != tops[:-1]).any(axis=1)]
+    def rows(tops, wholes, docs, places):
+        order = np.lexsort((places, docs, wholes, tops[:, 1], tops[:, 0]))
+        tops, wholes, docs, places = tops[order], wholes[order], docs[order], places[order]
+        new = np.r_[True, (tops[1:] != tops[:-1]).any(axis=1) | (wholes[1:] != wholes[:-1])]
         for d, p in _by_bucket(docs[~new], places[~new]):
-            yield -1, None, np.int64(d).tobytes(), p
-        tops, docs, places = tops[new], docs[new], places[new]
+            yield -1, None, None, np.int64(d).tobytes(), p
+        tops, wholes, docs, places = tops[new], wholes[new], docs[new], places[new]
         cells = (tops[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tops), np.int64)
-        yield from _by_bucket(cells, tops.astype(">u8"), docs, places)
+        yield from _by_bucket(cells, tops.astype(">u8"), wholes, docs, places)
 
     def batch(found):
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["cell", "tops", "docs", "places"])
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "tops", "wholes", "docs", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -196,7 +199,7 @@ def _suffixes(width: int, bits: int, text_col: str):
                         continue
                     symbols = gram_hashes(words, span) if span != ANCHOR_WORDS else grams
                     a, b, c, d = (symbols[starts + s] & high for s in steps)
-                    held.append((np.stack([a | (b >> np.uint64(32)), c | (d >> np.uint64(32))], axis=1), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                    held.append((np.stack([a | (b >> np.uint64(32)), c | (d >> np.uint64(32))], axis=1), gram_hashes(words, width)[starts], np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
                     size += len(starts)
                 if size >= CHUNK:
                     yield batch(rows(*map(np.concatenate, zip(*held, strict=True))))
@@ -259,16 +262,16 @@ def _regrouped(plan_of):
         plan = {c: np.array(b, "S16") for c, b in plan_of.value.items()}
         for b in batches:
             out = []
-            for cell, tops, docs, places in zip(*[b.column(c).to_pylist() for c in ("cell", "tops", "docs", "places")], strict=True):
+            for cell, tops, wholes, docs, places in zip(*[b.column(c).to_pylist() for c in ("cell", "tops", "wholes", "docs", "places")], strict=True):
                 if cell not in plan:
-                    out.append((cell, 0, tops, docs, places))
+                    out.append((cell, 0, tops, wholes, docs, places))
                     continue
                 group = np.searchsorted(plan[cell], np.frombuffer(tops, "S16"), side="right")
-                columns = np.frombuffer(tops, "V16"), np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
+                columns = np.frombuffer(tops, "V16"), np.frombuffer(wholes, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
                 out += [(cell, *x) for x in _by_bucket(group, *columns)]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "branch", "tops", "docs", "places"])
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "branch", "tops", "wholes", "docs", "places"])
 
     return run
 
@@ -284,11 +287,12 @@ def _subtree(slots: int):
     """One subtree's leaves under deep internal nodes, but for each node's earliest leaf."""
 
     def run(group: pa.Table) -> pa.Table:
-        tops, docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("tops", ">u8"), ("docs", np.int64), ("places", np.int32)))
+        kinds = ("tops", ">u8"), ("wholes", np.uint64), ("docs", np.int64), ("places", np.int32)
+        tops, wholes, docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in kinds)
         tops = tops.reshape(-1, 2).astype(np.uint64)
-        order = np.lexsort((places, docs, tops[:, 1], tops[:, 0]))
-        tops, docs, places = tops[order], docs[order], places[order]
-        again = np.r_[False, (tops[1:] == tops[:-1]).all(axis=1)] if len(tops) else np.zeros(0, bool)
+        order = np.lexsort((places, docs, wholes, tops[:, 1], tops[:, 0]))
+        tops, wholes, docs, places = tops[order], wholes[order], docs[order], places[order]
+        again = np.r_[False, (tops[1:] == tops[:-1]).all(axis=1) & (wholes[1:] == wholes[:-1])] if len(tops) else np.zeros(0, bool)
         return _dealt(docs[again], places[again], slots)
 
     return run
@@ -373,9 +377,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, width: int = 20, id
     lists = repeated.groupBy(F.col("text").alias("_key")).agg(F.collect_list("places").alias("lists"))
     wanted = firsts.select("_first", head).join(lists, "_key").select(F.col("_first").alias("_doc"), "lists")
     sources = thin.join(wanted, "_doc").select(F.col("_doc").alias("first"), "lists", text_col)
-    suffixes = scratch.write(sources.mapInArrow(_suffixes(width, bits, text_col), "cell long, tops binary, docs binary, places binary"), "suffixes")
+    suffixes = scratch.write(sources.mapInArrow(_suffixes(width, bits, text_col), "cell long, tops binary, wholes binary, docs binary, places binary"), "suffixes")
     plan_of = spark.sparkContext.broadcast(prefix_plan(suffixes, bits, 2 * GROUP))
-    grouped = suffixes.where("cell >= 0").mapInArrow(_regrouped(plan_of), "cell long, branch long, tops binary, docs binary, places binary")
+    grouped = suffixes.where("cell >= 0").mapInArrow(_regrouped(plan_of), "cell long, branch long, tops binary, wholes binary, docs binary, places binary")
     slots, dealt = max(parts, math.ceil(5 * found / GROUP)), "slot long, docs binary, places binary"
     deep = grouped.groupBy("cell", "branch").applyInArrow(_subtree(slots), dealt)
     here = suffixes.where("cell < 0").select("docs", "places").mapInArrow(_known(slots), dealt)

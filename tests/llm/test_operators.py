@@ -320,6 +320,26 @@ def test_substrings(spark, docs, width):
     assert found == plain_substrings(edge_texts(), width)
 
 
+def test_substrings_tell_windows_with_equal_symbols_apart(spark):
+    import xxhash
+
+    from loomkb.llm.common import gram_hashes
+
+    passage, own = [f"w{k}" for k in range(19)], [f"n{k}" for k in range(300_000)]
+    hashes = lambda words: np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
+    head, last = hashes(passage), hashes(own)
+    symbols = gram_hashes(np.column_stack([np.tile(head[15:], (len(own), 1)), last]).ravel(), 5)[::5]
+    order = np.argsort(symbols, kind="stable")
+    high = (symbols >> np.uint64(32))[order]
+    pairs = [(order[k], order[k + 1]) for k in np.flatnonzero(high[1:] == high[:-1])]
+    least = gram_hashes(head, 5).min()  # the anchor must lie in the shared words
+    rows = [(10 * n + m, " ".join([*passage, own[k]])) for n, p in enumerate(pairs) if symbols[list(p)].min() > least for m, k in enumerate(p)]
+    assert rows
+    rows += [(1000, rows[0][1])]
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), width=20).collect()}
+    assert found == plain_substrings(rows, 20)
+
+
 def test_substrings_extend_heavy_prefixes(spark, docs, monkeypatch):
     from loomkb.llm import substrings
 
