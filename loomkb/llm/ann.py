@@ -93,6 +93,15 @@ def _hashed(dim: int, top: float, tables: int, functions: int, probes: int, quer
     return run
 
 
+def _packed(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r.tobytes() for r in np.ascontiguousarray(_matrix(b.column("vec"), dim))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(rows, pa.binary())], names=["key", "vec"])
+
+    return run
+
+
 def _nearest(dim: int, kind: str, most: int):
     """One bucket block: each query's best ``most`` vectors with exact products, packed."""
 
@@ -148,7 +157,9 @@ def nearest_neighbours(
     precision, ties to the smaller id. Where norms differ, a component is added
     for hashing that makes them equal. Equal vectors are one class, of which the
     smallest k + 1 ids can be among anyone's nearest; classes of any size cost one
-    index row. Large buckets are split into blocks, so none is capped.
+    index row. Large buckets are split into blocks, so none is capped. Queries whose
+    buckets hold too few are compared with all vectors, in blocks too, so that
+    each gets ``k`` rows, or all other vectors where there are fewer.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     rows with a null id and vectors of another length than the longest take no part.
@@ -169,7 +180,7 @@ def nearest_neighbours(
     own, asked = own.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
 
     first = Window.partitionBy("vec").orderBy("id")
-    few = own.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= k + 1)
+    few = own.distinct().withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= k + 1)
     classes = few.groupBy("vec").agg(F.min("id").alias("key"), F.sort_array(F.collect_set("id")).alias("members"))
     classes = scratch.write(classes, "classes")
     heads = scratch.write(asked.groupBy("vec").agg(F.min("query_id").alias("key")), "heads")
@@ -181,19 +192,33 @@ def nearest_neighbours(
     sizes = count(classes, False, "vectors").join(count(heads, True, "asked"), ["tab", "bucket"])
     sizes = sizes.select("tab", "bucket", F.ceil(F.col("vectors") / INDEX_BLOCK).cast("int").alias("ni"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("nq"))
     sizes = scratch.write(sizes, "sizes")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    every = lambda n: F.sequence(F.lit(0), n - 1)
     index = classes.select("key", "vec").mapInArrow(_hashed(*args, False, True), wide).join(sizes, ["tab", "bucket"])
-    index = index.withColumn("i", F.pmod(F.xxhash64("key"), F.col("ni")).cast("int")).withColumn("j", F.explode(every("nq")))
+    index = index.withColumn("i", F.pmod(F.xxhash64("key"), F.col("ni")).cast("int")).withColumn("j", F.explode(every(F.col("nq"))))
     wanted = heads.select("key", "vec").mapInArrow(_hashed(*args, True, True), wide).join(sizes, ["tab", "bucket"])
-    wanted = wanted.withColumn("j", F.pmod(F.xxhash64("key"), F.col("nq")).cast("int")).withColumn("i", F.explode(every("ni")))
+    wanted = wanted.withColumn("j", F.pmod(F.xxhash64("key"), F.col("nq")).cast("int")).withColumn("i", F.explode(every(F.col("ni"))))
     by = ["tab", "bucket", "i", "j"]
     found = index.select(*by, "key", "vec").groupBy(*by).cogroup(wanted.select(*by, "key", "vec").groupBy(*by))
     found = found.applyInArrow(_nearest(dim, kind, k + 1), "key long, near binary, scores binary")
-    best = found.groupBy("key").applyInArrow(_merged(k + 1), "key long, near long, score double")
-
-    members = best.join(classes.select(F.col("key").alias("near"), "members"), "near").select("key", "score", F.explode("members").alias("vec_id"))
-    nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    members = members.withColumn("_at", F.row_number().over(nearest)).where(F.col("_at") <= k + 1).drop("_at")
+    best = scratch.write(found.groupBy("key").applyInArrow(_merged(k + 1), "key long, near long, score double"), "best")
+
+    def members_of(best: DataFrame) -> DataFrame:
+        members = best.join(classes.select(F.col("key").alias("near"), "members"), "near").select("key", "score", F.explode("members").alias("vec_id"))
+        nearest = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        return members.withColumn("_at", F.row_number().over(nearest)).where(F.col("_at") <= k + 1).drop("_at")
+
+    members = members_of(best)
+    have = members.groupBy("key").agg(F.count("*").alias("n"))
+    lacking = scratch.write(heads.join(have, "key", "left").where(F.coalesce("n", F.lit(0)) <= k).select("key", "vec"), "lacking")
+    if short := lacking.count():
+        ni, nq = max(1, -(-classes.count() // INDEX_BLOCK)), -(-short // QUERY_BLOCK)
+        block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+        packed = lambda df: df.select("key", "vec").mapInArrow(_packed(dim), "key long, vec binary")
+        index = packed(classes).withColumn("i", block(ni)).withColumn("j", F.explode(every(F.lit(nq))))
+        wanted = packed(lacking).withColumn("j", block(nq)).withColumn("i", F.explode(every(F.lit(ni))))
+        found = index.groupBy("i", "j").cogroup(wanted.groupBy("i", "j")).applyInArrow(_nearest(dim, kind, k + 1), "key long, near binary, scores binary")
+        whole = scratch.write(found.groupBy("key").applyInArrow(_merged(k + 1), "key long, near long, score double"), "whole")
+        members = members.join(lacking.select("key"), "key", "left_anti").unionByName(members_of(whole))
     out = of_head.join(members, "key").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -291,6 +291,31 @@ def test_nearest(spark):
     assert nearest_neighbours(spark, v.where("vec_id < 5"), v.where("vec_id = 0")).count() == 4
 
 
+def test_nearest_gives_k_rows_or_all(spark):
+    rng = np.random.default_rng(4)
+
+    def check(rows, asked):
+        v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>")
+        vectors, found = dict(rows), {}
+        for r in nearest_neighbours(spark, v, v.where(F.col("vec_id").isin(asked)), k=20).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in asked:
+            order = sorted((i for i in vectors if i != q), key=lambda i: (-(vectors[q] * vectors[i]).sum(), i))
+            yield found.get(q, []), order[:20]
+
+    assert all(got == want for got, want in check(list(enumerate(rng.normal(size=(15, 64)))), [0, 5, 14]))  # fewer than 20 in all
+    axis = np.eye(64)[0]
+    tight = axis + 0.01 * rng.normal(size=(200, 64))
+    away = rng.normal(size=(6, 64))
+    away[:, 0] = 0
+    away = 0.98 * away / np.linalg.norm(away, axis=1, keepdims=True) - 0.2 * axis
+    both = np.concatenate([tight, away])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    assert all(len(got) == 20 for got, _ in check(list(enumerate(both)), list(range(200, 206))))
+    same = [(0, axis)] * 30 + [(i, axis) for i in range(1, 26)]  # an id repeated more than k times
+    assert all(got == want for got, want in check(same, [0, 25]))
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(2).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
