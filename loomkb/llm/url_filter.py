@@ -25,6 +25,10 @@ CANONICAL = [
 REFRESH = [r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'>\s]+)"]
 
 
+#: What a page's references are relative to, if not its url.
+BASE = [r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']([^\"'>]*)", r"(?is)<base\b[^>]*\bhref\s*=\s*([^\s\"'>]+)"]
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -60,19 +64,46 @@ def alias_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path_of(url), query))
 
 
+def folded(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    steps = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolved(t: Column, url: Column) -> Column:
+    """The absolute form of a reference on the page ``url``; null for an empty or fragment-only one and for schemes without //."""
+    t = F.regexp_replace(F.regexp_replace(t, "&amp;", "&"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url)))
+    own, rest = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when((t == "") | t.startswith("#"), F.lit(None).cast("string"))
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(root, folded(own), rest))
+        .when(t.startswith("?"), F.concat(root, path_of(url), t))
+        .otherwise(F.concat(root, folded(F.concat(folder, own)), rest))
+    )
+
+
 def declared_targets(url: Column, html: Column) -> Column:
     """Absolute targets of a page's canonical link and refresh redirect (array, nulls possible)."""
 
     def first(patterns):
         return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
 
-    def absolute(t):
-        t = F.trim(F.regexp_replace(t, "&amp;", "&"))
-        scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-        root = F.concat(scheme, F.lit("://"), host_of(url))
-        return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(root, t))
-
-    return F.array(absolute(first(CANONICAL)), absolute(first(REFRESH)))
+    base = F.coalesce(resolved(first(BASE), url), url)
+    # a lambda's variable, so that the base is found once
+    return F.transform(F.array(base), lambda b: F.array(resolved(first(CANONICAL), b), resolved(first(REFRESH), b)))[0]
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, *, redirects: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -80,8 +111,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, *, redirects: DataFrame |
 
     A url's own longest rule decides. Urls without one take the decision of
     their alias component: edges are the pages' canonical links and refresh
-    redirects and the rows of ``redirects`` (source, target); scheme and fragment
-    do not tell urls apart. A component with an explicitly allowed member is allowed,
+    redirects, resolved on the page's url or its base element, and the rows of
+    ``redirects`` (source, target); scheme and fragment do not tell urls apart. A component with an explicitly allowed member is allowed,
     else one with a blocked member is blocked; without either, allow is the
     default. Targets take part with their own rules though they are no page.
 

@@ -399,3 +399,23 @@ def test_urls(spark):
     assert found[11][1:] == ("example.org/en/1", "block") and found[12][1:] == ("org/", "allow")
     moved = judge_urls(spark, pages, redirects=spark.createDataFrame([("http://new.net/", "http://x.com/de/1")], "source string, target string"), html_col=None)
     assert moved.count() == 12
+
+
+def test_urls_resolve_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    from loomkb.llm.url_filter import declared_targets
+
+    refs = ["page2.html", "?id=2", "../a", "./b/./c?x=../y", "../../../up", "..", ".", "d/..", "/e/../f/./g", "//x.com/de/1", "http://x.com/a", "a&amp;b", "\n h.html \n", "i#j"]
+    none = ["", " ", "#top", "mailto:me@x.com"]
+    urls = ["http://r.net/d/e/1?q=1#z", "http://r.net", "https://r.net/d/"]
+    rows = [(u, r, f"<link rel='canonical' href='{r}'>") for u in urls for r in refs + none]
+    rows += [("http://r.net/d/1", r, f"<base href='/k/l'><meta http-equiv=refresh content='0; url={r}'>") for r in ("m", "?n=1")]
+    for r in spark.createDataFrame(rows, "url string, ref string, html string").select("*", F.array_compact(declared_targets(F.col("url"), F.col("html"))).alias("t")).collect():
+        base = urljoin(r["url"], "/k/l") if "<base" in r["html"] else r["url"]
+        assert r["t"] == ([] if r["ref"] in none else [urljoin(base, r["ref"].strip().replace("&amp;", "&"))]), r
+    link = "<link rel=canonical href='{0}'>"
+    pages = [(1, "http://r.net/d/1", link.format("page2.html")), (2, "http://r.net/d/page2.html", link.format("?id=2")), (3, "http://r.net/d/page2.html?id=2", link.format("../a"))]
+    pages += [(4, "http://r.net/a", link.format("http://x.com/de/1")), (5, "http://r.net/b", link.format("#d"))]
+    found = {r["page_id"]: r["verdict"] for r in judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
