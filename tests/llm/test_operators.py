@@ -119,6 +119,19 @@ def test_patterns_cover_all_lengths():
     assert len(total) <= 1.1 * (lengths * counts).sum() / 100 + 2
 
 
+def test_plan_does_not_depend_on_the_clock(monkeypatch):
+    import itertools
+    import time
+
+    rng = np.random.default_rng(6)
+    lengths = np.unique(rng.integers(1, 100, 60))
+    counts = rng.integers(1, 50, len(lengths))
+    want, ticks = plan(lengths, counts, 100), itertools.count(0, 100)
+    monkeypatch.setattr(time, "monotonic", lambda: next(ticks))
+    found = plan(lengths, counts, 100)
+    assert all((found[k] == want[k]).all() for k in want)
+
+
 def test_quality_learns_held_out_labels(spark):
     good = [(k, prose(RNG.randint(20, 80), k)) for k in range(150)]
     bad = [(1000 + k, " ".join(w + RNG.choice(["###", "$$$", "!!"]) for w in prose(RNG.randint(20, 80), k).split())) for k in range(60)]
