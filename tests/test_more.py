@@ -71,3 +71,14 @@ def test_later_stages(spark):
     assert tuple(conversation.merge_deltas(deltas).first()) == (1, 0, "f", '{"a":"x"}')
     parts = spark.createDataFrame([("r", "1", "tool_call", "f"), ("r", "1", "tool_result", "ok"), ("r", "2", "tool_call", "g")], "run_id string, id string, type string, content string")
     assert {r["id"]: r["result"] for r in conversation.paired_calls(parts).collect()} == {"1": "ok", "2": None}
+
+
+def test_front_matter_query_covers_all_texts(spark, tmp_path):
+    import hashlib
+
+    from loomkb.queries import REGISTRY
+
+    texts = {1: "a\r\nb", 2: "a\rb", 3: None, 4: "", 5: "a\nb"}
+    spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: tuple(r)[1:] for r in REGISTRY["front_matter_round_trip"][0](spark, str(tmp_path)).collect()}
+    assert found == {i: ("en", "web", hashlib.md5(("# web\n\n" + (t or "").replace("\r\n", "\n")).encode()).hexdigest()) for i, t in texts.items()}
