@@ -210,7 +210,7 @@ def _suffixes(width: int, bits: int, text_col: str):
     return run
 
 
-def _prefix_counts(bits: int, step: int):
+def _prefix_counts(bits: int, step: int, heavy: set):
     """Counts of the next ``step`` bits below each heavy prefix: rows (cell, prefix, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,8 @@ def _prefix_counts(bits: int, step: int):
             for cell, raw in zip(b.column("cell").to_pylist(), b.column("tops").to_pylist(), strict=True):
                 tops = np.frombuffer(raw, "S16")
                 keys, sizes = np.unique(_head(tops, bits + step), return_counts=True)
-                out += [(cell, bytes(k).ljust(16, b"\0"), int(n)) for k, n in zip(keys, sizes, strict=True)]
+                parents = _head(keys, bits).tolist()
+                out += [(cell, bytes(k).ljust(16, b"\0"), int(n)) for k, n, p in zip(keys, sizes, parents, strict=True) if (cell, None) in heavy or (cell, bytes(p).ljust(16, b"\0")) in heavy]
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["cell", "prefix", "size"])
 
@@ -244,7 +245,7 @@ def prefix_plan(suffixes: DataFrame, bits: int, most: int) -> dict[int, list[byt
     heavy, bounds, depth = {(r[0], None) for r in sizes.collect()}, {}, bits
     while heavy and depth < 32 * SYMBOLS:
         cells = sorted({c for c, _ in heavy})
-        counts = suffixes.where(F.col("cell").isin(cells)).select("cell", "tops").mapInArrow(_prefix_counts(depth, 8), "cell long, prefix binary, size long")
+        counts = suffixes.where(F.col("cell").isin(cells)).select("cell", "tops").mapInArrow(_prefix_counts(depth, 8, heavy), "cell long, prefix binary, size long")
         below = counts.groupBy("cell", "prefix").agg(F.sum("size").alias("n")).collect()
         parents, heavy_next = {p for _, p in heavy}, set()
         for cell, prefix, n in below:

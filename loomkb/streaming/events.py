@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,6 +40,23 @@ def _folded(run_id: Any, state: tuple[int, list]) -> pd.DataFrame:
     return pd.DataFrame({"run_id": [run_id], "seq": [state[0]], "parts": [rows]})
 
 
+def _folded_batch(events: DataFrame) -> DataFrame:
+    """What fold_step gives for whole runs: parts are islands of events that extend each other, found by windows."""
+    rows = events.where("seq >= 0").dropDuplicates(["run_id", "seq"])
+    told = rows.where(F.col("type").isin(*EXTENDING, "tool_result", "tool_call", "error"))
+    order = Window.partitionBy("run_id").orderBy("seq")
+    extends = F.col("type").isin(*EXTENDING) & (F.lag("type").over(order) == F.col("type")) & F.lag("id").over(order).eqNullSafe(F.col("id"))
+    told = told.withColumn("new", F.when(extends, 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
+    pieces = F.sort_array(F.collect_list(F.struct("seq", "content")))
+    content = F.when(F.count("content") > 0, F.array_join(F.transform(pieces, lambda x: x["content"]), ""))
+    parts = told.groupBy("run_id", "part").agg(F.first("type").alias("type"), content.alias("content"), F.first("id").alias("id"))
+    listed = parts.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("part", "type", "content", "id"))).alias("parts"))
+    listed = listed.select(F.col("run_id").alias("_run"), F.transform("parts", lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"), x["id"].alias("id"))).alias("parts"))
+    last = events.groupBy("run_id").agg(F.greatest(F.max("seq"), F.lit(-1)).cast("long").alias("seq"))
+    none = F.array().cast("array<struct<type:string,content:string,id:string>>")
+    return last.join(listed, F.col("run_id").eqNullSafe(F.col("_run")), "left").select("run_id", "seq", F.coalesce("parts", none).alias("parts"))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(run_id, seq, parts) of each run of ``events`` (run_id, seq, type, content, id), batch or stream.
 
@@ -47,7 +64,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     run's whole message after each batch that touched it, so replayed events change nothing.
     """
     if not events.isStreaming:
-        return events.groupBy("run_id").applyInPandas(lambda key, rows: _folded(key[0], fold_step((-1, []), rows)), FOLDED)
+        return _folded_batch(events)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, parts = state.get if state.exists else (-1, [])
@@ -86,7 +103,12 @@ def limit_logins(attempts: DataFrame) -> DataFrame:
         return state, rows[["user", "ts", "ok"]].assign(allowed=allowed)
 
     if not attempts.isStreaming:
-        return attempts.groupBy("user").applyInPandas(lambda rows: decided(rows, (0.0, 0))[1], DECIDED)
+        # no window reaches over a longer gap than its own (a second more, for rounding), so each island starts anew
+        order = Window.partitionBy("user").orderBy("ts")
+        gap = F.col("ts") - F.lag("ts").over(order)
+        islands = attempts.withColumn("_new", F.when(gap > F.make_dt_interval(secs=F.lit(WINDOW_SECONDS + 1)), 1).otherwise(0))
+        islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("user", "ts", "ok", "_island")
+        return islands.groupBy("user", "_island").applyInPandas(lambda rows: decided(rows, (0.0, 0))[1], DECIDED)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new, rows = decided(pd.concat(list(batches)), state.get if state.exists else (0.0, 0))

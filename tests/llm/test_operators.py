@@ -387,6 +387,17 @@ def test_substrings_extend_heavy_prefixes(spark, docs, monkeypatch):
     assert substring_dedup(spark, no_rows(docs)).count() == 0
 
 
+def test_prefix_counts_leave_light_prefixes_out():
+    import pyarrow as pa
+
+    from loomkb.llm.substrings import _prefix_counts
+
+    tops = [bytes([a, b]) + bytes(14) for a in (1, 2) for b in (1, 2, 3)]
+    batch = pa.RecordBatch.from_pydict({"cell": [0], "tops": [b"".join(tops)]})
+    rows = [r for b in _prefix_counts(8, 8, {(0, tops[0][:1] + bytes(15))})(iter([batch])) for r in b.to_pylist()]
+    assert sorted(r["prefix"] for r in rows) == tops[:3]
+
+
 def test_urls(spark):
     link = "<link rel=canonical href='{0}'>"
     rows = [

@@ -82,3 +82,31 @@ def test_front_matter_query_covers_all_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: tuple(r)[1:] for r in REGISTRY["front_matter_round_trip"][0](spark, str(tmp_path)).collect()}
     assert found == {i: ("en", "web", hashlib.md5(("# web\n\n" + (t or "").replace("\r\n", "\n")).encode()).hexdigest()) for i, t in texts.items()}
+
+
+def test_batches_of_events_are_dealt_by_islands(spark):
+    import datetime
+    import random
+
+    import pandas as pd
+
+    from loomkb.streaming import events as streams
+
+    rng, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    at, rows = start, []
+    for _ in range(400):
+        at += datetime.timedelta(seconds=rng.choice([1, 5, 20, 60, 179, 180, 181, 182, 400]))
+        rows.append(("u", at, rng.random() < 0.2))
+    logins = streams.limit_logins(spark.createDataFrame(rows, "user string, ts timestamp, ok boolean"))
+    want = streams.limit_step((0.0, 0), pd.DataFrame(rows, columns=["user", "ts", "ok"]))[1]
+    assert [r["allowed"] for r in logins.orderBy("ts").collect()] == want
+    assert "_island" in logins._jdf.queryExecution().toString()  # a group is an island, not a user
+    kinds = ["token", "token", "reasoning", "tool_args", "tool_call", "tool_result", "error", "start"]
+    events = [(r, n, rng.choice(kinds), f"c{n}", rng.choice(["a", "a", "b", None])) for r in ("x", "y") for n in range(200)] + [("z", 3, "start", "c", "a"), ("w", -1, "token", "c", "a")]
+    folded = streams.fold_events(spark.createDataFrame(events + events[:50], "run_id string, seq long, type string, content string, id string"))
+    found = {r["run_id"]: (r["seq"], [tuple(p) for p in r["parts"]]) for r in folded.collect()}
+    for run in "xyzw":
+        own = pd.DataFrame([e for e in events if e[0] == run], columns=["run_id", "seq", "type", "content", "id"]).astype({"id": object})
+        own["id"] = own["id"].where(own["id"].notna(), None)
+        assert found[run] == streams.fold_step((-1, []), own)
+    assert "InPandas" not in folded._jdf.queryExecution().toString()  # no run is one task's group
