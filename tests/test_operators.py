@@ -1,11 +1,11 @@
 """Operators on small hand-made inputs and against plain versions."""
 
+import datetime
 import io
 import json
 import random
 import zipfile
 
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -252,7 +252,7 @@ def test_fold_in_batch_and_stream(spark, tmp_path):
 
 
 def test_login_limit_in_batch_and_stream(spark, tmp_path):
-    at = lambda s: pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     rows = [("u", at(s), False) for s in (0, 10, 20, 30, 40, 50)] + [("u", at(179), True), ("u", at(181), False), ("v", at(1), True)]
     attempts = spark.createDataFrame(rows, "user string, ts timestamp, ok boolean")
     allowed = [r["allowed"] for r in streams.limit_logins(attempts).where("user = 'u'").orderBy("ts").collect()]
