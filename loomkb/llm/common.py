@@ -1,4 +1,4 @@
-"""Scratch tables, batch helpers and word hashing shared by the operators."""
+"""Scratch tables, batch helpers, word hashing and worker caches shared by the operators."""
 
 from __future__ import annotations
 
@@ -20,10 +20,13 @@ SLICE_BYTES = 4_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session has none (single-machine tests), a folder is set once.
+    Where a local session has none (single-machine tests), a folder is set once;
+    on a cluster, where executors would not see it, that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomkb-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -79,22 +82,6 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHashes:
-    """64-bit hashes of words, with a bounded cache of the words met so far."""
-
-    def __init__(self, most: int = 400_000):
-        self.cache: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > self.most:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
     x = x ^ (x >> np.uint64(32))
@@ -113,3 +100,71 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(1, size):
         out += words[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
     return mix(out)
+
+
+#: Bytes up to which a word is hashed eight bytes at a time, all words of a slice together.
+LANE_WORDS = 64
+#: What remains of a lane of eight bytes by how many belong to the word.
+LANE_MASKS = np.array([0, *[(1 << 8 * k) - 1 for k in range(1, 8)], 2**64 - 1], np.uint64)
+
+
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of a string column, and where each row's begin and the last one's end; nulls are empty."""
+    raw = column.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a string column's words in order, and where each row's begin and the last one's end.
+
+    Words are runs of bytes other than the ASCII white space; ``lower`` takes
+    A-Z for a-z. A hash covers the word's length and all its bytes, eight at a
+    time through a bijection, so only chance makes two words' hashes equal.
+    """
+    data, ends = _text_bytes(column)
+    n = len(data)
+    text = np.full(n + 8, 32, np.uint8)
+    text[:n] = data
+    if lower:
+        text += ((text - np.uint8(65)) < 26).astype(np.uint8) << 5
+    inside = ~((text[:n] == 32) | ((text[:n] - np.uint8(9)) < 5))
+    edges = ends[ends < n]  # a row's first byte begins a word, whatever stands before it
+    begins = np.empty(n, bool)
+    begins[:1], begins[1:] = True, ~inside[:-1]
+    begins[edges] = True
+    stops = np.empty(n, bool)
+    stops[-1:], stops[:-1] = True, ~inside[1:]
+    stops[edges[edges > 0] - 1] = True
+    starts = np.flatnonzero(inside & begins)
+    sizes = np.flatnonzero(inside & stops) + 1 - starts
+    lanes = np.ndarray((n + 1,), "<u8", text.data, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (lanes[starts] & LANE_MASKS[np.minimum(sizes, 8)]))
+    at, longest = 8, int(sizes.max(initial=0))
+    while at < min(longest, LANE_WORDS):
+        more = np.flatnonzero(sizes > at)
+        lane = lanes[starts[more] + at] & LANE_MASKS[np.minimum(sizes[more] - at, 8)]
+        out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + lane)
+        at += 8
+    if longest > LANE_WORDS:
+        for k in np.flatnonzero(sizes > LANE_WORDS).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(text[starts[k] : starts[k] + sizes[k]].tobytes())
+    return out, np.searchsorted(starts, ends)
+
+
+class Held(dict):
+    """What one operator keeps from task to task in a Python worker; another operator's first use drops it."""
+
+    owner: str | None = None
+
+    def of(self, owner: str, key, make):
+        if self.owner != owner:
+            self.clear()
+            self.owner = owner
+        if key not in self:
+            self[key] = make()
+        return self[key]
+
+
+HELD = Held()

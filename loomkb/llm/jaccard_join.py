@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, byte_values, gram_hashes, slices
+from .common import Scratch, gram_hashes, hashed_words, slices
 from .components import connected_components
 
 #: From so many documents on, a token counts as frequent.
@@ -59,43 +59,29 @@ class Rule:
         return 100 * common >= self.percent * (a + b - common)
 
 
-def shingle_sets(texts: list[bytes], size: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of ``size`` words, A-Z lower-cased.
 
     A text with fewer words has one token, the whole sequence; one without
     words has none.
     """
-    words = [t.lower().split() for t in texts]
-    counts = [len(w) for w in words]
-    flat = hashes([x for w in words for x in w])
-    out, at = [], 0
-    for n in counts:
-        own = flat[at : at + n]
-        at += n
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-        elif n < size:
-            out.append(gram_hashes(own, n) ^ np.uint64(n))
+    flat, ends = hashed_words(texts, lower=True)
+    grams, out = gram_hashes(flat, size), []
+    for at, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        n = end - at
+        if n < size:
+            out.append(gram_hashes(flat[at:end], n) ^ np.uint64(n) if n else np.zeros(0, np.uint64))
         else:
-            out.append(np.unique(gram_hashes(own, size)))
+            own = np.sort(grams[at : end - size + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
     return out
 
 
-HASHES: list[WordHashes] = []
-
-
-def _hashes() -> WordHashes:
-    """Word hashes kept from task to task in a Python worker."""
-    if not HASHES:
-        HASHES.append(WordHashes())
-    return HASHES[0]
-
-
 def _scan(id_col: str, text_col: str, size: int, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                sets = shingle_sets(byte_values(part.column(text_col)), size, _hashes())
+                sets = shingle_sets(part.column(text_col), size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(id_col).cast(pa.int64()),
@@ -113,102 +99,129 @@ def _sets(id_col: str, text_col: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                sets = shingle_sets(byte_values(part.column(text_col)), size, _hashes())
+                sets = shingle_sets(part.column(text_col), size)
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
 
     return run
 
 
-def _postings(buckets: int, rare: int, most: int = 600_000):
-    """Rows (bucket, tokens, docs) of a task's prefix tokens, sorted by token within a bucket.
+def _postings(buckets: int, rare: int, most: int = 400_000):
+    """Rows (bucket, known, tokens, docs, sizes, places) of a task's prefix tokens, sorted by token within a bucket.
 
-    A token that is frequent in this chunk alone is known to be frequent: its
-    documents travel apart, dealt over all buckets (known), and its own bucket
-    gets only the mark -1.
+    A posting carries its document's number of tokens and the token's place
+    among them. A token that is frequent in this chunk alone is known to be
+    frequent: its documents travel apart, dealt over all buckets (known), and
+    its own bucket gets only the mark -1.
     """
 
-    def rows(tokens: np.ndarray, docs: np.ndarray, salt: int):
+    def rows(tokens: np.ndarray, facts: np.ndarray, salt: int):
         order = np.argsort(tokens, kind="stable")
-        tokens, docs = tokens[order], docs[order]
+        tokens, facts = tokens[order], facts[order]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         sizes = np.diff(np.r_[first, len(tokens)])
         hot = np.repeat(sizes >= rare, sizes)
         marks = tokens[first[sizes >= rare]]
-        plain = np.concatenate([tokens[~hot], marks]), np.concatenate([docs[~hot], np.full(len(marks), -1, np.int64)])
-        for known, (t, d), by in ((False, plain, plain[0]), (True, (tokens[hot], docs[hot]), tokens[hot] + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))):
+        mark = np.zeros(len(marks), FACTS)
+        mark["doc"] = -1
+        plain = np.concatenate([tokens[~hot], marks]), np.concatenate([facts[~hot], mark])
+        for known, (t, f), by in ((False, plain, plain[0]), (True, (tokens[hot], facts[hot]), tokens[hot] + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))):
             bucket = (by % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            t, d, bucket = t[order], d[order], bucket[order]
+            t, f, bucket = t[order], f[order], bucket[order]
             if not len(bucket):
                 continue
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                yield int(bucket[s]), known, t[s:e].tobytes(), d[s:e].tobytes()
+                yield int(bucket[s]), known, t[s:e].tobytes(), f["doc"][s:e].tobytes(), *[None if known else f[c][s:e].tobytes() for c in ("size", "place")]
 
     def batch(found):
-        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "known", "tokens", "docs"])
+        columns = list(zip(*found, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.bool_(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "known", "tokens", "docs", "sizes", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, docs, size, salt = [], [], 0, TaskContext.get().partitionId() * 1009
+        tokens, facts, size, salt = [], [], 0, TaskContext.get().partitionId() * 1009
         for b in batches:
-            for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("kept").to_pylist(), strict=True):
+            for doc, n, raw in zip(b.column("doc").to_pylist(), b.column("n").to_pylist(), b.column("kept").to_pylist(), strict=True):
                 own = np.frombuffer(raw, np.uint64)
+                fact = np.empty(len(own), FACTS)
+                fact["doc"], fact["size"], fact["place"] = doc, n, np.arange(len(own))
                 tokens.append(own)
-                docs.append(np.full(len(own), doc, np.int64))
+                facts.append(fact)
                 size += len(own)
                 if size >= most:
-                    yield batch(rows(np.concatenate(tokens), np.concatenate(docs), salt))
-                    tokens, docs, size, salt = [], [], 0, salt + 1
+                    yield batch(rows(np.concatenate(tokens), np.concatenate(facts), salt))
+                    tokens, facts, size, salt = [], [], 0, salt + 1
         if size:
-            yield batch(rows(np.concatenate(tokens), np.concatenate(docs), salt))
+            yield batch(rows(np.concatenate(tokens), np.concatenate(facts), salt))
 
     return run
 
 
-def _pairs_of_runs(docs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within runs of equal size classes, made for all runs of one size at once."""
+#: A posting's document, its number of tokens and the token's place among them.
+FACTS = np.dtype([("doc", np.int64), ("size", np.int32), ("place", np.int32)])
+#: Pairs that a task holds at once before the filters.
+PAIRS = 200_000
+
+
+def _possible_pairs(facts: np.ndarray, first: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of documents within runs of postings of one token whose sizes and places of the token allow similarity.
+
+    Of two documents' tokens, at most the lesser number before the token, and the
+    lesser number from it on, can be common.
+    """
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in np.unique(sizes):
-        own = docs[first[sizes == m][:, None] + np.arange(m)]
-        own.sort(axis=1)
-        a, b = np.triu_indices(int(m), 1)
-        left.append(own[:, a].ravel())
-        right.append(own[:, b].ravel())
+        i, j = np.triu_indices(int(m), 1)
+        runs = first[sizes == m]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(runs), step):
+            own = facts[runs[k : k + step][:, None] + np.arange(m)]
+            a, b = own[:, i].ravel(), own[:, j].ravel()
+            x, y = a["size"].astype(np.int64), b["size"].astype(np.int64)
+            most = np.minimum(a["place"], b["place"]) + np.minimum(x - a["place"], y - b["place"])
+            fit = (100 * np.minimum(x, y) >= rule.percent * np.maximum(x, y)) & rule.similar(most, x, y) & (a["doc"] != b["doc"])
+            a, b = a["doc"][fit], b["doc"][fit]
+            left.append(np.minimum(a, b))
+            right.append(np.maximum(a, b))
     return np.concatenate(left), np.concatenate(right)
 
 
-def _group_postings(rare: int):
-    """One bucket: pairs of documents that share rare tokens (kind 0: a, b, times), and who holds frequent ones (kind 1: token, doc)."""
+def _group_postings(rare: int, rule: Rule):
+    """One bucket: pairs of documents that share rare tokens and may be similar (kind 0: a, b, times), and who holds frequent ones (kind 1: token, doc)."""
 
     def run(group: pa.Table) -> pa.Table:
         known = group.column("known").to_pylist()
-        raw_t, raw_d = group.column("tokens").to_pylist(), group.column("docs").to_pylist()
-        join = lambda raw, flag, kind: np.frombuffer(b"".join(x for x, k in zip(raw, known, strict=True) if k == flag), kind)
-        tokens, docs = join(raw_t, False, np.uint64), join(raw_d, False, np.int64)
+
+        def joined(column, flag, kind):
+            return np.frombuffer(b"".join(x for x, k in zip(group.column(column).to_pylist(), known, strict=True) if k == flag), kind)
+
+        tokens = joined("tokens", False, np.uint64)
+        facts = np.empty(len(tokens), FACTS)
+        for name, column in (("doc", "docs"), ("size", "sizes"), ("place", "places")):
+            facts[name] = joined(column, False, FACTS[name])
         order = np.argsort(tokens, kind="stable")
-        tokens, docs = tokens[order], docs[order]
+        tokens, facts = tokens[order], facts[order]
         a = b = times = np.zeros(0, np.int64)
-        ft, fd = [join(raw_t, True, np.uint64)], [join(raw_d, True, np.int64)]
+        ft, fd = [joined("tokens", True, np.uint64)], [joined("docs", True, np.int64)]
         if len(tokens):
             first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             sizes = np.diff(np.r_[first, len(tokens)])
-            marked = np.minimum.reduceat(docs, first) < 0
+            marked = np.minimum.reduceat(facts["doc"], first) < 0
             hot = marked | (sizes >= rare)
-            rows = np.repeat(hot, sizes) & (docs >= 0)
+            rows = np.repeat(hot, sizes) & (facts["doc"] >= 0)
             ft.append(tokens[rows])
-            fd.append(docs[rows])
+            fd.append(facts["doc"][rows])
             some = ~hot & (sizes > 1)
-            a, b = _pairs_of_runs(docs, first[some], sizes[some])
+            a, b = _possible_pairs(facts, first[some], sizes[some], rule)
             if len(a):
-                both = np.stack([a, b], axis=1)
                 order = np.lexsort((b, a))
-                both = both[order]
-                new = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
-                times = np.diff(np.r_[new, len(both)])
-                a, b = both[new, 0], both[new, 1]
+                a, b = a[order], b[order]
+                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                times = np.diff(np.r_[new, len(a)])
+                a, b = a[new], b[new]
         ft, fd = np.concatenate(ft).view(np.int64), np.concatenate(fd)
         return pa.table(
             {
@@ -346,22 +359,30 @@ def shingle_components(
 
     Null, empty and word-less texts have no shingles and are linked with
     nothing. A null id keeps its row and links with nothing. Rows repeated with
-    their id fall in one class. Other columns are ignored.
+    their id fall in one class; an id with several texts links by
+    each of them. Other columns are ignored. ``percent`` must be over 50: below, documents may
+    be similar that share one shingle alone, and such have no combinations.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("similar documents must share more than half of their shingles: percent from 51 to 100")
     rule, scratch = Rule(percent), Scratch(spark, "jaccard-join")
     short = 1
     while int(rule.least(short)) <= CLASSES:
         short += 1
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     scanned = scratch.write(narrow.mapInArrow(_scan(id_col, text_col, size, rule), "doc_id long, n long, digest binary, kept binary"), "scanned")
-    classes = scratch.write(scanned.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "classes")
-
-    reps = scanned.where("n > 1").join(classes.select(F.col("doc").alias("doc_id"), F.col("digest").alias("own")), "doc_id")
-    reps = reps.where(F.col("own") == F.col("digest")).select("doc_id", "kept", "n")
     total = scanned.agg(F.sum(F.octet_length("kept")) / 8).first()[0] or 0
+    firsts = scanned.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "kept")).alias("s"))
+    reps = scratch.write(firsts.select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.kept"), "reps")
+    rows = scratch.write(scanned.select("doc_id", "n", "digest"), "rows")
+    scratch.drop("scanned")
+
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_POSTINGS))
-    posted = reps.select("doc_id", "kept").mapInArrow(_postings(buckets, rare), "bucket long, known boolean, tokens binary, docs binary")
-    grouped = scratch.write(posted.groupBy("bucket").applyInArrow(_group_postings(rare), "kind int, a long, b long, times long"), "grouped")
+    # a document of one token is similar to its equals alone, which are one class
+    posted = reps.where("n > 1").select("doc", "n", "kept").mapInArrow(_postings(buckets, rare), "bucket long, known boolean, tokens binary, docs binary, sizes binary, places binary")
+    grouped = scratch.write(posted.groupBy("bucket").applyInArrow(_group_postings(rare, rule), "kind int, a long, b long, times long"), "grouped")
+    classes = scratch.write(reps.select("digest", "doc", "n"), "classes")
+    scratch.drop("reps")
 
     held = grouped.where("kind = 1").groupBy(F.col("b").alias("doc")).agg(F.collect_set("a").alias("held"))
     held = scratch.write(held.join(classes.select("doc", "n"), "doc"), "held")
@@ -370,14 +391,16 @@ def shingle_components(
     least = _least_column(rule, F.least("na", "nb"))
     pairs = pairs.join(facts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("often").alias("oa")), "a")
     pairs = pairs.join(facts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("often").alias("ob")), "b")
-    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("common", F.col("times") + F.least("oa", "ob")).where(F.col("common") >= least)
+    pairs = pairs.withColumn("common", F.col("times") + F.least("oa", "ob")).where(F.col("common") >= least)
     pairs = scratch.write(pairs.select("a", "b", "common"), "pairs")
+    scratch.drop("grouped")
 
     heavy = held.where(F.size("held") >= _least_column(rule, F.col("n")))
     members = scratch.write(heavy.select("doc", "n", "held").mapInArrow(_combinations(rule, short), "sig long, doc long"), "members")
     weighed = members.join(heavy.select("doc", (F.col("n") - F.size("held")).alias("own")), "doc")
     pivots = weighed.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("own", "doc"))["doc"].alias("pivot")).where("m > 1")
     around = scratch.write(members.join(pivots, "sig").groupBy("pivot", "doc").agg(F.count("*").alias("common")), "around")
+    scratch.drop("members", "held")
 
     # one likely partner for each document first; what that connects needs no further comparison
     nearest = pairs.union(around.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "common"))
@@ -392,13 +415,15 @@ def shingle_components(
     comp = lambda df, c, name: df.join(first.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     rest = comp(comp(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     more = scratch.write(_verify(rest, sets, rule), "more")
+    scratch.drop("pairs", "nearest")
     placed = scratch.write(comp(comp(around.select("pivot", "doc"), "doc", "comp"), "pivot", "main"), "placed")
     open_groups = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("pivot")
     across = scratch.write(_cross(placed.join(open_groups, "pivot"), sets, rule), "across")
+    scratch.drop("around", "placed", "sets")
     final = connected_components(links.union(more).union(across), scratch, "cc2")
 
     named = classes.join(final, classes["doc"] == final["node"], "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    out = scanned.select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = rows.join(named, "digest", "left")
     lone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

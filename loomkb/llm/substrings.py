@@ -21,34 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, byte_values, gram_hashes, slices
+from .common import Scratch, byte_values, gram_hashes, hashed_words, slices
 
 ANCHOR_WORDS = 5
 #: Symbols of a suffix's top, 32 bits each.
 SYMBOLS = 4
 #: Anchors or suffixes that one task groups, on average; prefixes are extended beyond twice as many.
-GROUP = 500_000
+GROUP = 300_000
 #: Anchors or suffixes that a task holds before it passes them on.
-CHUNK = 1_500_000
-
-HASHES: list[WordHashes] = []
-
-
-def _hashes() -> WordHashes:
-    """Word hashes kept from task to task in a Python worker."""
-    if not HASHES:
-        HASHES.append(WordHashes())
-    return HASHES[0]
-
-
-def _word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    words = [t.split() for t in texts]
-    flat, at, out = _hashes()([x for w in words for x in w]), 0, []
-    for w in words:
-        out.append(flat[at : at + len(w)])
-        at += len(w)
-    return out
-
+CHUNK = 500_000
 
 def _sliding(values: np.ndarray, size: int, op) -> np.ndarray:
     """``op`` over each run of ``size`` neighbours, by doubling."""
@@ -60,17 +41,35 @@ def _sliding(values: np.ndarray, size: int, op) -> np.ndarray:
     return values
 
 
-def window_anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchor runs, each window's least of them, and the places of all anchors."""
-    grams = gram_hashes(words, ANCHOR_WORDS)
-    n = len(words) - width + 1
-    if n <= 0:
-        return grams, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    span = width - ANCHOR_WORDS + 1
-    least = _sliding(grams, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    highest = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
-    return grams, least, np.flatnonzero(grams == highest)
+class Windows:
+    """The windows of ``width`` words of all rows of a text column, and their anchors."""
+
+    def __init__(self, texts: pa.Array, width: int):
+        self.words, ends = hashed_words(texts)
+        self.begins = ends[:-1]
+        self.row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        self.grams = gram_hashes(self.words, ANCHOR_WORDS)
+        self.span = width - ANCHOR_WORDS + 1
+        n = max(0, len(self.words) - width + 1)
+        #: The least anchor hash of the window that begins at each word; 0 where it would leave its row.
+        self.least = np.where(self.row[:n] == self.row[width - 1 :], _sliding(self.grams, self.span, np.minimum), np.uint64(0)) if n else np.zeros(0, np.uint64)
+
+    def anchors(self) -> np.ndarray:
+        """Words at which some window's least run begins."""
+        if not len(self.least):
+            return np.zeros(0, np.int64)
+        pad = np.zeros(self.span - 1, np.uint64)
+        highest = _sliding(np.concatenate([pad, self.least, pad]), self.span, np.maximum)
+        return np.flatnonzero((self.grams == highest) & (highest > 0))
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        return (at - self.begins[self.row[at]]).astype(np.int32)
+
+    def on(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Words at which windows on one of the anchors at ``places`` of ``rows`` begin."""
+        at = self.begins[rows] + places
+        hot = np.unique(self.grams[at[at < len(self.grams)]])
+        return np.flatnonzero(np.isin(self.least, hot) & (self.least > 0))
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -120,12 +119,11 @@ def _anchors(width: int, buckets: int, text_col: str):
         held, size, salt = [], 0, TaskContext.get().partitionId()
         for whole in batches:
             for part in slices(whole, text_col):
-                keys = part.column("_key").to_numpy().view(np.uint64)
-                for key, words in zip(keys, _word_hashes(byte_values(part.column(text_col))), strict=True):
-                    grams, _, at = window_anchors(words, width)
-                    if len(at):
-                        held.append((grams[at], np.full(len(at), key), at.astype(np.int32)))
-                        size += len(at)
+                keys, windows = part.column("_key").to_numpy().view(np.uint64), Windows(part.column(text_col), width)
+                at = windows.anchors()
+                if len(at):
+                    held.append((windows.grams[at], keys[windows.row[at]], windows.places(at)))
+                    size += len(at)
                 if size >= CHUNK:
                     yield batch(rows(*map(np.concatenate, zip(*held, strict=True)), salt))
                     held, size, salt = [], 0, salt + 1
@@ -162,44 +160,52 @@ def _listed(keys: np.ndarray, places: np.ndarray, name: str) -> pa.Table:
     return pa.table({name: pa.array([k for k, _ in found], pa.int64()), "places": pa.array([p for _, p in found], pa.binary())})
 
 
+#: A suffix's columns: document, 64 bits of its text's digest (an id may have several texts), place.
+LEAF = (("docs", np.int64), ("keys", np.int64), ("places", np.int32))
+COLUMNS = ("cell", "tops", "wholes", *[c for c, _ in LEAF])
+
+
 def _suffixes(width: int, bits: int, text_col: str):
-    """Rows (cell, tops, wholes, docs, places) of suffixes that start on a repeated anchor; cell -1: places whose window began earlier in this chunk.
+    """Rows (cell, tops, wholes, docs, keys, places) of suffixes that start on a repeated anchor; cell -1: places whose window began earlier in this chunk.
 
     A top is the big-endian string of its symbols' hashes; a cell is its first ``bits`` bits; a whole is the hash of all words of the window.
     """
     span = -(-width // SYMBOLS)
     steps = [round(k * (width - span) / (SYMBOLS - 1)) for k in range(SYMBOLS)]
 
-    def rows(tops, wholes, docs, places):
-        order = np.lexsort((places, docs, wholes, tops[:, 1], tops[:, 0]))
-        tops, wholes, docs, places = tops[order], wholes[order], docs[order], places[order]
+    def rows(tops, wholes, docs, keys, places):
+        order = np.lexsort((places, keys, docs, wholes, tops[:, 1], tops[:, 0]))
+        tops, wholes, docs, keys, places = tops[order], wholes[order], docs[order], keys[order], places[order]
         new = np.r_[True, (tops[1:] != tops[:-1]).any(axis=1) | (wholes[1:] != wholes[:-1])]
-        for d, p in _by_bucket(docs[~new], places[~new]):
-            yield -1, None, None, np.int64(d).tobytes(), p
-        tops, wholes, docs, places = tops[new], wholes[new], docs[new], places[new]
+        again = np.flatnonzero(~new)
+        if len(again):
+            again = again[np.argsort(docs[again], kind="stable")]
+            for k in range(0, len(again), 50_000):
+                own = again[k : k + 50_000]
+                yield -1, None, None, docs[own].tobytes(), keys[own].tobytes(), places[own].tobytes()
+        tops, wholes, docs, keys, places = tops[new], wholes[new], docs[new], keys[new], places[new]
         cells = (tops[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tops), np.int64)
-        yield from _by_bucket(cells, tops.astype(">u8"), wholes, docs, places)
+        yield from _by_bucket(cells, tops.astype(">u8"), wholes, docs, keys, places)
 
     def batch(found):
-        columns = list(zip(*found, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "tops", "wholes", "docs", "places"])
+        columns = list(zip(*found, strict=True)) or [()] * len(COLUMNS)
+        kinds = (pa.int64(), *[pa.binary()] * (len(COLUMNS) - 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(COLUMNS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         high = np.uint64(0xFFFFFFFF00000000)
         for whole in batches:
             for part in slices(whole, text_col):
-                lists = part.column("lists").to_pylist()
-                for doc, own, words in zip(part.column("first").to_pylist(), lists, _word_hashes(byte_values(part.column(text_col))), strict=True):
-                    grams, least, _ = window_anchors(words, width)
-                    at = np.frombuffer(b"".join(own), np.int32)
-                    starts = np.flatnonzero(np.isin(least, np.unique(grams[at])))
-                    if not len(starts):
-                        continue
-                    symbols = gram_hashes(words, span) if span != ANCHOR_WORDS else grams
+                windows = Windows(part.column(text_col), width)
+                own = [np.frombuffer(b"".join(x), np.int32) for x in part.column("lists").to_pylist()]
+                starts = windows.on(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own))
+                if len(starts):
+                    symbols = gram_hashes(windows.words, span) if span != ANCHOR_WORDS else windows.grams
                     a, b, c, d = (symbols[starts + s] & high for s in steps)
-                    held.append((np.stack([a | (b >> np.uint64(32)), c | (d >> np.uint64(32))], axis=1), gram_hashes(words, width)[starts], np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                    row = windows.row[starts]
+                    docs, keys = part.column("_doc").to_numpy()[row], part.column("_key").to_numpy()[row]
+                    held.append((np.stack([a | (b >> np.uint64(32)), c | (d >> np.uint64(32))], axis=1), gram_hashes(windows.words, width)[starts], docs, keys, windows.places(starts)))
                     size += len(starts)
                 if size >= CHUNK:
                     yield batch(rows(*map(np.concatenate, zip(*held, strict=True))))
@@ -261,40 +267,42 @@ def prefix_plan(suffixes: DataFrame, bits: int, most: int) -> dict[int, list[byt
 def _regrouped(plan_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = {c: np.array(b, "S16") for c, b in plan_of.value.items()}
+        names = ["cell", "branch", *COLUMNS[1:]]
         for b in batches:
             out = []
-            for cell, tops, wholes, docs, places in zip(*[b.column(c).to_pylist() for c in ("cell", "tops", "wholes", "docs", "places")], strict=True):
+            for cell, *raw in zip(*[b.column(c).to_pylist() for c in COLUMNS], strict=True):
                 if cell not in plan:
-                    out.append((cell, 0, tops, wholes, docs, places))
+                    out.append((cell, 0, *raw))
                     continue
-                group = np.searchsorted(plan[cell], np.frombuffer(tops, "S16"), side="right")
-                columns = np.frombuffer(tops, "V16"), np.frombuffer(wholes, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
+                group = np.searchsorted(plan[cell], np.frombuffer(raw[0], "S16"), side="right")
+                columns = [np.frombuffer(x, t) for x, t in zip(raw, ("V16", np.uint64, *[t for _, t in LEAF]), strict=True)]
                 out += [(cell, *x) for x in _by_bucket(group, *columns)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell", "branch", "tops", "wholes", "docs", "places"])
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 2))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def _dealt(docs: np.ndarray, places: np.ndarray, slots: int) -> pa.Table:
-    """Places of documents, one row for each slot that some of the documents fall in."""
-    found = list(_by_bucket(docs % slots, docs, places))
-    columns = list(zip(*found, strict=True)) or [()] * 3
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("slot", "docs", "places"), columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
+def _dealt(slots: int, *leaf: np.ndarray) -> pa.Table:
+    """Leaves, one row for each slot that some of their documents fall in."""
+    found = list(_by_bucket(leaf[0] % slots, *leaf))
+    columns = list(zip(*found, strict=True)) or [()] * (1 + len(LEAF))
+    kinds = (pa.int64(), *[pa.binary()] * len(LEAF))
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("slot", *[c for c, _ in LEAF]), columns, kinds, strict=True)})
 
 
 def _subtree(slots: int):
     """One subtree's leaves under deep internal nodes, but for each node's earliest leaf."""
 
     def run(group: pa.Table) -> pa.Table:
-        kinds = ("tops", ">u8"), ("wholes", np.uint64), ("docs", np.int64), ("places", np.int32)
-        tops, wholes, docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in kinds)
+        kinds = ("tops", ">u8"), ("wholes", np.uint64), *LEAF
+        tops, wholes, docs, keys, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in kinds)
         tops = tops.reshape(-1, 2).astype(np.uint64)
-        order = np.lexsort((places, docs, wholes, tops[:, 1], tops[:, 0]))
-        tops, wholes, docs, places = tops[order], wholes[order], docs[order], places[order]
-        again = np.r_[False, (tops[1:] == tops[:-1]).all(axis=1) & (wholes[1:] == wholes[:-1])] if len(tops) else np.zeros(0, bool)
-        return _dealt(docs[again], places[again], slots)
+        order = np.lexsort((places, keys, docs, wholes, tops[:, 1], tops[:, 0]))
+        tops, wholes = tops[order], wholes[order]
+        again = order[np.r_[False, (tops[1:] == tops[:-1]).all(axis=1) & (wholes[1:] == wholes[:-1])]] if len(tops) else order
+        return _dealt(slots, docs[again], keys[again], places[again])
 
     return run
 
@@ -302,17 +310,20 @@ def _subtree(slots: int):
 def _known(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [np.frombuffer(p, np.int32) for p in b.column("places").to_pylist()]
-            docs = [np.repeat(np.frombuffer(d, np.int64), len(p)) for d, p in zip(b.column("docs").to_pylist(), places, strict=True)]
-            if docs:
-                yield from _dealt(np.concatenate(docs), np.concatenate(places), slots).to_batches()
+            leaf = [np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in LEAF]
+            if len(leaf[0]):
+                yield from _dealt(slots, *leaf).to_batches()
 
     return run
 
 
 def _by_document(group: pa.Table) -> pa.Table:
-    docs, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", np.int32)))
-    return _listed(docs, places, "doc")
+    """One row (doc, key, places) for each text of each document."""
+    docs, keys, places = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in LEAF)
+    order = np.lexsort((keys, docs))
+    docs, keys, places = docs[order], keys[order], places[order]
+    ends = np.r_[0, np.flatnonzero((docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])) + 1, len(docs)] if len(docs) else np.zeros(1, np.int64)
+    return pa.table({"doc": pa.array(docs[ends[:-1]]), "key": pa.array(keys[ends[:-1]]), "places": pa.array([places[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
 def _cut(width: int, text_col: str):
@@ -356,40 +367,42 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, *, width: int = 20, id
     before they move, so a passage that a third of all rows share costs one
     suffix a task. Null and empty texts have no words. Rows with a null id take
     no part and keep their words; rows repeated with their id keep what that
-    document keeps. Other columns pass through unless they clash with the new ones.
+    document keeps. An id with several texts is a document for each, in the order
+    of their digests. Other columns pass through unless they clash with the new ones.
     """
     if width < ANCHOR_WORDS:
         raise ValueError(f"a window has {ANCHOR_WORDS} words at least")
     scratch = Scratch(spark, "substrings")
     doc, digest = F.col(id_col).cast("long"), F.unhex(F.substring(F.sha2(text_col, 256), 1, 32))
-    thin = docs.where(F.length(text_col) >= 2 * width - 1).where(doc.isNotNull()).select(doc.alias("_doc"), text_col)
-    ids = scratch.write(thin.select("_doc", digest.alias("_digest"), F.length(text_col).alias("_size")), "ids")
-    firsts = scratch.write(ids.groupBy("_digest").agg(F.min("_doc").alias("_first")), "firsts")
     head = F.conv(F.hex(F.substring("_digest", 1, 8)), 16, -10).cast("long").alias("_key")
+    thin = docs.where(F.length(text_col) >= 2 * width - 1).where(doc.isNotNull()).select(doc.alias("_doc"), digest.alias("_digest"), text_col)
+    ids = scratch.write(thin.select("_doc", "_digest", F.length(text_col).alias("_size")), "ids")
+    firsts = scratch.write(ids.groupBy("_digest").agg(F.min("_doc").alias("_first")), "firsts")
     size = ids.agg(F.sum("_size")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, math.ceil(size / 40 / GROUP))  # about one anchor in 40 characters
-    keyed = thin.withColumn("_digest", digest).select(head, text_col)
-    anchors = keyed.mapInArrow(_anchors(width, buckets, text_col), "bucket long, known boolean, values binary, texts binary, places binary")
+    anchors = thin.select(head, text_col).mapInArrow(_anchors(width, buckets, text_col), "bucket long, known boolean, values binary, texts binary, places binary")
     repeated = scratch.write(anchors.groupBy("bucket").applyInArrow(_repeated_anchors, "text long, places binary"), "anchors")
 
     found = repeated.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 0
     bits = max(1, math.ceil(math.log2(max(2, parts, 5 * found / GROUP))))
     lists = repeated.groupBy(F.col("text").alias("_key")).agg(F.collect_list("places").alias("lists"))
-    wanted = firsts.select("_first", head).join(lists, "_key").select(F.col("_first").alias("_doc"), "lists")
-    sources = thin.join(wanted, "_doc").select(F.col("_doc").alias("first"), "lists", text_col)
-    suffixes = scratch.write(sources.mapInArrow(_suffixes(width, bits, text_col), "cell long, tops binary, wholes binary, docs binary, places binary"), "suffixes")
+    wanted = firsts.select(F.col("_first").alias("_doc"), "_digest", head).join(lists, "_key")
+    sources = thin.join(wanted, ["_doc", "_digest"]).select("_doc", "_key", "lists", text_col)
+    suffixes = scratch.write(sources.mapInArrow(_suffixes(width, bits, text_col), "cell long, tops binary, wholes binary, docs binary, keys binary, places binary"), "suffixes")
     plan_of = spark.sparkContext.broadcast(prefix_plan(suffixes, bits, 2 * GROUP))
-    grouped = suffixes.where("cell >= 0").mapInArrow(_regrouped(plan_of), "cell long, branch long, tops binary, wholes binary, docs binary, places binary")
-    slots, dealt = max(parts, math.ceil(5 * found / GROUP)), "slot long, docs binary, places binary"
+    grouped = suffixes.where("cell >= 0").mapInArrow(_regrouped(plan_of), "cell long, branch long, tops binary, wholes binary, docs binary, keys binary, places binary")
+    slots, dealt = max(parts, math.ceil(5 * found / GROUP)), "slot long, docs binary, keys binary, places binary"
     deep = grouped.groupBy("cell", "branch").applyInArrow(_subtree(slots), dealt)
-    here = suffixes.where("cell < 0").select("docs", "places").mapInArrow(_known(slots), dealt)
-    covers = scratch.write(deep.union(here).groupBy("slot").applyInArrow(_by_document, "doc long, places binary"), "covers")
-
-    copies = ids.join(firsts, "_digest").where("_doc <> _first").select(F.col("_doc").alias("doc")).distinct()
-    facts = covers.join(copies.withColumn("again", F.lit(True)), "doc", "full_outer")
-    clash = {"n_words", "n_removed", "kept_text", "again", "places", "_doc"} - {id_col, text_col}
-    rows = docs.select(*[c for c in docs.columns if c not in clash]).withColumn("_doc", doc)
-    rows = rows.join(facts.withColumnRenamed("doc", "_doc"), "_doc", "left").withColumn("again", F.coalesce("again", F.lit(False))).drop("_doc")
+    here = suffixes.where("cell < 0").select("docs", "keys", "places").mapInArrow(_known(slots), dealt)
+    covers = scratch.write(deep.union(here).groupBy("slot").applyInArrow(_by_document, "doc long, key long, places binary"), "covers")
+    scratch.drop("anchors", "suffixes")
+
+    copies = ids.join(firsts, "_digest").where("_doc <> _first").select(F.col("_doc").alias("doc"), head.alias("key")).distinct()
+    facts = covers.join(copies.withColumn("again", F.lit(True)), ["doc", "key"], "full_outer").withColumnsRenamed({"doc": "_doc", "key": "_key"})
+    facts = scratch.write(facts.withColumn("again", F.coalesce("again", F.lit(False))), "facts")
+    clash = {"n_words", "n_removed", "kept_text", "again", "places", "_doc", "_digest", "_key"} - {id_col, text_col}
+    rows = docs.select(*[c for c in docs.columns if c not in clash]).withColumn("_doc", doc).withColumn("_digest", digest).withColumn("_key", head)
+    rows = rows.join(facts, ["_doc", "_key"], "left").drop("_doc", "_digest", "_key")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("again", "places", text_col)]
     return rows.mapInArrow(_cut(width, text_col), ", ".join([*kept, "n_words long", "n_removed long", "kept_text string"]))
