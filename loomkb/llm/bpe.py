@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import HELD, Scratch, slices
 from .lexicon import Lexicon, compile_lexicon
 from .tokens import BYTE_WORDS, LONG_UNIT, byte_letters, spaced_units
 
@@ -192,9 +192,6 @@ class Encoder:
                 del self.shown[u], self.bytes[u]
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
 def _words(batches: Iterator[pa.RecordBatch], text_col: str, least: int) -> Iterator[pa.RecordBatch]:
     """Counts of the task's words (units of one pre-token) that it met ``least`` times or more."""
     counts: Counter[str] = Counter()
@@ -236,10 +233,7 @@ def frequent_words(docs: DataFrame, text_col: str, most: int) -> list[str]:
 
 def _encode(key: str, spec_of, lexicon_of, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in ENCODERS:
-            ENCODERS.clear()
-            ENCODERS[key] = Encoder(spec_of.value, lexicon_of.value)
-        encode = ENCODERS[key]
+        encode = HELD.of(f"bpe {key}", "encoder", lambda: Encoder(spec_of.value, lexicon_of.value))
         for batch in batches:
             for part in slices(batch, text_col, 2_000_000):
                 rows = list(encode([t or "" for t in part.column(text_col).to_pylist()]))

@@ -123,6 +123,7 @@ def hashed_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.
     A-Z for a-z. A hash covers the word's length and all its bytes, eight at a
     time through a bijection, so only chance makes two words' hashes equal.
     """
+    HELD.only("words")  # hashing needs no cache
     data, ends = _text_bytes(column)
     n = len(data)
     text = np.full(n + 8, 32, np.uint8)
@@ -158,10 +159,14 @@ class Held(dict):
 
     owner: str | None = None
 
-    def of(self, owner: str, key, make):
+    def only(self, owner: str) -> None:
+        """Drop what another operator has kept."""
         if self.owner != owner:
             self.clear()
             self.owner = owner
+
+    def of(self, owner: str, key, make):
+        self.only(owner)
         if key not in self:
             self[key] = make()
         return self[key]

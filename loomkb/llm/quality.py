@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import HELD, slices
 
 #: Rows of the word table (words are hashed to them), components of a vector and non-zero ones of an index vector.
 ROWS, DIM, NONZERO = 1 << 13, 64, 4
@@ -24,30 +24,41 @@ SEED = 2
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+def shape(token: str) -> str:
+    """How a token is written: its case, or its first character and length."""
+    if token[0].isalpha():
+        return "upper" if len(token) > 1 and token.isupper() else "title" if token[0].isupper() else "lower"
+    return f"{token[0]}{min(len(token), 3)}"
+
+
 class TokenRows:
-    """Table rows of tokens, with a bounded cache of the tokens met so far."""
+    """Table rows of a text's tokens and of their marks: how each is written, and whether it repeats one of the two before it.
+
+    Tokens met lately are cached, at most ``most`` of them and of as many characters times 16.
+    """
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.cache: dict[str, int] = {}
-        self.most = most
+        self.most, self.room = most, 16 * most
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         tokens, cache = TOKEN.findall(text), self.cache
-        if len(cache) > self.most:
+        if len(cache) > self.most or self.room < 0:
             cache.clear()
+            self.room = 16 * self.most
         for t in set(tokens).difference(cache):
-            cache[t] = zlib.crc32(t.encode()) % ROWS
-        return np.fromiter(map(cache.__getitem__, tokens), np.int64, len(tokens))
-
-
-CACHE: list[TokenRows] = []
+            cache[t] = zlib.crc32(t.encode()) % ROWS * ROWS + zlib.crc32(shape(t).encode()) % (ROWS // 2) * 2
+            self.room -= len(t)
+        both = np.fromiter(map(cache.__getitem__, tokens), np.int64, len(tokens))
+        rows, marks = both // ROWS, both % ROWS
+        for step in (1, 2):
+            marks[step:] |= rows[step:] == rows[:-step]
+        return rows, marks
 
 
 def _rows_of() -> TokenRows:
     """Token rows kept from task to task in a Python worker."""
-    if not CACHE:
-        CACHE.append(TokenRows())
-    return CACHE[0]
+    return HELD.of("quality", "rows", TokenRows)
 
 
 def index_vectors(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +94,10 @@ def _contexts(text_col: str):
             for part in slices(whole, text_col):
                 for t in part.column(text_col).to_pylist():
                     if t:
-                        own = _rows_of()(t)
+                        own, _ = _rows_of()(t)
                         held += [own, gap]  # no context across texts
                         size += len(own)
-                if size > 1_000_000:
+                if size > 250_000:
                     add(np.concatenate(held))
                     held, size = [], 0
         if held:
@@ -119,21 +130,33 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     for part, sums, _ in found:
         own = np.frombuffer(bytes(sums), np.float64).reshape(-1, DIM)
         table[part * len(own) : (part + 1) * len(own)] = own
-    places, signs = index_vectors()
-    base = np.zeros((ROWS, DIM))
-    np.put_along_axis(base, places, signs.astype(float), axis=1)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return unit(unit(table) + unit(base)).astype(np.float32)
+    return unit(unit(table) + unit(index_table())).astype(np.float32)
+
+
+def index_table() -> np.ndarray:
+    """The index vectors as rows of unit length."""
+    places, signs = index_vectors()
+    base = np.zeros((ROWS, DIM), np.float32)
+    np.put_along_axis(base, places, signs.astype(np.float32) / np.sqrt(NONZERO), axis=1)
+    return base
+
+
+#: Components of a text's pooled vector: words, distinct words, marks, and the length of the first mean.
+POOLED = 3 * DIM + 1
 
 
 def pooled(texts: list[str | None], table: np.ndarray) -> np.ndarray:
-    """The mean of each text's word vectors; zero for a text without words."""
-    out = np.zeros((len(texts), table.shape[1]), np.float32)
+    """Means of each text's word vectors over its words and over its distinct words, of its marks' index vectors, and the length of the first; zero for a text without tokens."""
+    out, base = np.zeros((len(texts), POOLED), np.float32), HELD.of("quality", "index", index_table)
     for k, t in enumerate(texts):
-        rows = _rows_of()(t) if t else ()
+        rows, marks = _rows_of()(t) if t else ((), ())
         if len(rows):
             met, times = np.unique(rows, return_counts=True)
-            out[k] = times.astype(np.float32) @ table[met] / len(rows)
+            own = table[met]
+            mean = times.astype(np.float32) @ own / len(rows)
+            seen, often = np.unique(marks, return_counts=True)
+            out[k] = np.concatenate([mean, own.mean(axis=0), often.astype(np.float32) @ base[seen] / len(rows), [np.linalg.norm(mean)]])
     return out
 
 
@@ -234,18 +257,19 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_c
     texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).withColumnRenamed(id_col, "doc_id")
     texts = texts.join(F.broadcast(rows), "doc_id")  # ``sample`` rows at most
     found = texts.mapInArrow(_features(table_of, "doc_id", text_col), "doc_id long, label int, x binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, DIM).astype(np.float64) if len(found) else np.zeros((0, DIM))
+    found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")  # of an id's texts one, whatever the tasks' order
+    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, POOLED).astype(np.float64) if len(found) else np.zeros((0, POOLED))
     return table, Network(x, found["label"].to_numpy(np.float64) if len(found) else np.zeros(0))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with score (0 to 1) and predicted (1 from 0.5 on).
 
-    Scores see the text alone: tokens hashed to the word table's rows, the mean
-    of their vectors, the network's calibrated probability. Null, empty and
-    token-less texts are scored from the zero vector. Other columns pass
-    through unless they clash with the new ones; rows are never dropped.
+    Scores see the text alone: tokens hashed to the word table's rows, means of
+    their vectors and of how they are written, the network's calibrated
+    probability. Null, empty and token-less texts are scored from the zero
+    vector. Other columns pass through unless they clash with the new ones;
+    rows are never dropped.
     """
     model_of = spark.sparkContext.broadcast(model)
     rows = docs.select(*[c for c in docs.columns if c not in {"score", "predicted"} - {text_col}])

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .common import slices
+from .common import HELD, slices
 
 #: Units longer than this many characters are not kept in a cache.
 LONG_UNIT = 64
@@ -117,15 +117,9 @@ class UnitEncoder(dict):
         return out
 
 
-ENCODERS: dict[tuple, UnitEncoder] = {}
-
-
 def encoder(path: str, units: Callable[[str], list[str]]) -> UnitEncoder:
     """One encoder for each tokenizer file in a Python worker, kept from task to task."""
-    key = (path, units.__name__)
-    if key not in ENCODERS:
-        ENCODERS[key] = UnitEncoder(path, units)
-    return ENCODERS[key]
+    return HELD.of("tokens", (path, units.__name__), lambda: UnitEncoder(path, units))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encode: UnitEncoder, text_col: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

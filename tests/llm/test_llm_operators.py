@@ -359,12 +359,12 @@ def test_substrings(spark, docs, width):
 
 
 def test_substrings_tell_windows_with_equal_symbols_apart(spark):
-    import xxhash
+    import pyarrow as pa
 
-    from loomkb.llm.common import gram_hashes
+    from loomkb.llm.common import gram_hashes, hashed_words
 
     passage, own = [f"w{k}" for k in range(19)], [f"n{k}" for k in range(300_000)]
-    hashes = lambda words: np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64)
+    hashes = lambda words: hashed_words(pa.array([" ".join(words)]))[0]
     head, last = hashes(passage), hashes(own)
     symbols = gram_hashes(np.column_stack([np.tile(head[15:], (len(own), 1)), last]).ravel(), 5)[::5]
     order = np.argsort(symbols, kind="stable")
