@@ -6,10 +6,10 @@ import numpy as np
 
 #: Length classes of the linear program.
 CLASSES = 192
-#: The program ends when no pattern can better it by more than this share.
+#: The program ends when its value is within this share of the bound that the prices give.
 GAP = 0.001
-#: and at the latest after so many columns; the patterns found by then still cover all. No clock counts, so any driver finds the same plan.
-MOST_COLUMNS = 1500
+#: Far more exchanges of patterns than a program of CLASSES rows takes; reaching it is an error, not an end.
+MOST_STEPS = 200_000
 
 
 def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
@@ -26,57 +26,77 @@ def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int = CLASSES)
     return lengths[np.unique(np.minimum(ends, len(lengths) - 1))]
 
 
-def price(edges: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern within ``capacity``: unbounded knapsack by dynamic programming."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fit = np.searchsorted(edges, np.arange(capacity + 1), side="right")
-    for u in range(1, capacity + 1):
-        k = fit[u]
-        best[u] = best[u - 1]
-        if k:
-            gains = best[u - edges[:k]] + values[:k]
-            c = int(gains.argmax())
-            if gains[c] > best[u]:
-                best[u], took[u] = gains[c], c
-    pattern, u = np.zeros(len(edges)), capacity
-    while u > 0:
-        if took[u] < 0:
-            u -= 1
-        else:
-            pattern[took[u]] += 1
-            u -= edges[took[u]]
-    return float(best[capacity]), pattern
+def price(edges: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """Most valuable patterns within ``capacity`` by knapsack dynamic programming: the best of all, then the best that holds each class.
+
+    Each class is added to the table of best values by capacity at once: along
+    steps of its length, the best with any number of it is a running maximum of
+    the best without, less that number's value.
+    """
+    m = len(edges)
+    tables = np.empty((m + 1, capacity + 1))
+    tables[0] = 0
+    for c, (e, v) in enumerate(zip(edges.tolist(), values.tolist(), strict=True)):
+        steps = -(-(capacity + 1) // e)
+        padded = np.zeros(steps * e)
+        padded[: capacity + 1] = tables[c]
+        padded[capacity + 1 :] = tables[c, -1]
+        gains = v * np.arange(steps)[:, None]
+        tables[c + 1] = (np.maximum.accumulate(padded.reshape(steps, e) - gains, axis=0) + gains).ravel()[: capacity + 1]
+    patterns = np.zeros((m + 1, m))
+    room = np.r_[capacity, capacity - edges]
+    patterns[np.arange(1, m + 1), np.arange(m)] = 1
+    rows = np.arange(m + 1)
+    for c in range(m - 1, -1, -1):  # all patterns are read back from the tables together
+        live = rows
+        while len(live):
+            live = live[room[live] >= edges[c]]
+            live = live[tables[c + 1, room[live]] > tables[c, room[live]] + 1e-12]
+            patterns[live, c] += 1
+            room[live] -= edges[c]
+    return np.unique(patterns[1:], axis=0) if (patterns[0] == 0).all() else np.concatenate([patterns[:1], np.unique(patterns[1:], axis=0)])
 
 
 def solve(edges: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and how often each is used in the linear program's solution.
 
     Revised simplex over the inverse basis; it starts from patterns of one
-    class each and takes the best-priced pattern in. It ends within GAP of the
-    bound (objective / price), or after MOST_COLUMNS columns.
+    class each. A round prices by the knapsack and goes on with the patterns
+    found until none of them betters the solution. The value divided by the
+    best price bounds every solution from below; it ends within GAP of that.
     """
     m = len(edges)
     start = capacity // edges
     basis, inverse = np.diag(start).astype(float), np.diag(1.0 / start)
-    used = demand / start
-    for _ in range(MOST_COLUMNS):
+    # a little more of each class, unlike the others, so that no two ratios tie
+    used = (demand + 1e-7 * demand.sum() * np.random.default_rng(0).uniform(0.5, 1, m) / m) / start
+    steps, pool = 0, np.zeros((0, m))
+    while True:
         duals = inverse.sum(axis=0)
-        value, pattern = price(edges, duals, capacity)
-        if value <= 1 + GAP:
-            break
-        way = inverse @ pattern
-        ratios = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
-        out = int(ratios.argmin())
-        if not np.isfinite(ratios[out]):
+        found = price(edges, np.maximum(duals, 0), capacity)
+        values = found @ duals
+        if values.max() <= 1 + GAP:
             break
-        step = ratios[out]
-        used = np.maximum(used - step * way, 0)
-        used[out] = step
-        row = inverse[out] / way[out]
-        inverse -= np.outer(way, row)
-        inverse[out] = row
-        basis[:, out] = pattern
-    assert basis.shape == (m, m)
+        pool = np.concatenate([pool[pool @ duals > 0.9], found])[-8 * m :]
+        while True:
+            values = pool @ duals
+            best = int(values.argmax())
+            if values[best] <= 1 + GAP / 10:
+                break
+            way = inverse @ pool[best]
+            ratios = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
+            out = int(ratios.argmin())
+            step = ratios[out]
+            used = np.maximum(used - step * way, 0)
+            used[out] = step
+            row = inverse[out] / way[out]
+            inverse -= np.outer(way, row)
+            inverse[out] = row
+            basis[:, out] = pool[best]
+            duals = inverse.sum(axis=0)
+            steps += 1
+            if steps > MOST_STEPS:
+                raise RuntimeError("the program over patterns did not end")
     return basis, used
 
 

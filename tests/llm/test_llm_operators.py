@@ -13,7 +13,7 @@ from loomkb.llm.ann import CrossPolytope, hadamard, nearest_neighbours
 from loomkb.llm.bpe import bpe_round_trip
 from loomkb.llm.components import connected_components
 from loomkb.llm.common import Scratch
-from loomkb.llm.cutting_stock import plan
+from loomkb.llm.cutting_stock import plan, price
 from loomkb.llm.exact_dedup import exact_dedup, perfect_hash
 from loomkb.llm.html_text import extract_text, main_text
 from loomkb.llm.jaccard_join import shingle_components
@@ -132,6 +132,30 @@ def test_plan_does_not_depend_on_the_clock(monkeypatch):
     assert all((found[k] == want[k]).all() for k in want)
 
 
+def test_patterns_end_by_the_gap_with_little_padding():
+    from loomkb.llm import cutting_stock
+
+    rng = np.random.default_rng(11)
+    every = np.clip(rng.lognormal(6, 1.2, 40_000).astype(np.int64), 1, 4095)
+    lengths, counts = np.unique(every, return_counts=True)
+    found = plan(lengths, counts, 4096, 64)
+    assert every.sum() >= 0.97 * 4096 * found["sequences"][0]
+    edges = cutting_stock.length_classes(lengths, counts, 64)
+    demand = np.bincount(np.searchsorted(edges, lengths), weights=counts, minlength=len(edges))
+    basis, used = cutting_stock.solve(edges, demand, 4096)
+    assert (edges @ basis <= 4096).all() and np.allclose(basis @ used, demand, rtol=1e-3, atol=1)
+    duals = np.linalg.solve(basis.T, np.ones(len(edges)))  # no pattern betters the solution by more than the gap
+    assert max((cutting_stock.price(edges, np.maximum(duals, 0), 4096) @ duals)) <= 1 + 2 * cutting_stock.GAP
+
+
+def test_prices_are_the_best_patterns():
+    rng = np.random.default_rng(12)
+    edges, values = np.array([3, 5, 7, 11]), rng.uniform(0.1, 1, 4)
+    best = max(sum(n * v for n, v in zip(p, values, strict=True)) for p in np.ndindex(9, 6, 4, 3) if np.dot(p, edges) <= 25)
+    found = price(edges, values, 25)
+    assert np.isclose((found @ values).max(), best) and (found @ edges <= 25).all() and all((found[:, c] > 0).any() for c in range(4))
+
+
 def test_quality_learns_held_out_labels(spark):
     good = [(k, prose(RNG.randint(20, 80), k)) for k in range(150)]
     bad = [(1000 + k, " ".join(w + RNG.choice(["###", "$$$", "!!"]) for w in prose(RNG.randint(20, 80), k).split())) for k in range(60)]
