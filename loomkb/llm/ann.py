@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Hash tables, functions joined in one, and buckets that a query visits in each table.
-TABLES, FUNCTIONS, PROBES = 8, 1, 16
+#: Hash tables.
+TABLES = 8
+#: Vectors for each bucket from which on a second function is joined to a table's hash.
+BUCKET_VECTORS = 2048
+#: Share of a sample's true neighbours that the probed buckets must hold, and the most vectors and queries of that sample.
+RECALL, SAMPLE, SAMPLE_QUERIES = 0.93, 4096, 256
 #: Vectors and queries that one task compares with each other at most.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 2048
 SEED = 20
@@ -59,6 +63,49 @@ class CrossPolytope:
         return codes
 
 
+    def ranks(self, asked: np.ndarray, near: np.ndarray, table: int) -> np.ndarray:
+        """How many buckets come before that of each vector of ``near`` (n x k x dim) in its query's order of probes."""
+        n, k, dim = near.shape
+        marks, own = [], []
+        for f in range(self.functions):
+            y, z = self.rotated(asked, table, f), self.rotated(near.reshape(n * k, dim), table, f)
+            marks.append(np.concatenate([y, -y], axis=1))
+            own.append(np.take_along_axis(marks[f], np.concatenate([z, -z], axis=1).argmax(axis=1).reshape(n, k), axis=1))
+        if self.functions == 1:
+            return (marks[0][:, None, :] > own[0][:, :, None] + 1e-12).sum(axis=2)
+        out, total = np.zeros((n, k), np.int64), own[0] + own[1] + 1e-12
+        for q in range(n):
+            second = np.sort(marks[1][q])
+            out[q] = (len(second) - np.searchsorted(second, total[q][:, None] - marks[0][q][None, :], side="right")).sum(axis=1)
+        return out
+
+
+def _unit(x: np.ndarray, top: float, query: bool) -> np.ndarray:
+    """What is hashed for each row; ``top`` is the largest norm if norms differ, else 0."""
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    if top and not query:  # the added component makes all norms equal and leaves products with queries alone
+        return np.concatenate([x, np.sqrt(np.maximum(top * top - norms * norms, 0))], axis=1) / top
+    return x / norms
+
+
+def fitted_probes(vectors: np.ndarray, asked: np.ndarray, k: int, family: CrossPolytope, top: float, recall: float = RECALL) -> int:
+    """The fewest probes in each table with which ``recall`` of the sample's true neighbours are found.
+
+    A sample's neighbours lie farther off than those among all vectors, so that
+    these are found more often still.
+    """
+    if not len(vectors) or not len(asked):
+        return 1
+    scores = asked @ vectors.T
+    scores[(asked[:, None, :1] == vectors[None, :, :1])[:, :, 0] & (np.abs(scores - (asked * asked).sum(axis=1)[:, None]) < 1e-9)] = -np.inf  # the query itself
+    k = min(k, len(vectors))
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    found, known = _unit(asked, top, True), np.isfinite(np.take_along_axis(scores, near, axis=1))
+    hashed = _unit(vectors, top, False)[near]
+    least = np.min([family.ranks(found, hashed, t) for t in range(family.tables)], axis=0)[known]
+    return int(np.quantile(least, recall, method="higher")) + 1 if len(least) else 1
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -68,16 +115,13 @@ def _hashed(dim: int, top: float, tables: int, functions: int, probes: int, quer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = CrossPolytope(dim + (top > 0), tables, functions)
+        few = min(probes if query else 1, 2 * family.size) ** functions
+        step = max(1, min(2000, 2_000_000 // (few + dim)))  # rows whose probes fit in memory
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, step):
+                b = whole.slice(k, step)
                 raw = _matrix(b.column("vec"), dim)
-                x = raw.astype(np.float64)
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                if top and not query:  # the added component makes all norms equal and leaves products with queries alone
-                    x = np.concatenate([x, np.sqrt(np.maximum(top * top - norms * norms, 0))], axis=1) / top
-                else:
-                    x = x / norms
+                x = _unit(raw.astype(np.float64), top, query)
                 rows = [r.tobytes() for r in np.ascontiguousarray(raw)] if with_vectors else None
                 keys = b.column("key").to_numpy()
                 for t in range(tables):
@@ -146,36 +190,41 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     tables: int = TABLES,
-    functions: int = FUNCTIONS,
-    probes: int = PROBES,
+    functions: int | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` vectors with the largest inner products for each query but its own row.
 
     Every vector is indexed in every table under its nearest signed axis after
-    a pseudo-rotation; a query visits the buckets of its ``probes`` nearest axes and
-    all it finds there is ranked by the exact inner product in double
-    precision, ties to the smaller id. Where norms differ, a component is added
-    for hashing that makes them equal. Equal vectors are one class, of which the
-    smallest k + 1 ids can be among anyone's nearest; classes of any size cost one
-    index row. Large buckets are split into blocks, so none is capped. Queries whose
-    buckets hold too few are compared with all vectors, in blocks too, so that
-    each gets ``k`` rows, or all other vectors where there are fewer.
+    a pseudo-rotation, or under two axes (``functions``) where buckets of one would be
+    large; a query visits the buckets of its ``probes`` nearest axes and all it
+    finds there is ranked by the exact inner product in double precision, ties
+    to the smaller id. Unless given, probes are as many as find RECALL of the
+    neighbours within a sample of at most SAMPLE vectors for SAMPLE_QUERIES
+    queries, the first by hash of the id. Where norms differ, a component is
+    added for hashing that makes them equal. Equal vectors are one class, of
+    which the smallest k + 1 ids can be among anyone's nearest; classes of any
+    size cost one index row. Large buckets are split into blocks, so none is
+    capped. Queries whose buckets hold too few are compared with all vectors,
+    in blocks too, so that each gets ``k`` rows, or all other vectors where there are fewer.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
-    rows with a null id and vectors of another length than the longest take no part.
-    Repeated ids of a query are ranked once. No rows in, none out.
+    rows with a null id and vectors of another length than most have (of
+    lengths as frequent, the longest) take no part. Numbers of any kind are taken;
+    all but floats as doubles. Repeated ids of a query are ranked once. No rows in, none out.
     """
     scratch = Scratch(spark, "ann")
     v = F.col(vec_col)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col(id_col).isNotNull() & v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0)
-    own = vectors.where(fit).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
-    asked = queries.where(fit).select(F.col(id_col).cast("long").alias("query_id"), v.alias("vec"))
-    kind = {"float": "<f4", "double": "<f8"}[own.schema["vec"].dataType.elementType.simpleString()]
+    kind = "<f4" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
+    value = v if kind == "<f4" else v.cast("array<double>")
+    own = vectors.where(fit).select(F.col(id_col).cast("long").alias("id"), value.alias("vec"))
+    asked = queries.where(fit).select(F.col(id_col).cast("long").alias("query_id"), value.alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dim, low, high = own.agg(F.max(F.size("vec")), F.min(norm), F.max(norm)).first()
-    if dim is None:
-        dim, low, high = 1, 1.0, 1.0
+    by_length = own.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high"))
+    most = by_length.orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, low, high = (most["dim"], most["low"], most["high"]) if most else (1, 1.0, 1.0)
     top = float(high) if high > low * 1.001 else 0.0
     own, asked = own.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
 
@@ -186,6 +235,12 @@ def nearest_neighbours(
     heads = scratch.write(asked.groupBy("vec").agg(F.min("query_id").alias("key")), "heads")
     of_head = asked.join(heads, "vec").select("query_id", "key").distinct()
 
+    if functions is None:
+        axes = 2 * CrossPolytope(dim + (top > 0), 1, 1).size
+        functions = 2 if classes.count() >= BUCKET_VECTORS * axes * axes else 1
+    if probes is None:
+        some = lambda df, n: np.array([r[0] for r in df.orderBy(F.xxhash64("key"), "key").limit(n).select("vec").collect()], np.float64).reshape(-1, dim)
+        probes = fitted_probes(some(classes, SAMPLE), some(heads, SAMPLE_QUERIES), k, CrossPolytope(dim + (top > 0), tables, functions), top)
     args = (dim, top, tables, functions, probes)
     thin, wide = "tab int, bucket long, key long", "tab int, bucket long, key long, vec binary"
     count = lambda df, query, name: df.select("key", "vec").mapInArrow(_hashed(*args, query, False), thin).groupBy("tab", "bucket").agg(F.count("*").alias(name))

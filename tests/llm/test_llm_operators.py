@@ -353,6 +353,42 @@ def test_nearest_gives_k_rows_or_all(spark):
     assert all(got == want for got, want in check(same, [0, 25]))
 
 
+def test_nearest_takes_most_vectors_length_and_any_numbers(spark):
+    rows = [(i, [i % 3 + 1, i % 5, i % 7, 1]) for i in range(40)] + [(100, [1, 2, 3, 4, 5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<int>")
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest_neighbours(spark, v, v.where("vec_id IN (0, 20, 100)"), k=5, probes=16).collect()}
+    x = dict(rows[:40])
+    for q in (0, 20):
+        want = sorted((-float(np.dot(x[q], y)), i) for i, y in x.items() if i != q)[:5]
+        assert [found[q, r] for r in range(1, 6)] == [(i, -s) for s, i in want]
+    assert len(found) == 10
+
+
+def test_nearest_recall_with_fitted_probes(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.where("embedding IS NOT NULL").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    found = {}
+    for r in nearest_neighbours(spark, v, v.where("vec_id % 20 = 0"), k=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, near in found.items():
+        order = np.lexsort((ids, -(x @ rows[q])))
+        hits += len(near & set([i for i in ids[order].tolist() if i != q][:20]))
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_ranks_count_the_probes_before():
+    x = np.random.default_rng(3).normal(size=(30, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for functions in (1, 2):
+        family = CrossPolytope(8, 2, functions)
+        order, own = family.buckets(x[:5], 1, 16**functions), family.buckets(x, 1, 1)[:, 0]
+        ranks = family.ranks(x[:5], np.tile(x, (5, 1, 1)), 1)
+        assert all(order[q, ranks[q, k]] == own[k] for q in range(5) for k in range(30))
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(2).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
