@@ -76,9 +76,29 @@ def folded(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
+#: Named character references that can stand in a url.
+NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+
+
+def unescaped(t: Column) -> Column:
+    """``t`` with its numeric and NAMED character references decoded, once."""
+
+    def one(part: Column) -> Column:
+        name, rest = F.regexp_extract(part, r"(?s)^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-z]+);", 1), F.regexp_extract(part, r"(?s)^[^;]*;(.*)$", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        out = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.concat(letter, rest))
+        for n, c in NAMED.items():
+            out = out.when(name == n, F.concat(F.lit(c), rest))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(t, "&")
+    return F.when(t.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(t)
+
+
 def resolved(t: Column, url: Column) -> Column:
     """The absolute form of a reference on the page ``url``; null for an empty or fragment-only one and for schemes without //."""
-    t = F.regexp_replace(F.regexp_replace(t, "&amp;", "&"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    t = F.regexp_replace(t, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     root = F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url)))
     own, rest = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)
@@ -96,22 +116,20 @@ def resolved(t: Column, url: Column) -> Column:
 
 
 def declared_targets(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical link and refresh redirect (array, nulls possible)."""
-
-    def first(patterns):
-        return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
-
-    base = F.coalesce(resolved(first(BASE), url), url)
+    """Absolute targets of all canonical links and refresh redirects of a page (array, nulls possible)."""
+    every = lambda patterns: F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in patterns])
+    first = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in BASE])
+    base = F.coalesce(resolved(unescaped(first), url), url)
     # a lambda's variable, so that the base is found once
-    return F.transform(F.array(base), lambda b: F.array(resolved(first(CANONICAL), b), resolved(first(REFRESH), b)))[0]
+    return F.transform(F.array(base), lambda b: F.transform(F.transform(every(CANONICAL + REFRESH), unescaped), lambda t: resolved(t, b)))[0]
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, *, redirects: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``pages`` with host, path, rule, verdict and how the verdict came about.
 
     A url's own longest rule decides. Urls without one take the decision of
-    their alias component: edges are the pages' canonical links and refresh
-    redirects, resolved on the page's url or its base element, and the rows of
+    their alias component: edges are all canonical links and refresh redirects
+    of the pages, resolved on the page's url or its base element, and the rows of
     ``redirects`` (source, target); scheme and fragment do not tell urls apart. A component with an explicitly allowed member is allowed,
     else one with a blocked member is blocked; without either, allow is the
     default. Targets take part with their own rules though they are no page.

@@ -503,3 +503,60 @@ def test_urls_resolve_relative_targets(spark):
     pages += [(4, "http://r.net/a", link.format("http://x.com/de/1")), (5, "http://r.net/b", link.format("#d"))]
     found = {r["page_id"]: r["verdict"] for r in judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert found == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def plain_verdicts(pages):
+    """Verdicts from urls and links found with Python's own parsers."""
+    import html as h
+    import re
+    from urllib.parse import urljoin
+
+    from loomkb.llm.url_filter import RULES
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        path, query = re.match(r"([^?#]*)(\?[^#]*)?", rest[len(host) :]).groups()
+        return host.lower(), path, query or ""
+
+    def rule(url):
+        host, path, _ = parts(url)
+        fits = [(len(a + b), what) for what, a, b in RULES if (host == a or host.endswith("." + a)) and path.startswith(b)]
+        return max(fits)[1] if fits else None
+
+    key = lambda url: "".join(parts(url)) if parts(url)[0] else None
+    parent, said, edges = {}, {}, []
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, url, page in pages:
+        for link in re.findall(r"href='([^']*)'|url=([^'>]*)'", page or ""):
+            target = h.unescape(link[0] or link[1]).strip()
+            if target and not target.startswith("#"):
+                edges.append((url, urljoin(url, target)))
+    for url in [u for _, u, _ in pages] + [x for e in edges for x in e]:
+        if key(url) and rule(url):
+            said[key(url)] = min(said.get(key(url), "x"), rule(url))
+    for u, v in edges:
+        parent[find(key(u))] = find(key(v))
+    of = {}
+    for k, what in said.items():
+        of[find(k)] = min(of.get(find(k), "x"), what)
+    return {i: rule(u) or (of.get(find(key(u))) if key(u) else None) or "allow" for i, u, _ in pages}
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(21)
+    hosts, folders = ["a.net", "b.net", "c.net", "x.com", "example.org"], ["", "de/", "fr/", "es/", "k/l/"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(folders)}{rng.randint(1, 6)}" for _ in range(120)]
+    refs = lambda: rng.choice([rng.choice(urls), f"/{rng.choice(folders)}{rng.randint(1, 6)}", f"../{rng.randint(1, 6)}", str(rng.randint(1, 6)), "?a=1&amp;b=2", "?a=1&#38;b=2", "&#x2f;k&#47;l&#x2F;1", "#top", ""])
+    kinds = ["<link rel='canonical' href='{0}'>", "<meta http-equiv='refresh' content='0; url={0}'>"]
+    pages = [(i, u, "".join(rng.choice(kinds).format(refs()) for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))) or None) for i, u in enumerate(urls)]
+    pages += [(200, None, None), (201, "nothing", kinds[0].format("http://x.com/de/1")), (0, urls[0], pages[0][2])]
+    found = {r["page_id"]: r["verdict"] for r in judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == plain_verdicts(pages)
