@@ -65,6 +65,17 @@ class Scratch:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows up to which a table with a row for each task or part of a scan is sent to all executors.
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` of narrow rows, marked for broadcast if it has at most ``most``; joined as Spark sees fit beyond."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most`` bytes of ``column`` each; one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

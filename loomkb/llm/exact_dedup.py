@@ -93,7 +93,7 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """Perfect-hash index of ``history`` (digest, winner, copies), one row a bucket.
 
-    A bucket is a range of digest space, so that buckets hold about the same
+    A bucket is a remainder of the digest's first bytes, so that buckets hold about the same
     number of distinct digests whatever the rows' skew.
     """
     return (
@@ -146,7 +146,7 @@ def exact_dedup(
 ) -> DataFrame:
     """Every row of ``docs`` with the row that stays for its text.
 
-    Returns (doc_id, digest, keep_id, group_size, kept, repeats). Texts are
+    Returns (doc_id, digest, keep_id, group_size, kept). Texts are
     equal when identical after lower-casing A-Z; of equal texts the largest id
     stays. Rows with an id of at least ``history_from`` (default: the middle of
     the id range) are history: their distinct digests go into a minimal perfect

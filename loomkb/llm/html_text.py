@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,7 +57,9 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.06, 0.12
 LINKS_HIGH = 0.2
 
-TAG = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 HEADING = re.compile("h[1-6]")
@@ -72,7 +75,7 @@ class Block:
     element: int  # the innermost one around it
     place: str = ""  # what the elements around it say: good, bad or nothing
     heading: bool = False
-    regions: tuple[int, ...] = ()  # the elements around it that mark an article
+    region: int = -1  # the innermost element around it that marks an article
 
 
 @dataclass
@@ -137,37 +140,90 @@ def _wrappers(blocks: list[Block], elements: list[Element]) -> set[int]:
     return {k for k, e in enumerate(elements) if e.says in ("named", "outer") and (main[k] or 2 * share[k] > whole)}
 
 
-def _place(blocks: list[Block], elements: list[Element]) -> None:
-    """Tell each block what the elements around it say together."""
+def _place(blocks: list[Block], elements: list[Element]) -> list[int]:
+    """Tell each block what the elements around it say together; the next region around each one that marks an article."""
     wrappers = _wrappers(blocks, elements)
-    places: list[tuple[str, tuple[int, ...]]] = []
+    places: list[tuple[str, int]] = []
+    outer = [-1] * len(elements)
     for k, e in enumerate(elements):
-        place, regions = places[e.around] if e.around >= 0 else ("", ())
+        place, region = places[e.around] if e.around >= 0 else ("", -1)
         if place != "bad":
             if e.says == "bad" or k not in wrappers and (e.says == "named" or e.says == "outer" and place != "good"):
                 place = "bad"
             elif e.marks:
-                place, regions = "good", (*regions, k)
-        places.append((place, regions))
+                outer[k] = region
+                place, region = "good", k
+        places.append((place, region))
     for b in blocks:
         if b.element >= 0:
-            b.place, b.regions = places[b.element]
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order: what stands between block elements' tags, raw elements left out."""
+            b.place, b.region = places[b.element]
+    return outer
+
+
+class Tags:
+    """The tags of a page in order, each found in time that is in proportion to the page on the whole."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.doomed: set[int] = set()  # quotes that open where no tag ends any more
+        self.unclosed: set[str] = set()  # raw elements without a further end tag
+
+    def end(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``: a > outside quotes, or the next one if quotes don't close."""
+        pos, opened = at, []
+        while m := STOP.search(self.page, pos):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.doomed:
+                break
+            opened.append(m.start())
+            pos = self.page.find(m[0], m.end()) + 1
+            if not pos:
+                break
+        self.doomed.update(opened)
+        return self.page.find(">", at) + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """After the end tag of a raw element, or -1."""
+        found = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if not found:
+            self.unclosed.add(tag)
+        return found.end() if found else -1
+
+    def after(self, at: int) -> tuple[int, int, str]:
+        """Start, end and name ("" for comments and declarations, "/" before that of an end tag) of the next tag; (size, size, "") at the end."""
+        page, size = self.page, len(self.page)
+        k = page.find("<", at)
+        while k >= 0:
+            if page.startswith("<!--", k):
+                m = COMMENT_END.search(page, k + 4)
+                return k, m.end() if m else size, ""
+            if k > self.last:  # no tag ends any more, but a comment may begin
+                k = page.find("<!--", k)
+                return (k, size, "") if k >= 0 else (size, size, "")
+            if page.startswith(("<!", "<?"), k):
+                return k, page.find(">", k) + 1, ""
+            if m := NAME.match(page, k):
+                return k, self.end(m.end()), ("/" if page[k + 1] == "/" else "") + m[1].lower()
+            k = page.find("<", k + 1)
+        return size, size, ""
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks of text in order (what stands between block elements' tags, raw elements left out), and the regions around regions."""
     found: list[Block] = []
     elements: list[Element] = []
     stack: list[tuple[str, int]] = []  # open elements
+    opened: Counter[str] = Counter()  # how many of each are open
     text: list[str] = []
-    links, at, inside, depth = 0, 0, -1, 0  # depth: open links
+    links, at, inside, heads = 0, 0, -1, 0  # heads: open headings
 
     def flush():
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                found.append(Block(joined, links, inside, heading=any(HEADING.fullmatch(x) for x, _ in stack)))
+                found.append(Block(joined, links, inside, heading=heads > 0))
             text.clear()
         links = 0
 
@@ -176,61 +232,63 @@ def blocks_of(page: str) -> list[Block]:
         if raw:
             own = html.unescape(raw) if "&" in raw else raw
             text.append(own)
-            if depth:
+            if opened["a"]:
                 links += len(own.strip())
 
-    size = len(page)
+    def close(k: int):
+        nonlocal heads
+        for x, _ in stack[k:]:
+            opened[x] -= 1
+            heads -= HEADING.fullmatch(x) is not None
+        del stack[k:]
+
+    tags, size = Tags(page), len(page)
     while at < size:
-        m = TAG.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, end, tag = tags.after(at)
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        closing, tag = tag[0] == "/", tag.lstrip("/")
+        attributes = page[start + 1 + closing + len(tag) : end - 1]
         if tag == "br":
             text.append(" ")
             continue
+        alone = attributes.endswith("/")
         if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
-            if end:
-                at = end.end()
-            elif not attributes.endswith("/") and tag in ("script", "style", "textarea", "title"):
+            stop = -1 if alone else tags.raw_end(tag, at)
+            if stop >= 0:
+                at = stop
+            elif not alone and tag in ("script", "style", "textarea", "title"):
                 at = size
             continue
         block = tag in BLOCKS
         if block:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    depth -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
         elif tag not in VOID:
-            if block or tag == "a":  # an open paragraph ends at the next block; a link at the next link
-                ends = "p" if block else "a"
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == ends:
-                        depth -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            if not attributes.endswith("/") or block:
+            ends = "p" if block else "a" if tag == "a" else ""  # an open paragraph ends at the next block; a link at the next link
+            if ends and opened[ends]:
+                k = len(stack) - 1
+                while stack[k][0] != ends and stack[k][0] not in BLOCKS:
+                    k -= 1
+                if stack[k][0] == ends:
+                    close(k)
+            if not alone or block:
                 if tag == "body":  # ends an open head
-                    stack.clear()
-                    depth = 0
+                    close(0)
                 elements.append(_element(stack[-1][1] if stack else -1, tag, attributes))
                 stack.append((tag, len(elements) - 1))
-                depth += tag == "a"
+                opened[tag] += 1
+                heads += HEADING.fullmatch(tag) is not None
         inside = stack[-1][1] if stack else -1
     flush()
-    _place(found, elements)
-    return found
+    return found, _place(found, elements)
 
 
 def first_pass(block: Block) -> str:
@@ -268,30 +326,37 @@ def main_text(page: str) -> str:
     if either is good, a short one if both are, or one is and a near-good block or, below a heading,
     text follows, or if the article element that it lies in holds a good block.
     """
-    blocks = blocks_of(page)
+    blocks, outer = blocks_of(page)
     labels = [_favoured(b) for b in blocks]
-    decided = list(labels)
-    articles = {r for b, x in zip(blocks, labels, strict=True) if x == "good" for r in b.regions}
-
-    def neighbour(k: int, step: int, sure: tuple[str, ...]) -> str:
-        k += step
-        while 0 <= k < len(labels):
-            if labels[k] in sure:
-                return labels[k]
-            k += step
-        return "bad"
-
+    decided, articles = list(labels), set()
+    for b, x in zip(blocks, labels, strict=True):
+        r = b.region if x == "good" else -1
+        while r >= 0 and r not in articles:
+            articles.add(r)
+            r = outer[r]
+
+    def neighbours(sure: tuple[str, ...]) -> list[tuple[str, str]]:
+        """The labels of the nearest blocks before and after each one that are among ``sure``; bad beyond the ends."""
+        sides = []
+        for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+            near, last = ["bad"] * len(labels), "bad"
+            for k in order:
+                near[k] = last
+                if labels[k] in sure:
+                    last = labels[k]
+            sides.append(near)
+        return list(zip(*sides, strict=True))
+
+    firm, soft = neighbours(("good", "bad")), neighbours(("good", "bad", "near"))
     for k, label in enumerate(labels):
         if label == "short":
-            favoured = blocks[k].place == "good"
-            sides = [neighbour(k, s, ("good", "bad")) for s in (-1, 1)]
-            near = [neighbour(k, s, ("good", "bad", "near")) for s in (-1, 1)]
+            favoured, sides, near = blocks[k].place == "good", firm[k], soft[k]
             both = sides[0] == sides[1] == "good"
             headed = blocks[k].heading and near[1] in ("good", "near") and "good" in sides
-            own = favoured and blocks[k].regions[-1] in articles
+            own = favoured and blocks[k].region in articles
             decided[k] = "good" if both or own or headed or "good" in sides and (favoured or "near" in near) else "bad"
         elif label == "near":
-            decided[k] = "good" if "good" in [neighbour(k, s, ("good", "bad")) for s in (-1, 1)] else "bad"
+            decided[k] = "good" if "good" in firm[k] else "bad"
     if "good" not in decided:  # nothing long enough to decide by: near-good blocks and an article's short ones stand for themselves
         decided = ["good" if x == "near" or x == "short" and b.place == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
     return "\n".join(b.text for b, label in zip(blocks, decided, strict=True) if label == "good")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small, slices
 from .cutting_stock import plan
 from .tokens import encoded, encoder, word_units
 
@@ -67,8 +67,7 @@ def _placed(plan_of, capacity: int):
 def _pieces(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for b in slices(whole, "ids"):
                 rows = []
                 for doc, n, rest, full, first, raw, seq, off in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "rest", "full", "full_from", "ids", "sequence_id", "offset")], strict=True):
                     ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
@@ -127,7 +126,7 @@ def pack_documents(
     placed = placed.select("part", "pos", "sequence_id", F.coalesce(F.sum("rest").over(ahead), F.lit(0)).alias("offset"))
     full_from = offsets.where(F.col("rest") == capacity).select("part", F.col("offset").alias("full_offset"))
     sequences = int(found["sequences"][0])
-    rows = tokens.join(placed, ["part", "pos"], "left").join(F.broadcast(full_from), "part", "left")  # one row a scan task
+    rows = tokens.join(placed, ["part", "pos"], "left").join(broadcast_if_small(full_from), "part", "left")  # one row a scan task
     rows = rows.withColumn("full_from", F.coalesce(F.col("full_offset"), F.lit(0)) + F.col("first") + F.lit(sequences))
     return rows.select("doc_id", "n", "rest", "full", "full_from", "ids", "sequence_id", "offset").mapInArrow(
         _pieces(capacity), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

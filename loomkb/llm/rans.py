@@ -88,6 +88,13 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     return HEADER.pack(MAGIC, VERSION, lanes, n, CHECKPOINT_ROWS, len(checkpoints), words, crc, zlib.crc32(body)) + body
 
 
+def segment_of(raw: bytes, k: int, segments: int) -> tuple[int, int, int, int]:
+    """Of ``segments`` equal parts of a block's checkpoints, the k-th: first checkpoint, rows, first id and the id after the last."""
+    _, _, lanes, n, every, points, *_ = HEADER.unpack_from(raw)
+    first, last = k * points // segments, (k + 1) * points // segments
+    return first, (last - first) * every, min(n, first * every * lanes), min(n, last * every * lanes)
+
+
 def decode_block(raw: bytes, table: Table, checkpoint: int = 0, rows: int | None = None) -> np.ndarray:
     """Ids (uint32) from a checkpoint on; a whole block is held against both checksums."""
     magic, version, lanes, n, every, points, words, crc, body_crc = HEADER.unpack_from(raw)
@@ -114,7 +121,7 @@ def decode_block(raw: bytes, table: Table, checkpoint: int = 0, rows: int | None
         if k:
             state[short] = (state[short] << word) | stream[position : position + k]
             position += k
-    ids = out.reshape(-1)[: n - first * lanes]
+    ids = out.reshape(-1)[: max(0, n - first * lanes)]
     if checkpoint == 0 and rows is None and zlib.crc32(ids.tobytes()) != crc:
         raise ValueError("the decoded ids do not match their checksum")
     return ids

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 from .tokens import encoded, encoder, spaced_units
 
 #: Ids of a block.
@@ -116,22 +116,35 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, *, tokeni
     scratch.clear()
 
 
-def _decoded(table_of):
+def _decoded(table_of, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table.unpack(table_of.value)
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
-                sizes, ids = row.column("sizes")[0].as_py(), rans.decode_block(row.column("payload")[0].as_py(), table)
+                raw, base = row.column("payload")[0].as_py(), row.column("base")[0].as_py()
+                sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
                 ends = np.cumsum(sizes)
-                base = row.column("base")[0].as_py()
+                low, high = 0, int(ends[-1])
+                if segments > 1:
+                    point, rows, low, high = rans.segment_of(raw, row.column("segment")[0].as_py(), segments)
+                    if low >= high:
+                        continue
+                    ids = rans.decode_block(raw, table, checkpoint=point, rows=rows)
+                else:
+                    ids = rans.decode_block(raw, table)
+                first, last = np.maximum(ends - sizes, low), np.minimum(ends, high)
+                some = np.flatnonzero(first < last)
+                first, last = first[some], last[some]
+                whole = np.array(row.column("whole")[0].as_py(), bool)
+                starts = np.array(row.column("starts")[0].as_py(), np.int64)[some] + base + first - (ends - sizes)[some]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row.column("docs").flatten(),
-                        pa.array([s + base for s in row.column("starts")[0].as_py()], pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        row.column("whole").flatten(),
-                        pa.array([ids[e - s : e].tobytes() for s, e in zip(sizes, ends.tolist(), strict=True)], pa.binary()),
+                        row.column("docs").flatten().take(pa.array(some)),
+                        pa.array(starts),
+                        pa.array(last - first),
+                        pa.array(whole[some] & (last - first == sizes[some])),
+                        pa.array([ids[s - low : e - low].tobytes() for s, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
                     ],
                     names=["doc_id", "start", "n", "whole", "ids"],
                 )
@@ -139,11 +152,21 @@ def _decoded(table_of):
     return run
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of ids (doc_id, start, n, whole, ids); ``whole`` is false for the runs of a document of several blocks."""
+def read_token_files(spark: SparkSession, path: str, *, segments: int = 1) -> DataFrame:
+    """Runs of ids (doc_id, start, n, whole, ids); ``whole`` is false for the runs of a document of several blocks or segments.
+
+    Blocks are decoded apart from each other and held against their checksums;
+    with ``segments`` over 1, each in so many tasks' rows that begin at
+    checkpoints, for files of fewer blocks than there are cores.
+    """
     table_of = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/table").first()[0]))
-    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/parts").select("part", "base")), "part")
-    return blocks.select("docs", "starts", "sizes", "whole", "payload", "base").mapInArrow(_decoded(table_of), "doc_id long, start long, n long, whole boolean, ids binary")
+    blocks = spark.read.parquet(f"{path}/blocks").join(broadcast_if_small(spark.read.parquet(f"{path}/parts").select("part", "base")), "part")
+    if segments > 1:
+        blocks = blocks.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))).repartition("part", "block", "segment")
+    else:
+        blocks = blocks.withColumn("segment", F.lit(0))
+    blocks = blocks.select("docs", "starts", "sizes", "whole", "payload", "base", "segment")
+    return blocks.mapInArrow(_decoded(table_of, segments), "doc_id long, start long, n long, whole boolean, ids binary")
 
 
 def _joined(runs: pd.DataFrame) -> pd.DataFrame:

@@ -187,6 +187,16 @@ def test_html(spark):
     assert found == {1: (main_text(PAGE), 32), 2: ("", 0), 3: ("", 0), 4: ("x" * 100_000, 100_000)}
 
 
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    for soup in ("<a ", "<a href='", "<a href='>", "<svg>", "<div>x", "</x>", "<article>", "<b><a>", "<!-- ", "'<a \"", "<p>x"):
+        began = time.process_time()
+        main_text(soup * (300_000 // len(soup)))
+        assert time.process_time() - began < 10, soup
+    assert main_text("<article><p x='>'>the one and the other</p></article>") == "the one and the other"
+
+
 def test_html_passes_run_beside_articles():
     long = ("the quick one and the other of them are in this house and it is not so bad for all of us to be here " * 3).strip()
     cards = "".join(f"<div class=post><a href=/{k}>Card number {k}</a></div>" for k in range(3))
@@ -288,6 +298,16 @@ def test_token_files(spark, docs, tmp_path):
         at += len(x) + 1
 
 
+def test_token_files_are_decoded_from_checkpoints(spark, tmp_path):
+    docs = spark.createDataFrame([(1, prose(150_000, 1)), (5, "")], "doc_id long, text string").coalesce(1)
+    where = str(tmp_path / "files")
+    write_token_files(spark, docs, where, tokenizer=path("byte_bpe_50k.json"))
+    want = sorted(map(tuple, document_checksums(read_token_files(spark, where)).collect()))
+    runs = read_token_files(spark, where, segments=4)
+    assert runs.where("NOT whole").count() > 2  # the long document is put together from several segments
+    assert sorted(map(tuple, document_checksums(runs).collect())) == want
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     for n in (1, 63, 1000, 200_000):
