@@ -95,16 +95,53 @@ def _scan(id_col: str, text_col: str, size: int, rule: Rule):
     return run
 
 
-def _sets(id_col: str, text_col: str, size: int):
+#: Bits of the filter of documents whose whole sets are asked for, and the most documents that go into it.
+FILTER_BITS, FILTERED = 1 << 26, 1 << 24
+BUCKET_BITS = 1 << 15
+
+
+def _bit() -> F.Column:
+    return F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1
+
+
+def _filter_of(docs: DataFrame) -> np.ndarray:
+    """The bits of ``docs`` (doc), FILTER_BITS / 8 bytes whatever their number."""
+    parts = docs.groupBy(F.bitmap_bucket_number(_bit()).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("bits"))
+    out = np.zeros((FILTER_BITS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
+    for k, bits in parts.collect():
+        out[k - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _sets(size: int, text_col: str, bits_of=None):
+    """Whole sets (doc, tokens); of rows whose bit is in the filter, where there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits_of is not None:
+                at = batch.column("bit").to_numpy() - 1
+                batch = batch.filter(pa.array((bits_of.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, text_col):
                 sets = shingle_sets(part.column(text_col), size)
-                yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
 
     return run
 
 
+def whole_sets(narrow: DataFrame, needed: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(doc, tokens) of at least the documents ``needed`` (doc); ``narrow`` is (doc, text).
+
+    The texts stay where they are read: a filter of fixed size tells which are
+    asked for, with some that only share a bit. More than FILTERED documents,
+    which would fill it, are joined to the texts instead.
+    """
+    narrow = narrow.where("doc IS NOT NULL")
+    if needed.count() > FILTERED:
+        return narrow.join(needed, "doc", "left_semi").mapInArrow(_sets(size, text_col), "doc long, tokens binary")
+    bits_of = narrow.sparkSession.sparkContext.broadcast(_filter_of(needed))
+    return narrow.withColumn("bit", _bit()).mapInArrow(_sets(size, text_col, bits_of), "doc long, tokens binary")
+
+
 def _postings(buckets: int, rare: int, most: int = 400_000):
     """Rows (bucket, known, tokens, docs, sizes, places) of a task's prefix tokens, sorted by token within a bucket.
 
@@ -406,9 +443,8 @@ def shingle_components(
     nearest = pairs.union(around.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "common"))
     nearest = nearest.groupBy("b").agg(F.max(F.struct("common", "a"))["a"].alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     nearest = scratch.write(nearest.distinct(), "nearest")
-    needed = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).union(around.select("doc")).distinct()
-    sets = narrow.join(needed, id_col, "left_semi").mapInArrow(_sets(id_col, text_col, size), "doc long, tokens binary")
-    sets = scratch.write(sets, "sets")
+    needed = scratch.write(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(around.select("doc")).distinct(), "needed")
+    sets = scratch.write(whole_sets(narrow.withColumnRenamed(id_col, "doc") if id_col != "doc" else narrow, needed, size, text_col), "sets")
     links = scratch.write(_verify(nearest, sets, rule), "links")
     first = scratch.write(connected_components(links, scratch, "cc"), "first")
 

@@ -246,6 +246,16 @@ def test_jaccard_components(spark, docs, size, percent, rare):
     assert found == plain_components(edge_texts(), size, percent)
 
 
+def test_jaccard_sets_of_more_documents_than_the_filter_takes(spark, docs, monkeypatch):
+    from loomkb.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "FILTERED", 3)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_components(spark, docs, size=3, percent=60).collect()}
+    assert found == plain_components(edge_texts(), 3, 60)
+    with pytest.raises(ValueError, match="more than half"):
+        shingle_components(spark, docs, percent=50)
+
+
 def test_jaccard_without_rows(spark, docs):
     assert shingle_components(spark, no_rows(docs)).count() == 0
 
