@@ -70,8 +70,8 @@ def page_title(page: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased; one-byte ones are no tokens."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Lower-cased runs of letters and digits, and each Han character by itself, as it is without a dictionary; one-byte ones are no tokens."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), 1)
     return F.filter(found, lambda t: F.octet_length(t) > 1)
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import token_estimate
 
 #: Recent messages left alone, result and blanking lengths, ratios at which stages start.
-RECENT, RESULT_CHARS, BLANK_BYTES, SNIP_AT, DEDUP_AT, AUTO_AT = 10, 2000, 200, 0.50, 0.70, 0.85
+RECENT, RESULT_BYTES, BLANK_BYTES, SNIP_AT, DEDUP_AT, AUTO_AT = 10, 2000, 200, 0.50, 0.70, 0.85
 BLANKED, REPEATED = "[old tool result content cleared]", "[duplicate tool result removed]"
+CUT = "\n...[tool result budget 截断]"
 
 
 def token_ratio(messages: DataFrame, most: int) -> DataFrame:
@@ -27,10 +28,12 @@ def with_zones(messages: DataFrame, recent: int = RECENT) -> DataFrame:
     return rows.withColumn("zone", F.when(F.col("_s") == 0, "head").when(F.col("_b") <= recent, "tail").otherwise("middle")).drop("_s", "_b")
 
 
-def cap_results(messages: DataFrame, tool_role: str = "tool", most: int = RESULT_CHARS) -> DataFrame:
-    """Tool results of over ``most`` bytes are cut to so many characters."""
+def cap_results(messages: DataFrame, tool_role: str = "tool", most: int = RESULT_BYTES) -> DataFrame:
+    """Tool results of over ``most`` bytes are cut to as many whole characters as lie in them, and say so."""
     long = (F.col("role") == tool_role) & (F.octet_length("content") > most)
-    return messages.withColumn("content", F.when(long, F.concat(F.left("content", F.lit(most)), F.lit("\n...[truncated]"))).otherwise(F.col("content")))
+    head = F.substring(F.encode("content", "UTF-8"), 1, most)
+    whole = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "\ufffd$", "")  # without what is left of a cut character
+    return messages.withColumn("content", F.when(long, F.concat(whole, F.lit(CUT))).otherwise(F.col("content")))
 
 
 def blank_old_results(messages: DataFrame, compactable: Column, recent: int = RECENT, least: int = BLANK_BYTES) -> DataFrame:
@@ -96,6 +99,21 @@ def autocompact(messages: DataFrame, most: int, recent: int = RECENT, at: float
     return kept.unionByName(middle.select("thread_id", "seq", F.lit("system").alias("role"), summary.alias("content")))
 
 
+def compact(messages: DataFrame, most: int, compactable: Column, *, tool_role: str = "tool", recent: int = RECENT, result_bytes: int = RESULT_BYTES, summarise=extract) -> DataFrame:
+    """All stages in order, each by its thread's token ratio at that point.
+
+    Results are capped; the oldest third of the middle goes from SNIP_AT on; old
+    results are blanked; beyond DEDUP_AT repeated results are; beyond AUTO_AT
+    the middle becomes a summary.
+    """
+    rows = blank_old_results(snip(cap_results(messages, tool_role, result_bytes), most, recent), compactable, recent)
+    ratio = F.sum(token_estimate(F.col("content"))).over(Window.partitionBy("thread_id")) / F.lit(float(most))
+    rows = rows.withColumn("_full", ratio > DEDUP_AT).withColumn("_before", F.col("content"))
+    rows = dedup_results(rows, tool_role)
+    rows = rows.withColumn("content", F.when(F.col("_full"), F.col("content")).otherwise(F.col("_before"))).drop("_full", "_before")
+    return autocompact(rows, most, recent, summarise=summarise)
+
+
 def merge_deltas(deltas: DataFrame) -> DataFrame:
     """(message_id, index, name, arguments) of streamed tool-call pieces (message_id, index, seq, name, arguments)."""
     parts = F.array_sort(F.collect_list(F.struct("seq", "arguments")))

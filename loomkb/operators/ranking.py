@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, token_estimate
@@ -56,11 +56,19 @@ def rerank(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best))
 
 
+def verdict_value() -> Column:
+    """What a hit counts for in the verdict: its confidence, or its score where that is 0."""
+    return F.when(F.col("confidence") == 0, F.col("score")).otherwise(F.col("confidence"))
+
+
+def verdict_of(best: Column) -> Column:
+    return F.when(best >= STRONG, "strong").when(best >= AMBIGUOUS, "ambiguous").otherwise("weak")
+
+
 def verdicts(hits: DataFrame) -> DataFrame:
     """(query_id, verdict): by the best confidence, or its score where confidence is 0; weak without hits."""
-    value = F.when(F.col("confidence") == 0, F.col("score")).otherwise(F.col("confidence"))
-    best = hits.groupBy("query_id").agg(F.max(value).alias("best"))
-    return best.select("query_id", F.when(F.col("best") >= STRONG, "strong").when(F.col("best") >= AMBIGUOUS, "ambiguous").otherwise("weak").alias("verdict"))
+    best = hits.groupBy("query_id").agg(F.max(verdict_value()).alias("best"))
+    return best.select("query_id", verdict_of(F.col("best")).alias("verdict"))
 
 
 def sandwich(hits: DataFrame) -> DataFrame:

@@ -12,3 +12,8 @@ SMALL_ROWS = 10_000
 def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has at most ``most`` rows; Spark's own choice (blocks by partition) beyond."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def broadcast_if_few(df: DataFrame, rows: int | None, most: int = SMALL_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it is known to have ``rows`` rows at most and those are few; nothing runs."""
+    return F.broadcast(df) if rows is not None and rows <= most else df

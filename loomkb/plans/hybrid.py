@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import ranking
+from ..operators.sizes import broadcast_if_few
 
 
 def lexical_reranker(query: Column, content: Column) -> Column:
@@ -17,6 +18,11 @@ def lexical_reranker(query: Column, content: Column) -> Column:
     return F.size(F.array_intersect(asked, tokens(content))) / F.greatest(F.size(asked), F.lit(1))
 
 
+def with_contents(hits: DataFrame, contents: DataFrame, most: int | None = None) -> DataFrame:
+    """``hits`` with their contents; if there are ``most`` hits at most and those are few, they are sent to where the contents are read."""
+    return broadcast_if_few(hits, most).join(contents.select("chunk_id", "content"), "chunk_id")
+
+
 def hybrid_search(
     vector: DataFrame,
     bm25: DataFrame,
@@ -28,14 +34,17 @@ def hybrid_search(
     order: str = "sandwich",
     queries: DataFrame | None = None,
     reranker: Callable[[Column, Column], Column] | None = None,
+    most_queries: int | None = None,
 ) -> DataFrame:
     """(query_id, place, chunk_id, content, score, confidence, verdict) from two ranked lists (query_id, chunk_id, rank, score).
 
     Order and packing come before the limit: of many hits the limit keeps the
     even ranks (order "confidence" keeps the best instead). Without a reranker, or for a
     single hit, confidence is the scaled fusion score, so the verdict of any hits is strong.
+    With a known number of queries (``most_queries``), hits of few queries go to
+    the contents rather than the contents to them.
     """
-    hits = ranking.rrf_fuse(vector, bm25, max(pool, limit)).join(contents.select("chunk_id", "content"), "chunk_id")
+    hits = with_contents(ranking.rrf_fuse(vector, bm25, max(pool, limit)), contents, most_queries and most_queries * max(pool, limit))
     if reranker is not None and queries is not None:
         several = F.count("*").over(Window.partitionBy("query_id")) > 1
         hits = hits.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", F.when(several, reranker(F.col("query"), F.col("content")))).drop("query")
@@ -45,11 +54,11 @@ def hybrid_search(
     hits = ranking.confidence(ranking.content_dedup(hits))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("confidence", 12)), "rank")
     hits = hits.withColumn("rank", F.row_number().over(best))
-    judged = ranking.verdicts(hits)
+    hits = hits.withColumn("verdict", ranking.verdict_of(F.max(ranking.verdict_value()).over(Window.partitionBy("query_id"))))
     hits = ranking.sandwich(hits) if order == "sandwich" else hits.withColumn("pos", (F.col("rank") - 1).cast("long"))
     hits = ranking.pack_context(hits, budget)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
-    out = hits.withColumn("place", place).where(F.col("place") <= limit).join(judged, "query_id")
+    out = hits.withColumn("place", place).where(F.col("place") <= limit)
     return out.select("query_id", "place", "chunk_id", "content", "score", "confidence", "verdict")
 
 

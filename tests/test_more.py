@@ -110,3 +110,16 @@ def test_batches_of_events_are_dealt_by_islands(spark):
         own["id"] = own["id"].where(own["id"].notna(), None)
         assert found[run] == streams.fold_step((-1, []), own)
     assert "InPandas" not in folded._jdf.queryExecution().toString()  # no run is one task's group
+
+
+def test_results_are_capped_by_bytes_at_whole_characters(spark):
+    rows = [("t", 1, "tool", "中" * 700), ("t", 2, "tool", "x" * 2001), ("t", 3, "tool", "x" * 2000), ("t", 4, "user", "中" * 700)]
+    found = {r["seq"]: r["content"] for r in conversation.cap_results(spark.createDataFrame(rows, "thread_id string, seq int, role string, content string")).collect()}
+    assert found[1] == "中" * 666 + conversation.CUT and found[2] == "x" * 2000 + conversation.CUT
+    assert found[3] == "x" * 2000 and found[4] == "中" * 700
+
+
+def test_han_characters_are_tokens(spark):
+    from loomkb.functions.text import tokens
+
+    assert value(spark, tokens(F.lit("Go语言 v2 x 知识库"))) == ["go", "语", "言", "v2", "知", "识", "库"]

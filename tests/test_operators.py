@@ -173,7 +173,7 @@ def test_conversation_stages(spark):
     assert [r["content"] == conversation.BLANKED for r in blanked] == [True, True, True, False, False, False]
     assert conversation.snip(m, 100).count() == 17 and conversation.snip(m, 10**6).count() == 20
     long = spark.createDataFrame([(1, 1, "tool", "x" * 2500)], "thread_id int, seq int, role string, content string")
-    assert conversation.cap_results(long).first()["content"] == "x" * 2000 + "\n...[truncated]"
+    assert conversation.cap_results(long).first()["content"] == "x" * 2000 + conversation.CUT
 
 
 def test_lifecycle_and_bridges(spark):
