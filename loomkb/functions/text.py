@@ -69,9 +69,14 @@ def page_title(page: Column) -> Column:
     return F.trim(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+#: The blocks of Han characters.
+HAN = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, and each Han character by itself, as it is without a dictionary; one-byte ones are no tokens."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), 1)
+    apart = F.when(text.rlike(HAN), F.regexp_replace(text, f"({HAN})", " $1 ")).otherwise(text)
+    found = F.regexp_extract_all(F.lower(apart), F.lit(r"([\p{L}\p{N}]+)"), 1)
     return F.filter(found, lambda t: F.octet_length(t) > 1)
 
 
