@@ -165,6 +165,15 @@ LEAF = (("docs", np.int64), ("keys", np.int64), ("places", np.int32))
 COLUMNS = ("cell", "tops", "wholes", *[c for c, _ in LEAF])
 
 
+def _later(new: np.ndarray, *leaf: np.ndarray) -> np.ndarray:
+    """Leaves in order but for each run's first one (``new``) and what is that same place in a repeated row."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    same = np.ones(len(new), bool)
+    for column in leaf:
+        same &= column == column[first]
+    return np.flatnonzero(~same)
+
+
 def _suffixes(width: int, bits: int, text_col: str):
     """Rows (cell, tops, wholes, docs, keys, places) of suffixes that start on a repeated anchor; cell -1: places whose window began earlier in this chunk.
 
@@ -177,7 +186,7 @@ def _suffixes(width: int, bits: int, text_col: str):
         order = np.lexsort((places, keys, docs, wholes, tops[:, 1], tops[:, 0]))
         tops, wholes, docs, keys, places = tops[order], wholes[order], docs[order], keys[order], places[order]
         new = np.r_[True, (tops[1:] != tops[:-1]).any(axis=1) | (wholes[1:] != wholes[:-1])]
-        again = np.flatnonzero(~new)
+        again = _later(new, docs, keys, places)
         if len(again):
             again = again[np.argsort(docs[again], kind="stable")]
             for k in range(0, len(again), 50_000):
@@ -301,7 +310,9 @@ def _subtree(slots: int):
         tops = tops.reshape(-1, 2).astype(np.uint64)
         order = np.lexsort((places, keys, docs, wholes, tops[:, 1], tops[:, 0]))
         tops, wholes = tops[order], wholes[order]
-        again = order[np.r_[False, (tops[1:] == tops[:-1]).all(axis=1) & (wholes[1:] == wholes[:-1])]] if len(tops) else order
+        docs, keys, places = docs[order], keys[order], places[order]
+        new = np.r_[True, (tops[1:] != tops[:-1]).any(axis=1) | (wholes[1:] != wholes[:-1])] if len(tops) else np.zeros(0, bool)
+        again = _later(new, docs, keys, places)
         return _dealt(slots, docs[again], keys[again], places[again])
 
     return run
