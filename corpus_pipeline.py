@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; ``run`` writes each stage's rows as Parquet to the shared folder
 and reads them back. All but the last stage return the columns of documents.
+
+In every stage null texts count as empty and long ones are taken whole; rows
+repeated with their id go or stay together; without rows, none come out;
+further columns pass through. Rows with a null id stay in the stages that
+compare documents (no other row can name them), and empty texts stay but in
+``exact``, where they equal each other, and ``quality``, which scores them.
 """
 
 from __future__ import annotations
