@@ -57,6 +57,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class WordIds(dict):
+    """Ids of words by the library's model alone, as bytes; a word is what the file's pattern finds, so many units share one."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin1").translate(self.letters)
+        ids = self[word] = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+
 class UnitEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
@@ -65,17 +77,19 @@ class UnitEncoder(dict):
     met lately are kept in two generations of at most ``most`` each.
     """
 
-    def __init__(self, path: str, units: Callable[[str], list[str]], most: int = 300_000):
+    def __init__(self, path: str, units: Callable[[str], list[str]], most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.letters = self.library.model, byte_letters()
+        self.of_word = WordIds(self.library.model)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        # a unit without any first character of an added token holds none
+        first = {t["content"][0] for t in spec["added_tokens"]}
+        self.added = re.compile(f"[{re.escape(''.join(sorted(first)))}]") if first else None
         self.words, self.lower = self._kind(spec)
         self.units, self.most = units, most
         self.older: dict[str, bytes] = {}
@@ -92,12 +106,12 @@ class UnitEncoder(dict):
         return None, False
 
     def _encode(self, unit: str) -> bytes:
-        if self.words is None or any(a in unit for a in self.added) or self.lower and not PLAIN.fullmatch(unit):
+        if self.words is None or self.added and self.added.search(unit) or self.lower and not PLAIN.fullmatch(unit):
             return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
-        ids: list[int] = []
-        for w in self.words.findall(unit.lower() if self.lower else unit):
-            ids += [t.id for t in self.model.tokenize(w.encode().decode("latin1").translate(self.letters))]
-        return array.array("I", ids).tobytes()
+        text = unit.lower() if self.lower else unit
+        if text.isascii() and (text[1:] if text[:1] == " " else text).isalpha():
+            return self.of_word[text]  # letters alone are one word
+        return b"".join(map(self.of_word.__getitem__, self.words.findall(text)))
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
@@ -113,6 +127,8 @@ class UnitEncoder(dict):
             if len(self) > self.most:
                 self.older = dict(self)
                 self.clear()
+            if len(self.of_word) > self.most:
+                self.of_word.clear()
             out.append(b"".join(map(get, self.units(t))))
         return out
 
