@@ -74,10 +74,10 @@ class UnitEncoder(dict):
 
     A new unit goes word by word to the library's model where the file's kind is
     known and the unit is plain, and through the whole library otherwise. Units
-    met lately are kept in two generations of at most ``most`` each.
+    met lately are kept in two generations of at most ``most`` each, some 250 MB in all.
     """
 
-    def __init__(self, path: str, units: Callable[[str], list[str]], most: int = 250_000):
+    def __init__(self, path: str, units: Callable[[str], list[str]], most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,7 +127,7 @@ class UnitEncoder(dict):
             if len(self) > self.most:
                 self.older = dict(self)
                 self.clear()
-            if len(self.of_word) > self.most:
+            if len(self.of_word) > self.most // 2:
                 self.of_word.clear()
             out.append(b"".join(map(get, self.units(t))))
         return out
