@@ -46,6 +46,9 @@ def word_units(text: str) -> list[str]:
 #: How tokenizer files of the two kinds split text into words.
 BYTE_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOWER_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: What the two find in printable ASCII.
+ASCII_BYTE_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +""")
+ASCII_LOWER_WORDS = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^ A-Za-z0-9]+""")
 #: Characters that such a file's normaliser changes in nothing but their case, one by one.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
@@ -64,7 +67,10 @@ class WordIds(dict):
         self.model, self.letters = model, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin1").translate(self.letters)
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", self.letters[32])  # each other such byte stands for itself
+        else:
+            shown = word.encode().decode("latin1").translate(self.letters)
         ids = self[word] = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
@@ -91,6 +97,7 @@ class UnitEncoder(dict):
         first = {t["content"][0] for t in spec["added_tokens"]}
         self.added = re.compile(f"[{re.escape(''.join(sorted(first)))}]") if first else None
         self.words, self.lower = self._kind(spec)
+        self.ascii_words = ASCII_LOWER_WORDS if self.lower else ASCII_BYTE_WORDS
         self.units, self.most = units, most
         self.older: dict[str, bytes] = {}
 
@@ -109,9 +116,10 @@ class UnitEncoder(dict):
         if self.words is None or self.added and self.added.search(unit) or self.lower and not PLAIN.fullmatch(unit):
             return array.array("I", self.library.encode(unit, add_special_tokens=False).ids).tobytes()
         text = unit.lower() if self.lower else unit
-        if text.isascii() and (text[1:] if text[:1] == " " else text).isalpha():
+        if (text[1:] if text[:1] == " " else text).isalpha():
             return self.of_word[text]  # letters alone are one word
-        return b"".join(map(self.of_word.__getitem__, self.words.findall(text)))
+        words = self.ascii_words if text.isascii() and text.isprintable() else self.words
+        return b"".join(map(self.of_word.__getitem__, words.findall(text)))
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
