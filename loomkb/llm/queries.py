@@ -11,8 +11,11 @@ from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import Scratch
 from .exact_dedup import exact_dedup
+from .filter_audit import audit
 from .html_text import extract_text
+from .impact_search import search
 from .jaccard_join import shingle_components
+from .lm_scoring import score_texts
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .substrings import substring_dedup
@@ -97,6 +100,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten highest-scoring documents."""
+    return search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of the five filters keeps and removes, by source."""
+    return audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def lm_held_out(doc_id: str = "doc_id") -> Column:
+    """Whether the language model must not learn from a document; a null id is learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the language model, beside that by smoothed word counts."""
+    out = score_texts(spark, table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"), learn=~lm_held_out())
+    return out.select("doc_id", lm_held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -109,6 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
@@ -142,6 +169,32 @@ rules(v, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'
 best AS (SELECT page_id, h || s AS rule, v FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC) = 1)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)"""
 
+OP11_SQL = r"""WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT * FROM t WHERE len(ts) > 0), c AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts) * n) // l AS m FROM d, c),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY 1),
+s AS (SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY 1, 2, 3),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT t, min(doc_id) AS least FROM d GROUP BY 1),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f FROM w JOIN g USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, len(list_filter(f, lambda x: x)) AS k, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2, 3),
+x(i) AS (SELECT unnest(range(1, 6))),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda q: chr((64 + q)::INTEGER)), '') AS filter_order, i AS step, p[i] AS fi, p[1 : i - 1] AS before FROM o, x),
+r AS (SELECT part, filter_order, step, n, good, toxic, k, f[fi] AS fails, len(list_filter(before, lambda q: f[q])) > 0 AS gone FROM c, s)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND k = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(k, 1))) FILTER (fails), 0)::BIGINT AS shapley FROM r GROUP BY 1, 2, 3"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_filter_audit": OP12_SQL}
