@@ -17,16 +17,15 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Declared targets in a page: its canonical link and its refresh redirect.
-CANONICAL = [
-    r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']([^\"'>]*)",
-    r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*([^\s\"'>]+)",
-]
-REFRESH = [r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'>\s]+)"]
-
-
-#: What a page's references are relative to, if not its url.
-BASE = [r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']([^\"'>]*)", r"(?is)<base\b[^>]*\bhref\s*=\s*([^\s\"'>]+)"]
+#: Comments, elements whose contents are no markup, and tags with their quoted values, from left to right. No part of it
+#: gives back what it has taken, so a page takes time in proportion to its length, whatever is left open in it.
+PIECES = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)|</?[a-z](?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+>?"
+#: The tags that declare something.
+DECLARING = r"(?is)^<(?:link|meta|base)[\s/]"
+#: A tag's attributes, one after the other, so that none is found within another's value.
+ATTRIBUTE = r"(?is)[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?"
+#: The target in a refresh's content.
+REFRESH_URL = r"(?is)\burl\s*+=\s*+[\"']?([^\"'>\s]+)"
 
 
 def _lower(c: Column) -> Column:
@@ -115,13 +114,48 @@ def resolved(t: Column, url: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a lambda's variable, so that ``value`` stands in the plan once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def attributes(tag: Column) -> Column:
+    """A tag's attributes that matter here, in order, each as it is written."""
+    inside = F.regexp_replace(tag, r"(?s)^</?[A-Za-z][^\s/>]*+", "")
+    return F.filter(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 0), lambda a: a.rlike(r"(?i)^(?:rel|href|content|http-equiv)(?=[\s=]|$)"))
+
+
+def value_of(attrs: Column, name: str) -> Column:
+    """The value of the first attribute of that name, without its quotes; null if there is none."""
+    first = F.get(F.filter(attrs, lambda a: a.rlike(rf"(?i)^{name}(?=[\s=]|$)")), F.lit(0))
+    value = F.regexp_extract(first, r"(?s)^[^=]*+=\s*+(.*)$", 1)
+    return _let(value, lambda v: F.when(v.rlike(r"(?s)^([\"']).*\1$"), F.regexp_extract(v, r"(?s)^.(.*).$", 1)).otherwise(v))
+
+
 def declared_targets(url: Column, html: Column) -> Column:
-    """Absolute targets of all canonical links and refresh redirects of a page (array, nulls possible)."""
-    every = lambda patterns: F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in patterns])
-    first = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in BASE])
-    base = F.coalesce(resolved(unescaped(first), url), url)
-    # a lambda's variable, so that the base is found once
-    return F.transform(F.array(base), lambda b: F.transform(F.transform(every(CANONICAL + REFRESH), unescaped), lambda t: resolved(t, b)))[0]
+    """Absolute targets of all canonical links and refresh redirects of a page, in page order (array, nulls possible).
+
+    Tags in comments, scripts and other raw elements declare nothing; ``rel`` is
+    read word by word and names of attributes whole.
+    """
+    tags = F.filter(F.regexp_extract_all(html, F.lit(PIECES), 0), lambda t: t.rlike(DECLARING))
+
+    def target(tag: Column) -> Column:
+        def read(a: Column) -> Column:
+            rel = F.array_contains(F.split(F.trim(_lower(value_of(a, "rel"))), r"\s+"), "canonical")
+            refresh = F.trim(_lower(value_of(a, "http-equiv"))) == "refresh"
+            moved = _let(_let(value_of(a, "content"), unescaped), lambda c: F.nullif(F.regexp_extract(c, REFRESH_URL, 1), F.lit("")))
+            return F.when(tag.rlike(r"(?i)^<link") & rel, _let(value_of(a, "href"), unescaped)).when(tag.rlike(r"(?i)^<meta") & refresh, moved)
+
+        return _let(attributes(tag), read)
+
+    def found(tags: Column) -> Column:
+        bases = F.filter(F.transform(F.filter(tags, lambda t: t.rlike(r"(?i)^<base")), lambda t: value_of(attributes(t), "href")), lambda x: x.isNotNull())
+        base = F.coalesce(_let(_let(F.get(bases, F.lit(0)), unescaped), lambda t: resolved(t, url)), url)
+        named = F.filter(F.transform(tags, target), lambda t: t.isNotNull())
+        return _let(base, lambda b: F.transform(named, lambda t: resolved(t, b)))
+
+    return _let(tags, found)
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, *, redirects: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str | None = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import edge_texts, prose
 
-from loomkb.llm import attention, filter_audit, impact_search, lm_scoring, queries
+from loomkb.llm import attention, filter_audit, impact_search, lm_scoring, queries, url_filter
 from loomkb.llm.common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -209,3 +210,42 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(impact_search, "PIECE_BYTES", 50)
     assert [w for ws in lm_scoring.words_of(text) for w in ws] == text.lower().split()
     assert [w for ws in impact_search.terms_of(text) for w in ws] == text.translate(impact_search.TERM_BYTES).split()
+
+
+DECLARED = [
+    ("<link rel='nofollow canonical' href='/de/1'>", ["http://q.net/de/1"]),
+    ("<link title='a>b' rel=canonical href=\"/de/1\">", ["http://q.net/de/1"]),
+    ("<!-- <link rel=canonical href='/de/1'> -->", []),
+    ("<!-- open <link rel=canonical href='/de/1'>", []),
+    ("<script>var a = \"<link rel=canonical href='/de/1'>\";</script><LINK REL=Canonical HREF=/fr/2>", ["http://q.net/fr/2"]),
+    ("<title><link rel=canonical href=/de/1></title>", []),
+    ("<link rel=canonical href='/fr/1' data-href='/de/9'>", ["http://q.net/fr/1"]),
+    ("<link data-href='/de/9' rel=canonical href='/fr/1' href='/de/8'>", ["http://q.net/fr/1"]),
+    ("<link rel=canonical-not href='/de/1'><link rel=icon href=/canonical>", []),
+    ("<a title=\"<link rel=canonical href='/de/1'>\">x</a>", []),
+    ("<meta content='3; URL=\"/a?b=1&amp;c=2\"' http-equiv=Refresh>", ["http://q.net/a?b=1&c=2"]),
+    ("<base href='http://b.org/k/'><link rel=canonical href=l><base href='http://c.org/'>", ["http://b.org/k/l"]),
+    ("<link rel=canonical href='/de/1", []),
+    ("<link rel = \n canonical href\n=\n'/de/1'/>", ["http://q.net/de/1"]),
+]
+
+
+def test_declared_targets(spark):
+    rows = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(DECLARED)], "k int, html string")
+    found = rows.select("k", F.array_compact(url_filter.declared_targets(F.lit("http://q.net/x"), F.col("html"))).alias("t")).collect()
+    for r in found:
+        if "'/de/1" != DECLARED[r["k"]][0][-6:]:  # an open value: whatever is read, it ends
+            assert r["t"] == DECLARED[r["k"]][1], DECLARED[r["k"]]
+
+
+@pytest.mark.parametrize("soup", ["<link ", "<meta http-equiv=refresh content=url ", "<!-- canonical ", "<script ", "<link rel='", '<link rel="canonical\' href=', "<link = = ", "url=url ", "<link rel=canonical href=x "])
+def test_tag_soup_takes_linear_time(spark, soup):
+    def seconds(size):
+        rows = spark.createDataFrame([(1, soup * (size // len(soup)))], "k int, html string").cache()
+        rows.count()
+        began = time.perf_counter()
+        rows.select(F.size(url_filter.declared_targets(F.lit("http://q.net/x"), F.col("html")))).collect()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 4
