@@ -125,15 +125,15 @@ def date_range_valid(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ok.alias("ok"))
 
 
-@query("SELECT doc_id, md5('# ' || coalesce(nullif(source, ''), 'guide') || chr(10) || chr(10) || text) AS page_md5 FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5('# ' || coalesce(nullif(source, ''), 'guide') || chr(10) || chr(10) || coalesce(text, '')) AS page_md5 FROM documents")
 def rendered_pages(spark, d):
-    page = records.rendered_page(records.or_default(F.col("source"), "guide"), F.col("text"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(page).alias("page_md5"))
+    page = records.rendered_page(records.or_default(F.col("source"), "guide"), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.md5(page).alias("page_md5"))
 
 
-@query("SELECT p_partkey, p_name, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part ORDER BY p_name, p_partkey LIMIT 10000")
+@query("SELECT p_partkey, p_name, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def titles_with_slugs_paged(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10_000)
+    rows = table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey")  # all titles
     return rows.withColumn("slug", text.slugify(F.col("p_name")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import chunking, text
-from .operators import bm25, bm25_index, conversation, evaluation, ingest, lifecycle, ranking, relational, vectors
+from .operators import bm25, bm25_index, conversation, evaluation, ingest, lifecycle, ranking, relational, vector_index, vectors
 from .operators.sizes import broadcast_if_small
 from .plans.hybrid import hybrid_search, lexical_reranker, rendered, with_contents
 from .session import table
@@ -181,6 +181,25 @@ def knn_per_query(spark, d):
     return vectors.nearest_of_queries(table(spark, d, "embeddings"), _label_queries(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
+def _vector_index(spark, d):
+    """The stored vector index of all embeddings, with labels to filter by."""
+    return built_once(spark, "vectors", table(spark, d, "embeddings"), lambda folder: vector_index.write_index(table(spark, d, "embeddings"), folder, "label"))
+
+
+@query()
+def vector_index_search(spark, d):
+    """The ten nearest of each twentieth vector through the stored index; tests hold its recall against exact search."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search(spark, _vector_index(spark, d), asked, 10)
+
+
+@query()
+def vector_index_filtered(spark, d):
+    """The same among the vectors of one label: the filter is applied to the lists' entries."""
+    return vector_index.search(spark, _vector_index(spark, d), _label_queries(spark, d).select("query_id", "query"), 10, keep=F.col("label") == 3, probed=1.0)
+
+
 @query(
     f"WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round({COS.format('embedding', 'q.v')}, 6) AS score, "
     f"row_number() OVER (ORDER BY {COS.format('embedding', 'q.v')} DESC, vec_id) AS rank FROM embeddings, q WHERE label <> 3 ORDER BY rank LIMIT 10"
