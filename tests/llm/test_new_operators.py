@@ -200,6 +200,15 @@ def test_scores_against_brute_force(spark, monkeypatch):
         assert taught > 0.9 * sum(r["score"] for r in untaught if r["doc_id"] is not None and held[r["doc_id"]] == out)
 
 
+def test_words_of_the_table_are_spelled_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library, subwords = Tokenizer.from_file(path), lm_scoring.Subwords(path)
+    own = ["the", "qzxv", "don't", "über", "a1b2", "<|endoftext|>", "##", "日本", "e\u0301", "x" * 80]
+    assert [subwords(w.encode()).tolist() for w in own] == [library.encode(" " + w, add_special_tokens=False).ids for w in own]
+
+
 def test_earlier_words():
     assert lm_scoring.earlier(np.array([0, 0, 0, 1, 1, 1]), np.array([5, 7, 5, 5, 5, 7])).tolist() == [0, 0, 1, 0, 1, 0]
 
