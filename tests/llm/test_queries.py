@@ -30,13 +30,14 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))] + [(60, None), (7, [0.0] * 8)], "vec_id long, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
     pages = [(1, "http://example.org/es/1", "<article><p>One and the other</p></article>"), (2, "http://q.net/", "<link rel=canonical href='http://x.com/de/1'>"), (3, None, None), (1, "http://example.org/es/1", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{where}/pages.parquet")
+    spark.createDataFrame([(1, prose(60, 900)), (2, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
     return str(where)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     where = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{where}/{t}.parquet")
     return str(where)
 
