@@ -148,7 +148,7 @@ def _postings(buckets: int, rare: int, most: int = 400_000):
     A posting carries its document's number of tokens and the token's place
     among them. A token that is frequent in this chunk alone is known to be
     frequent: its documents travel apart, dealt over all buckets (known), and
-    its own bucket gets only the mark -1.
+    its own bucket gets only a mark, a posting of size 0.
     """
 
     def rows(tokens: np.ndarray, facts: np.ndarray, salt: int):
@@ -160,7 +160,7 @@ def _postings(buckets: int, rare: int, most: int = 400_000):
         marks = tokens[first[sizes >= rare]]
         mark = np.zeros(len(marks), FACTS)
         mark["doc"] = -1
-        plain = np.concatenate([tokens[~hot], marks]), np.concatenate([facts[~hot], mark])
+        plain = np.concatenate([tokens[~hot], marks]), np.concatenate([facts[~hot], np.zeros(len(marks), FACTS)])
         for known, (t, f), by in ((False, plain, plain[0]), (True, (tokens[hot], facts[hot]), tokens[hot] + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))):
             bucket = (by % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -246,9 +246,9 @@ def _group_postings(rare: int, rule: Rule):
         if len(tokens):
             first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             sizes = np.diff(np.r_[first, len(tokens)])
-            marked = np.minimum.reduceat(facts["doc"], first) < 0
+            marked = np.minimum.reduceat(facts["size"], first) == 0
             hot = marked | (sizes >= rare)
-            rows = np.repeat(hot, sizes) & (facts["doc"] >= 0)
+            rows = np.repeat(hot, sizes) & (facts["size"] > 0)
             ft.append(tokens[rows])
             fd.append(facts["doc"][rows])
             some = ~hot & (sizes > 1)

@@ -590,3 +590,15 @@ def test_urls_against_brute_force(spark):
     pages += [(200, None, None), (201, "nothing", kinds[0].format("http://x.com/de/1")), (0, urls[0], pages[0][2])]
     found = {r["page_id"]: r["verdict"] for r in judge_urls(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert found == plain_verdicts(pages)
+
+
+def test_join_links_negative_and_very_large_ids(spark):
+    from loomkb.llm.jaccard_join import shingle_components
+
+    base = [f"word{i}" for i in range(60)]
+    ids = [-(2**63), -5, -1, 0, 3, 2**54 + 1, 2**63 - 1]
+    rows = [(i, " ".join([*base, f"end{k}"])) for k, i in enumerate(ids)] + [(-7, "another text that nobody else has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rare in (2, 100):  # as frequent tokens and as rare ones
+        found = {r["doc_id"]: r["component_id"] for r in shingle_components(spark, docs, rare=rare).collect()}
+        assert found == {**dict.fromkeys(ids, -(2**63)), -7: -7}
