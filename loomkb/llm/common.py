@@ -37,7 +37,8 @@ class Scratch:
 
     ``write`` runs the plan once and returns a scan of its rows; executors may
     be lost afterwards. ``drop`` removes a table that no later plan reads; what
-    a lazy result still reads is removed when the driver's Python ends.
+    a lazy result still reads is removed when the driver's Python ends, after
+    the session's jobs are cancelled.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -55,6 +56,7 @@ class Scratch:
 
     def clear(self) -> None:
         try:
+            self.spark.sparkContext.cancelAllJobs()
             self._delete(self.base)
         except Exception:  # the session may be closed by then
             pass
