@@ -5,8 +5,9 @@ before it kept; ``run`` writes each stage's rows as Parquet to the shared folder
 and reads them back. All but the last stage return the columns of documents.
 
 In every stage null texts count as empty and long ones are taken whole; rows
-repeated with their id go or stay together; without rows, none come out;
-further columns pass through. Rows with a null id stay in the stages that
+repeated with their id and text go or stay together, and several texts of one
+id are judged each by itself; without rows, none come out; further columns pass
+through. Rows with a null id stay in the stages that
 compare documents (no other row can name them), and empty texts stay but in
 ``exact``, where they equal each other, and ``quality``, which scores them.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkb.llm.common import Scratch
-from loomkb.llm.exact_dedup import exact_dedup
+from loomkb.llm.exact_dedup import digest, exact_dedup
 from loomkb.llm.jaccard_join import shingle_components
 from loomkb.llm.packing import pack_documents
 from loomkb.llm.quality import fit_quality, score_quality
@@ -39,15 +40,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text (A-Z lower-cased), the one with the largest id."""
-    gone = exact_dedup(spark, docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = exact_dedup(spark, docs).where("NOT kept").select("doc_id", F.col("digest").alias("_digest"))
+    return docs.withColumn("_digest", digest("text")).join(gone, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    groups = shingle_components(spark, docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Of an id with several texts, the text with the least digest goes by the id and
+    each other one by a hash of id and digest, so that the id links no two texts.
+    """
+    digests = docs.select("doc_id", digest("text").alias("digest")).where("doc_id IS NOT NULL")
+    several = digests.groupBy("doc_id").agg(F.min("digest").alias("_first"), F.max("digest").alias("last"))
+    # written, so that Spark knows how few these are when it plans the join
+    several = Scratch(spark, "several-texts").write(several.where("_first <> last").drop("last"), "ids")
+    other = F.col("_first") != digest("text")
+    key = F.when(other, F.xxhash64("doc_id", digest("text")).bitwiseAND(F.lit(2**63 - 1))).otherwise(F.col("doc_id").cast("long"))
+    keyed = docs.join(several, "doc_id", "left").withColumn("_key", key)
+    groups = shingle_components(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
