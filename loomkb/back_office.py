@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import segmentation, text
 from .operators import conversation, records, relational
 from .queries import TOKENS, ZONES, _messages, query
 from .session import table
@@ -137,6 +137,26 @@ def titles_with_slugs_paged(spark, d):
     return rows.withColumn("slug", text.slugify(F.col("p_name")))
 
 
+@query(
+    """WITH RECURSIVE titles AS (SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_type), '[^a-z]+', ' ', 'g') AS title FROM part),
+given AS (SELECT unnest(string_split(title, ' ')) AS word FROM titles),
+top AS (SELECT word, count(*) AS n FROM given GROUP BY 1 ORDER BY n DESC, word LIMIT 100000), kept AS (SELECT word, n FROM top WHERE word <> ''),
+total AS (SELECT sum(n)::DOUBLE AS total FROM kept),
+costs AS (SELECT map(list(word ORDER BY word), list(CAST(round(ln(total / n) * 1000000) AS BIGINT) ORDER BY word)) AS cost, CAST(round(max(ln(total)) * 1000000) AS BIGINT) AS unknown, max(length(word)) AS longest FROM kept, total),
+runs AS (SELECT DISTINCT replace(title, ' ', '') AS run FROM titles),
+best AS (SELECT run, 0 AS k, [{'cost': 0::BIGINT, 'shorter': 0::BIGINT, 'words': ''}] AS ends FROM runs
+UNION ALL SELECT run, k + 1, list_append(ends, list_min(list_filter(list_transform(range(1, least(k + 1, longest) + 1), lambda l: {'cost': coalesce(cost[substring(run, length(run) - k, l)], CASE WHEN l = 1 THEN unknown END) + ends[k - l + 2].cost, 'shorter': -l, 'words': substring(run, length(run) - k, l) || ' ' || ends[k - l + 2].words}), lambda w: w.cost IS NOT NULL)))
+FROM best, costs WHERE k < length(run))
+SELECT p_partkey, trim(ends[k + 1].words) AS words FROM titles JOIN best ON run = replace(title, ' ', '') AND k = length(run)"""
+)
+def segmented_titles(spark, d):
+    title = F.regexp_replace(F.lower(F.concat("p_name", F.lit(" "), "p_type")), "[^a-z]+", " ")
+    parts = table(spark, d, "part").select("p_partkey", title.alias("title"))
+    words = segmentation.frequent_words(parts.select(F.explode(F.split("title", " ")).alias("word")), 100_000)
+    cut = segmentation.segmenter(words, letters="[a-z]", least_bytes=1)
+    return parts.select("p_partkey", F.array_join(cut(F.replace("title", F.lit(" "), F.lit(""))), " ").alias("words"))
+
+
 @query(
     f"""WITH {ZONES.format(2)}, capped AS (SELECT *, text AS t FROM zones),
 r AS (SELECT *, sum({TOKENS.format('t')}) OVER (PARTITION BY conv_id) / 250.0::DOUBLE AS ratio, count(*) FILTER (zone = 'middle') OVER (PARTITION BY conv_id) AS m, row_number() OVER (PARTITION BY conv_id, zone ORDER BY turn) AS i FROM capped),
