@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import segmentation, text
-from .operators import conversation, records, relational
+from .operators import conversation, publishing, records, relational
 from .queries import TOKENS, ZONES, _messages, query
 from .session import table
+from .sources.commits import TableLog
+from .stored import Folder
 
 
 @query("SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey = 7")
@@ -137,6 +139,26 @@ def titles_with_slugs_paged(spark, d):
     return rows.withColumn("slug", text.slugify(F.col("p_name")))
 
 
+@query(
+    """WITH a AS (SELECT doc_id AS article_id, lang AS kb_id, substring(text, 1, 60) AS title, embedding, doc_id % 100 = 0 AS asked FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+n AS (SELECT kb_id, title, min(article_id) FILTER (asked) AS first, count(*) FILTER (NOT asked) AS held FROM a WHERE title IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT q.article_id FROM a q JOIN a p ON p.kb_id = q.kb_id AND q.asked AND NOT p.asked GROUP BY 1 HAVING max(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) > 0.92)
+SELECT article_id, CASE WHEN held > 0 OR first < article_id THEN 'title' WHEN article_id IN (FROM m) THEN 'meaning' END AS reason, CASE WHEN held > 0 OR first < article_id OR article_id IN (FROM m) THEN 0 ELSE 1 END AS n_chunks FROM a LEFT JOIN n USING (kb_id, title) WHERE asked"""
+)
+def create_and_publish(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("lang").alias("kb_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    articles = docs.drop("content").join(vectors, "article_id", "left")
+    log = TableLog(spark, Folder(spark, "publishing").path)
+    with log.begin() as first:
+        first.append("articles", articles.where("article_id % 100 <> 0"))
+        first.append("chunks", docs.where("article_id % 100 <> 0").select("article_id", "content"))
+    asked = docs.where("article_id % 100 = 0").select("article_id", "content")
+    told = publishing.create_and_publish(log, articles.where("article_id % 100 = 0"), asked)
+    chunks = log.read("chunks").groupBy("article_id").agg(F.count("*").cast("int").alias("n_chunks"))
+    return told.join(chunks, "article_id", "left").select("article_id", "reason", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
 @query(
     """WITH RECURSIVE titles AS (SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_type), '[^a-z]+', ' ', 'g') AS title FROM part),
 given AS (SELECT unnest(string_split(title, ' ')) AS word FROM titles),
