@@ -1,47 +1,61 @@
-"""Markdown-aware chunking of documents: a small per-text helper behind one pandas UDF."""
+"""Markdown-aware chunking of documents: a small per-text generator behind one table function."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: where text may be cut, the preferred place first.
-SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ", " ", ""]
-FENCE = re.compile(r"^\s*(```|~~~)")
-HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
+SEPARATORS = ["\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", "，", ",", " ", ""]
+#: Fixed value: characters trimmed at the ends (Unicode white space).
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+HEADING = re.compile(r"(#{1,6}) (.*)", re.DOTALL)
 #: Full-width forms and the wide space, and their ASCII counterparts.
 NARROW = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
 
 
+def is_fence(line: str) -> bool:
+    return line.lstrip(WHITE).startswith(("```", "~~~"))
+
+
 def normalise(text: str) -> str:
     """Line ends as LF, at most one empty line, full-width forms narrowed outside code fences, trimmed."""
     lines, fenced = [], False
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        mark = FENCE.match(line)
+    for line in re.sub(r"\n{3,}", "\n\n", text.replace("\r\n", "\n").replace("\r", "\n")).split("\n"):
+        mark = is_fence(line)
         lines.append(line if fenced or mark else line.translate(NARROW))
-        fenced ^= bool(mark)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+        fenced ^= mark
+    return "\n".join(lines).strip(WHITE)
+
 
+def sections(text: str, mode: str = "compat") -> Iterator[tuple[str, str]]:
+    """(headings over it, one a line; trimmed body) of each section.
 
-def sections(text: str) -> list[tuple[str, str]]:
-    """(heading path, body) of each section; a deeper heading extends the path of the one it stands under."""
-    out: list[tuple[str, str]] = []
+    A heading with no line before the next one makes no section of its own.
+    ``compat`` counts places in the path as levels, so headings of one level
+    that was skipped pile up, and takes headings inside code fences too; the part before
+    the first heading is a section even when empty. ``clean`` does none of the three.
+    """
     path: list[tuple[int, str]] = []
     body: list[str] = []
-    for line in text.split("\n"):
-        found = HEADING.match(line)
-        if not found:
+    first, fenced = True, False
+    for line in [*text.split("\n"), None]:
+        found = HEADING.fullmatch(line.strip(WHITE)) if line is not None and not fenced else None
+        if line is not None and not found:
             body.append(line)
+            fenced ^= mode == "clean" and is_fence(line)
             continue
-        out.append((" > ".join(t for _, t in path), "\n".join(body).strip()))
-        body, level = [], len(found[1])
-        path = [(n, t) for n, t in path if n < level] + [(level, found[2])]
-    out.append((" > ".join(t for _, t in path), "\n".join(body).strip()))
-    return out
+        if body or (first and mode == "compat"):
+            yield "\n".join(t for _, t in path), "\n".join(body).strip(WHITE)
+        first, body = False, []
+        if found:
+            level = len(found[1])
+            above = [x for x in path if x[0] < level] if mode == "clean" else path[: level - 1]
+            path = [*above, (level, f"{found[1]} {found[2].strip(WHITE)}")]
 
 
 def windows(text: str, size: int, overlap: int) -> list[str]:
@@ -62,7 +76,7 @@ def split(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS
         if separator == "":
             break
         if separator in text:
-            parts = [p.strip() for p in text.split(separator)]
+            parts = [p.strip(WHITE) for p in text.split(separator)]
             return [x for p in parts if p for x in split(p, size, overlap, separators[k + 1 :])]
     return windows(text, size, overlap)
 
@@ -78,49 +92,80 @@ def merge(pieces: list[str], size: int, joint: str = "") -> list[str]:
     return out
 
 
-def overlapped(chunks: list[str], overlap: int) -> list[str]:
-    """Each chunk between the tail of the one before and the head of the one after, where those are longer than the overlap."""
-    if overlap <= 0:
-        return chunks
-    out = []
-    for k, own in enumerate(chunks):
-        before = chunks[k - 1][-overlap:] if k and len(chunks[k - 1]) > overlap else ""
-        after = chunks[k + 1][:overlap] if k + 1 < len(chunks) and len(chunks[k + 1]) > overlap else ""
-        out.append(before + own + after)
-    return out
+def overlapped(chunks: Iterable[str], overlap: int) -> Iterator[str]:
+    """Each chunk between the tail of the one before and the head of the one after, where those are longer than the overlap.
 
+    Tail and head reach up to a third further, to a line end if one is there.
+    """
+    more = overlap // 3 if overlap > 0 else 0
 
-def chunk(text: str | None, size: int = 500, overlap: int = 100, mode: str = "compat") -> list[str]:
-    """Chunks of one text.
+    def tail(s: str) -> str:
+        start = len(s) - overlap
+        line = s.rfind("\n", max(1, start - more + 1), start + 1) if more else -1
+        return s[line + 1 if line >= 0 else start :]
+
+    def head(s: str) -> str:
+        line = s.find("\n", overlap, overlap + more)
+        return s[: line if line >= 0 else overlap]
 
-    ``compat`` joins pieces without what separated them and gives a long text
-    that opens with a heading an empty first section; ``clean`` joins with a space
-    and leaves empty chunks out. Short texts are one chunk, empty ones none.
+    before, own = None, None
+    for after in chain(chunks, [None]):
+        if own is not None:
+            left = tail(before) if before is not None and 0 < overlap < len(before) else ""
+            right = head(after) if after is not None and 0 < overlap < len(after) else ""
+            yield left + own + right
+        before, own = own, after
+
+
+def iter_chunks(text: str | None, size: int = 500, overlap: int = 100, mode: str = "compat") -> Iterator[str]:
+    """Chunks of one text, one at a time.
+
+    A null or empty text has none, one of at most ``size`` characters is one chunk.
+    ``compat`` joins pieces without what separated them, keeps empty chunks and leaves a body of
+    separators alone out. ``clean`` joins pieces with a space, cuts such a body by length, leaves empty chunks out
+    and reads headings as ``sections`` says. A size below 1 means 500, an overlap not below the size half of it.
     """
-    text = normalise(text or "")
+    size = size if size > 0 else 500
+    overlap = max(0, overlap) if overlap < size else size // 2
     if not text:
-        return []
+        return
+    text = normalise(text)
     if len(text) <= size:
-        return [text]
-    chunks = []
-    for path, body in sections(text):
-        own = merge(split(body, size, overlap), size, "" if mode == "compat" else " ") or [""]
-        chunks += [f"{path}\n{c}" if path else c for c in overlapped(own, overlap)]
-    return chunks if mode == "compat" else [c for c in chunks if c.strip()]
+        if text or mode == "compat":
+            yield text
+        return
+
+    def plain() -> Iterator[str]:
+        for path, body in sections(text, mode):
+            pieces = [body] if len(body) <= size else merge(split(body, size, overlap), size, "" if mode == "compat" else " ")
+            if not pieces and mode == "clean":
+                pieces = windows(body, size, overlap)
+            for p in pieces:
+                if p or mode == "compat":
+                    yield f"{path}\n{p}" if path else p
+
+    yield from overlapped(plain(), overlap)
+
+
+def chunk(text: str | None, size: int = 500, overlap: int = 100, mode: str = "compat") -> list[str]:
+    return list(iter_chunks(text, size, overlap, mode))
+
 
+@F.udtf(returnType="chunk_index int, content string")
+class MarkdownChunks:
+    """Table function (text, size, overlap, mode) -> (chunk_index, content); rows leave the task one by one."""
 
-def chunks_of(text: Column, size: int = 500, overlap: int = 100, mode: str = "compat") -> Column:
-    """Chunks of each text as an array."""
+    def eval(self, text: str, size: int, overlap: int, mode: str):
+        yield from enumerate(iter_chunks(text, size, overlap, mode))
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: chunk(t, size, overlap, mode))
 
-    return run(text)
+def register(spark: SparkSession, name: str = "markdown_chunks") -> None:
+    """Makes ``SELECT ... FROM docs, LATERAL markdown_chunks(text, 500, 100, 'compat')`` known to SQL."""
+    spark.udtf.register(name, MarkdownChunks)
 
 
 def chunk_documents(docs: DataFrame, *, id_col: str, text_col: str, size: int = 500, overlap: int = 100, mode: str = "compat") -> DataFrame:
-    """(id, chunk_index, content), one row a chunk."""
-    rows = docs.select(id_col, chunks_of(F.col(text_col), size, overlap, mode).alias("_chunks"))
-    return rows.select(id_col, F.posexplode("_chunks").alias("chunk_index", "content"))
+    """(id, chunk_index, content), one row a chunk; a text without chunks gives no row."""
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    made = MarkdownChunks(F.col("_text").outer(), F.lit(size), F.lit(overlap), F.lit(mode))
+    return rows.lateralJoin(made).select(id_col, "chunk_index", "content")

@@ -134,8 +134,10 @@ def test_chunk_cases():
     assert chunking.chunk("x" * 10, 10, 0) == ["x" * 10]
     assert chunking.normalise("a！\r\n\n\n\nb\n```\n！\n```") == "a!\n\nb\n```\n！\n```"
     opened = chunking.chunk("# A\n" + "word " * 40, 50, 0)
-    assert opened[0] == "" and all(c.startswith("A\n") for c in opened[1:])
-    assert chunking.sections("# A\nx\n### C\ny\n## B\nz") == [("", ""), ("A", "x"), ("A > C", "y"), ("A > B", "z")]
+    assert opened[0] == "" and all(c.startswith("# A\n") for c in opened[1:])
+    nested = [("# A", "x"), ("# A\n### C", "y"), ("# A\n## B", "z")]
+    assert list(chunking.sections("# A\nx\n### C\ny\n## B\nz")) == [("", ""), *nested]
+    assert list(chunking.sections("# A\nx\n### C\ny\n## B\nz", "clean")) == nested
     assert chunking.windows("abcdefgh", 4, 2) == ["abcd", "cdef", "efgh"]
 
 
