@@ -15,6 +15,7 @@ from .session import table
 from .stored import Folder, built_once
 from .sources.files import grep_lines, read_lines
 from .streaming import events as streams
+from .streaming import logins
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -647,18 +648,59 @@ def embed_chunks(spark, d):
 
 # --- streams run as batches; tests hold the streaming form to the same rows
 
-@query()
+@query(
+    """WITH e AS (SELECT conv_id, turn, role, text, CASE WHEN role IN ('assistant', 'user') AND lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM e),
+p AS (SELECT conv_id, part, min(turn) AS first, max(turn) AS seq, any_value(role) AS role, string_agg(text, '' ORDER BY turn) AS content FROM g GROUP BY conv_id, part)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, max(seq) AS seq, count(*) AS n_parts,
+md5(string_agg(CASE role WHEN 'assistant' THEN 'token' WHEN 'user' THEN 'reasoning' ELSE 'error' END || ':' || coalesce(content, '') || ':' || role, '|' ORDER BY part)) AS parts_md5 FROM p GROUP BY conv_id"""
+)
 def event_fold(spark, d):
     m = table(spark, d, "conversations")
     kind = F.when(F.col("role") == "assistant", "token").when(F.col("role") == "user", "reasoning").otherwise("error")
     rows = m.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), kind.alias("type"), F.col("text").alias("content"), F.col("role").alias("id"))
-    return streams.fold_events(rows).select("run_id", "seq", F.size("parts").alias("n_parts"))
+    shown = F.transform("parts", lambda p: F.concat(p["type"], F.lit(":"), F.coalesce(p["content"], F.lit("")), F.lit(":"), p["id"]))
+    return streams.fold_events(rows).select("run_id", "seq", F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join(shown, "|")).alias("parts_md5"))
 
 
-@query()
+def _limited_sql(failures: int, seconds: int) -> str:
+    """A left fold over each user's attempts; the first element of the list is the empty state."""
+    over = f"(a.fails > 0 AND x.us - a.start > {seconds * 1_000_000})"
+    fails = f"(CASE WHEN {over} THEN 0 ELSE a.fails END)"
+    return f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS u, epoch_us(ts) AS us, event_type <> 'error' AS ok FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT u, list({{'us': us, 'ok': ok, 'start': CAST(0 AS BIGINT), 'fails': 0, 'told': CAST([] AS BOOLEAN[])}} ORDER BY us, ok) AS rows FROM e GROUP BY u),
+r AS (SELECT u, rows, list_reduce(list_prepend({{'us': CAST(0 AS BIGINT), 'ok': true, 'start': CAST(0 AS BIGINT), 'fails': 0, 'told': CAST([] AS BOOLEAN[])}}, rows), lambda a, x: {{'us': x.us, 'ok': x.ok,
+'start': CASE WHEN {fails} < {failures} AND NOT x.ok AND {fails} = 0 THEN x.us ELSE a.start END,
+'fails': CASE WHEN {fails} >= {failures} THEN {fails} WHEN x.ok THEN 0 ELSE {fails} + 1 END,
+'told': list_append(a.told, {fails} < {failures})}}).told AS told FROM l),
+f AS (SELECT u, unnest(rows) AS row, unnest(told) AS allowed FROM r)
+SELECT u AS "user", CAST(make_timestamp(row.us) AS TIMESTAMP) AS ts, row.ok AS ok, allowed FROM f"""
+
+
+def _attempts(spark, d):
+    return table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").cast("string").alias("user"), "ts", (F.col("event_type") != "error").alias("ok"))
+
+
+@query(_limited_sql(5, 180))
 def login_rate_limit(spark, d):
-    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), "ts", (F.col("event_type") != "error").alias("ok"))
-    return streams.limit_logins(rows)
+    return logins.limit_logins(_attempts(spark, d))
+
+
+@query(_limited_sql(2, 432_000))
+def login_rate_limit_wide(spark, d):
+    return logins.limit_logins(_attempts(spark, d), failures=2, seconds=432_000)
+
+
+@query(
+    """WITH e AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS token, ts, event_type = 'error' AS revoke, date_trunc('day', ts) + INTERVAL 20 HOUR AS expires_at FROM events),
+f AS (SELECT token, min(ts) AS gone FROM e WHERE revoke GROUP BY token)
+SELECT token, CAST(ts AS TIMESTAMP) AS ts, ts < expires_at AND coalesce(ts < gone, true) AS allowed FROM e LEFT JOIN f USING (token) WHERE NOT revoke AND token IS NOT NULL"""
+)
+def token_revocations(spark, d):
+    day = F.date_trunc("day", F.col("ts"))
+    token = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string"))
+    rows = table(spark, d, "events").select(token.alias("token"), "ts", (F.col("event_type") == "error").alias("revoke"), (day + F.expr("INTERVAL 20 HOURS")).alias("expires_at"))
+    return logins.refuse_revoked(rows)
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

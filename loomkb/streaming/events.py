@@ -1,4 +1,4 @@
-"""Streams: folding run events into messages, limiting logins, ingesting a queue, and event-time windows."""
+"""Streams: folding run events into messages, ingesting a queue, and event-time windows."""
 
 from __future__ import annotations
 
@@ -8,15 +8,20 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import QUEUE_SCHEMA
+from .state import keep_in_rocksdb
 
-#: Event types that extend the last part of their type, failures allowed and their window in seconds.
-EXTENDING, FAILURES, WINDOW_SECONDS = ("token", "reasoning", "tool_args"), 5, 180
+#: Event types that extend the last part of their type.
+EXTENDING = ("token", "reasoning", "tool_args")
 FOLDED = "run_id string, seq long, parts array<struct<type:string,content:string,id:string>>"
-DECIDED = "user string, ts timestamp, ok boolean, allowed boolean"
+PART = "type string, content string, id string"
+
+
+def _joined(a: str | None, b: str | None) -> str | None:
+    return a if b is None else b if a is None else a + b
 
 
 def fold_step(state: tuple[int, list], events: pd.DataFrame) -> tuple[int, list]:
@@ -27,7 +32,7 @@ def fold_step(state: tuple[int, list], events: pd.DataFrame) -> tuple[int, list]
             continue
         last = int(e.seq)
         if e.type in EXTENDING and parts and parts[-1][0] == e.type and parts[-1][2] == e.id:
-            parts[-1] = (e.type, parts[-1][1] + e.content, e.id)
+            parts[-1] = (e.type, _joined(parts[-1][1], e.content), e.id)
         elif e.type == "tool_result":
             parts.append(("tool_result", e.content, e.id))
         elif e.type in (*EXTENDING, "tool_call", "error"):
@@ -57,65 +62,58 @@ def _folded_batch(events: DataFrame) -> DataFrame:
     return last.join(listed, F.col("run_id").eqNullSafe(F.col("_run")), "left").select("run_id", "seq", F.coalesce("parts", none).alias("parts"))
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """(run_id, seq, parts) of each run of ``events`` (run_id, seq, type, content, id), batch or stream.
-
-    A stream keeps each run's last seq and parts as state and gives the
-    run's whole message after each batch that touched it, so replayed events change nothing.
+class _Fold(StatefulProcessor):
+    """A run's last seq and open part, and its finished parts, which only grow; with event times all go ``keep_ms`` after the last event."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", f"seq long, some boolean, {PART}")
+        self.done = handle.getListState("done", PART)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).astype(object)
+        events = events.where(events.notna(), None)
+        last, some, *part = self.open.get() if self.open.exists() else (-1, False, None, None, None)
+        last, parts = fold_step((last, [tuple(part)] if some else []), events)
+        if len(parts) > 1:
+            self.done.appendList(parts[:-1])
+        self.open.update((last, bool(parts), *(parts[-1] if parts else (None, None, None))))
+        if self.keep_ms is not None:
+            old = [int(t) for t in self.handle.listTimers()]
+            for t in old:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max([*old, int(events["at"].max()) + self.keep_ms]))
+        yield _folded(key[0], (last, [tuple(p) for p in self.done.get()] + parts[-1:]))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        self.done.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def fold_events(events: DataFrame, keep_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """(run_id, seq, parts) of each run of ``events`` (run_id, seq, type, content, id and perhaps ts), batch or stream.
+
+    A stream keeps each run's last seq and parts as state and gives the run's whole message after
+    each batch that touched it, so replayed events change nothing. Where events have a time ``ts``, a
+    run's state goes ``keep_seconds`` after its last event, by the watermark; events more than ``late`` behind or without a time are left out.
+    Without ``ts`` state stays. It needs a state store with timers, which is set if the session has the default one.
     """
     if not events.isStreaming:
         return _folded_batch(events)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, parts = state.get if state.exists else (-1, [])
-        own = (last, [(p["type"], p["content"], p["id"]) if not isinstance(p, tuple) else tuple(p) for p in parts])
-        own = fold_step(own, pd.concat(list(batches)))
-        state.update((own[0], own[1]))
-        yield _folded(key[0], own)
-
-    return events.groupBy("run_id").applyInPandasWithState(step, FOLDED, "seq long, parts array<struct<type:string,content:string,id:string>>", "update", GroupStateTimeout.NoTimeout)
-
-
-def limit_step(state: tuple[float, int], attempts: pd.DataFrame) -> tuple[tuple[float, int], list[bool]]:
-    """Whether each attempt in time order is let through: not after FAILURES failures in the window that the first one opened; a success closes it."""
-    start, fails = state
-    allowed = []
-    for a in attempts.itertuples():
-        at = a.ts.timestamp()
-        if fails and at - start >= WINDOW_SECONDS:
-            fails = 0
-        allowed.append(fails < FAILURES)
-        if not allowed[-1]:
-            continue
-        if a.ok:
-            fails = 0
-        else:
-            start, fails = (at, 1) if not fails else (start, fails + 1)
-    return (start, fails), allowed
-
-
-def limit_logins(attempts: DataFrame) -> DataFrame:
-    """(user, ts, ok, allowed) of ``attempts`` (user, ts, ok), batch or stream; users are limited apart from each other."""
-
-    def decided(rows: pd.DataFrame, state: tuple[float, int]) -> tuple[tuple[float, int], pd.DataFrame]:
-        rows = rows.sort_values(["ts", "ok"], kind="stable")
-        state, allowed = limit_step(state, rows)
-        return state, rows[["user", "ts", "ok"]].assign(allowed=allowed)
-
-    if not attempts.isStreaming:
-        # no window reaches over a longer gap than its own (a second more, for rounding), so each island starts anew
-        order = Window.partitionBy("user").orderBy("ts")
-        gap = F.col("ts") - F.lag("ts").over(order)
-        islands = attempts.withColumn("_new", F.when(gap > F.make_dt_interval(secs=F.lit(WINDOW_SECONDS + 1)), 1).otherwise(0))
-        islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("user", "ts", "ok", "_island")
-        return islands.groupBy("user", "_island").applyInPandas(lambda rows: decided(rows, (0.0, 0))[1], DECIDED)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new, rows = decided(pd.concat(list(batches)), state.get if state.exists else (0.0, 0))
-        state.update(new)
-        yield rows
-
-    return attempts.groupBy("user").applyInPandasWithState(step, DECIDED, "start double, fails long", "append", GroupStateTimeout.NoTimeout)
+    keep_in_rocksdb(events.sparkSession)
+    names = ["run_id", "seq", "type", "content", "id"]
+    if "ts" not in events.columns:
+        return events.select(names).groupBy("run_id").transformWithStateInPandas(_Fold(None), FOLDED, "update", "None")
+    rows = events.where("ts IS NOT NULL").select(*names, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    rows = rows.select(*names, "ts", F.unix_millis("ts").alias("at"))
+    return rows.groupBy("run_id").transformWithStateInPandas(_Fold(keep_seconds * 1000), FOLDED, "update", "EventTime")
 
 
 def consume_queue(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None], *, files: int = 1) -> StreamingQuery:

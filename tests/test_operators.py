@@ -15,6 +15,7 @@ from loomkb.operators import bm25, conversation, evaluation, ingest, lifecycle,
 from loomkb.plans.hybrid import hybrid_search
 from loomkb.sources import files
 from loomkb.streaming import events as streams
+from loomkb.streaming import logins
 
 
 def one(spark, column, **values):
@@ -257,11 +258,11 @@ def test_login_limit_in_batch_and_stream(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     rows = [("u", at(s), False) for s in (0, 10, 20, 30, 40, 50)] + [("u", at(179), True), ("u", at(181), False), ("v", at(1), True)]
     attempts = spark.createDataFrame(rows, "user string, ts timestamp, ok boolean")
-    allowed = [r["allowed"] for r in streams.limit_logins(attempts).where("user = 'u'").orderBy("ts").collect()]
+    allowed = [r["allowed"] for r in logins.limit_logins(attempts).where("user = 'u'").orderBy("ts").collect()]
     assert allowed == [True] * 5 + [False, False, True]
     attempts.coalesce(1).write.json(str(tmp_path / "in"))
     source = spark.readStream.schema("user string, ts timestamp, ok boolean").json(str(tmp_path / "in"))
-    q = streams.limit_logins(source).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
+    q = logins.limit_logins(source).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["allowed"] for r in spark.sql("SELECT * FROM limited WHERE user = 'u' ORDER BY ts").collect()] == allowed
 
