@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,51 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
     return found.select("path", "modificationTime", "length").orderBy(F.lower("path"), "path")
 
 
+def glob_regex(pattern: str) -> str:
+    """A pattern of path segments as a regular expression: ``*``, ``?`` and ``[a-z]`` within one, ``**`` over any number, as the last over all beneath."""
+    parts = [x for x in pattern.split("/") if x not in ("", ".")]
+    out = []
+    for k, part in enumerate(parts):
+        if part == "**":
+            out.append("(?:[^/]+/)*" if k + 1 < len(parts) else "(?:[^/]+/)*[^/]+")
+            continue
+        for piece in re.findall(r"\[[!^]?\]?[^\]]*\]|.", part, re.DOTALL):
+            if piece in ("*", "?"):
+                out.append("[^/]" + piece.replace("?", ""))
+            elif len(piece) > 1:
+                own = piece[1:-1]
+                no, own = own[0] in "!^", own.lstrip("!^") if own[0] in "!^" else own
+                out.append(("[^/" if no else "[") + re.sub(r"([\\\[\]&^])", r"\\\1", own) + "]")
+            else:
+                out.append(re.escape(piece))
+        out.append("/" if k + 1 < len(parts) else "")
+    return "".join(out)
+
+
+def glob_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, relative, length) of files under ``folder`` whose relative path fits a pattern with ``**``, in no order.
+
+    Segments before the first ``**`` (or character class) go to the listing, which enters only folders that fit them and
+    spreads over tasks beyond some folders; the rest is a filter on paths. As in all Spark sources, names that start with ``_`` or ``.`` don't count.
+    """
+    head = []
+    for part in (x for x in pattern.split("/") if x not in ("", ".")):
+        if part == "**" or set(part) & set("[]{}\\"):
+            break
+        head.append(part)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        found = reader.load("/".join([folder.rstrip("/"), *head]))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, relative string, length long")
+    rows = found.select("path", F.substring("path", len(base) + 1, 2**31 - 1).alias("relative"), "length")
+    return rows.where(F.col("relative").rlike(f"(?s)^{glob_regex(pattern)}$"))
+
+
 def read_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Queue items from JSON lines; lines that don't parse are skipped."""
     return spark.read.schema(QUEUE_SCHEMA).option("mode", "DROPMALFORMED").json(folder)
