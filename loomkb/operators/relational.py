@@ -106,14 +106,14 @@ def ordered_children(parents: DataFrame, children: DataFrame, key: str, order: l
 
 def tree_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """(id, depth, path) of all nodes below the roots (parent_id 0), siblings by sort_order and id."""
-    nodes.createOrReplaceTempView("_tree_nodes")
     return spark.sql(
         """WITH RECURSIVE t(id, depth, path) AS (
-             SELECT id, 0, lpad(CAST(sort_order AS STRING), 4, '0') || '.' || CAST(id AS STRING) FROM _tree_nodes WHERE parent_id = 0
+             SELECT id, 0, lpad(CAST(sort_order AS STRING), 4, '0') || '.' || CAST(id AS STRING) FROM {nodes} WHERE parent_id = 0
              UNION ALL
              SELECT n.id, t.depth + 1, t.path || '/' || lpad(CAST(n.sort_order AS STRING), 4, '0') || '.' || CAST(n.id AS STRING)
-             FROM _tree_nodes n JOIN t ON n.parent_id = t.id)
-           SELECT id, depth, path FROM t"""
+             FROM {nodes} n JOIN t ON n.parent_id = t.id)
+           SELECT id, depth, path FROM t""",
+        nodes=nodes,
     )
 
 

@@ -207,7 +207,8 @@ def vector_index_filtered(spark, d):
 )
 def cosine_topk_filtered(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    first = v.orderBy("vec_id").limit(1).collect()
+    asked = first[0]["embedding"] if first else []
     return vectors.cosine_top_k(v, asked, 10, keep=F.col("label") != 3).withColumn("score", F.round("score", 6))
 
 
