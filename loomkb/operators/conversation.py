@@ -99,14 +99,15 @@ def autocompact(messages: DataFrame, most: int, recent: int = RECENT, at: float
     return kept.unionByName(middle.select("thread_id", "seq", F.lit("system").alias("role"), summary.alias("content")))
 
 
-def compact(messages: DataFrame, most: int, compactable: Column, *, tool_role: str = "tool", recent: int = RECENT, result_bytes: int = RESULT_BYTES, summarise=extract) -> DataFrame:
+def compact(messages: DataFrame, most: int, compactable: Column, *, tool_role: str = "tool", recent: int = RECENT, result_bytes: int | None = RESULT_BYTES, summarise=extract) -> DataFrame:
     """All stages in order, each by its thread's token ratio at that point.
 
-    Results are capped; the oldest third of the middle goes from SNIP_AT on; old
+    Results are capped (None: whole); the oldest third of the middle goes from SNIP_AT on; old
     results are blanked; beyond DEDUP_AT repeated results are; beyond AUTO_AT
     the middle becomes a summary.
     """
-    rows = blank_old_results(snip(cap_results(messages, tool_role, result_bytes), most, recent), compactable, recent)
+    capped = messages if result_bytes is None else cap_results(messages, tool_role, result_bytes)
+    rows = blank_old_results(snip(capped, most, recent), compactable, recent)
     ratio = F.sum(token_estimate(F.col("content"))).over(Window.partitionBy("thread_id")) / F.lit(float(most))
     rows = rows.withColumn("_full", ratio > DEDUP_AT).withColumn("_before", F.col("content"))
     rows = dedup_results(rows, tool_role)
