@@ -48,10 +48,12 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int = 10, *, keep: C
 def nearest_of_queries(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank) for a stated table of queries (query_id, query), each against all vectors.
 
-    Queries are broadcast if they are few, and meet the vectors in blocks otherwise.
+    Queries are broadcast if they are few, and meet the vectors in blocks otherwise. Lengths are found once for each vector.
     """
-    pairs = vectors.crossJoin(broadcast_if_small(queries)).where("query_id <> vec_id")
-    hits = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    own = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_v"))
+    asked = queries.select("query_id", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("_q"))
+    pairs = own.crossJoin(broadcast_if_small(asked)).where("query_id <> vec_id")
+    hits = pairs.select("query_id", "vec_id", (dot(F.col("embedding"), F.col("query")) / (F.col("_v") * F.col("_q"))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= page_size(k))
 

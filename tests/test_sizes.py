@@ -1,10 +1,12 @@
 """Queries against their SQL, and how their work grows, on small tables made to show what the given ones don't."""
 
 import datetime
+import random
 
 import duckdb
 
 import __spark_entry__
+from loomkb.operators import bm25
 
 
 def rows_and_sql(spark, folder, name, tables):
@@ -24,3 +26,49 @@ def test_compacted_history_keeps_long_results_whole(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found, want = rows_and_sql(spark, tmp_path, "compacted_history", ["conversations"])
     assert len(found) == 5 and found == want
+
+
+def shuffled(spark, run):
+    """MB that the jobs of ``run`` shuffle, spill and write."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (stages.apply(k) for k in range(stages.size())))
+
+    before = total()
+    run()
+    return (total() - before) / 1e6
+
+
+def test_keyword_search_shuffles_no_words(spark, tmp_path):
+    rng = random.Random(5)
+    names, moved, hits = [f"w{k}" for k in range(3000)], [], []
+    benchmark = spark.createDataFrame([(q, " ".join(rng.choices(names, k=40))) for q in range(20)], "item_id long, text string")
+    for n in (500, 2000):
+        folder = tmp_path / str(n)
+        docs = [(i, rng.choice([None, "", " ".join(rng.choices(names, k=80))]), rng.choice(["en", "de"]), rng.choice(["src3", "src4"])) for i in range(n)]
+        docs += [(n + i, docs[7][1] or "w1 w2", "en", "src3") for i in range(40)]  # more copies than are asked for
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        moved.append(shuffled(spark, lambda: hits.append(rows_and_sql(spark, folder, "bm25_topk", ["documents", "benchmark"]))))  # noqa: B023
+        found, want = rows_and_sql(spark, folder, "bm25_filtered_topk", ["documents", "benchmark"])
+        assert len(found) == 200 and found == want
+    assert all(len(found) == 200 and found == want for found, want in hits)
+    assert moved[1] < 2 * moved[0]
+
+
+def test_keyword_search_equals_the_joins(spark, monkeypatch):
+    rng, names = random.Random(7), [f"w{k}" for k in range(60)]
+    rows = [(rng.choice(["a", "b", None]), i, " ".join(rng.choices(names, k=rng.randint(0, 30))), rng.choice([None, "w1 w2"]), rng.choice([None, ["w3", "w4 w5"]]), rng.choice(["guide", None])) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_id long, content string, title string, tags array<string>, article_type string")
+    asked = spark.createDataFrame([(q, kb, t) for q, t in enumerate(["w1 w2 w3", "w9 w9 w50", "none of it", "", "w5"]) for kb in ("a", "c", None)], "query_id long, kb_id string, query string")
+    show = lambda df: sorted((r["query_id"], r["kb_id"], r["chunk_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    for keep in (None, bm25.matches_meta("guide", ["w3"])):
+        want = show(bm25.retrieve(bm25.build_index(chunks), chunks, asked, 7, keep=keep))
+        assert want and show(bm25.search(spark, chunks, asked, 7, keep=keep)) == want
+    assert bm25.search(spark, chunks.limit(0), asked).count() == bm25.search(spark, chunks, asked.limit(0)).count() == 0
+    monkeypatch.setattr(bm25, "SENT_TERMS", 2)
+    assert show(bm25.search(spark, chunks, asked, 7)) == show(bm25.retrieve(bm25.build_index(chunks), chunks, asked, 7))
