@@ -4,9 +4,11 @@ import datetime
 import random
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from loomkb.operators import bm25
+from loomkb.operators import bm25, publishing
 
 
 def rows_and_sql(spark, folder, name, tables):
@@ -72,3 +74,18 @@ def test_keyword_search_equals_the_joins(spark, monkeypatch):
     assert bm25.search(spark, chunks.limit(0), asked).count() == bm25.search(spark, chunks, asked.limit(0)).count() == 0
     monkeypatch.setattr(bm25, "SENT_TERMS", 2)
     assert show(bm25.search(spark, chunks, asked, 7)) == show(bm25.retrieve(bm25.build_index(chunks), chunks, asked, 7))
+
+
+def test_vocabulary_moves_no_row_for_each_chunk(spark, tmp_path):
+    rng, moved = random.Random(3), []
+    names = [f"w{k}" for k in range(500)]
+    for n in (400, 1600):
+        docs = [(i, rng.choice([None, "", " ".join(rng.choices(names, k=80))]), rng.choice(["en", "de"])) for i in range(n)]
+        spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).repartition(2).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        for name in ("bm25_postings", "bm25_index_stats"):
+            run = lambda: found.append(rows_and_sql(spark, tmp_path / str(n), name, ["documents"]))  # noqa: B023, E731
+            spark.createDataFrame([(0, "w1")], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+            found = []
+            moved.append(shuffled(spark, run))
+            assert found[0][0] and found[0][0] == found[0][1]
+    assert moved[2] < 1.5 * moved[0]
