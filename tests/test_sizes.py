@@ -89,3 +89,17 @@ def test_vocabulary_moves_no_row_for_each_chunk(spark, tmp_path):
             moved.append(shuffled(spark, run))
             assert found[0][0] and found[0][0] == found[0][1]
     assert moved[2] < 1.5 * moved[0]
+
+
+def test_publishing_meets_no_pairs_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8)).tolist()
+    v[7], v[8], v[9] = v[200], None, [2 * x for x in v[200]]
+    rows = spark.createDataFrame([(i, i % 2, f"t{i}", v[i]) for i in range(300)], "article_id long, kb_id int, title string, embedding array<double>")
+    asked, old = rows.where("article_id < 100"), rows.where("article_id >= 100")
+    plan = publishing.refusals(old, asked, 0.9)
+    assert "CartesianProduct" not in (text := plan._jdf.queryExecution().toString()) and "aggregate(zip_with" not in text
+    unit = np.array([x or [np.nan] * 8 for x in v])
+    unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    want = {i for i in range(100) if any(i % 2 == k % 2 and unit[i] @ unit[k] > 0.9 for k in range(100, 300))}
+    assert {r["article_id"] for r in plan.where("reason = 'meaning'").collect()} == want and len(want) > 1
