@@ -258,3 +258,17 @@ def test_tag_soup_takes_linear_time(spark, soup):
 
     seconds(1000)
     assert seconds(1_000_000) < 4
+
+
+def test_lm_scoring_trains_on_every_symbol(spark):
+    """Each training text's symbols are the targets of its windows, all of them, once."""
+    texts = [None, "", "One two", " ".join(f"w{k % 37} x{k % 11}" for k in range(3000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    subwords = lm_scoring.Subwords(path)
+    alphabet = lm_scoring.Alphabet(np.ones(subwords.size + 1, np.int64))
+    model_of = spark.sparkContext.broadcast((alphabet, {}, None))
+    windows = rows.mapInArrow(lm_scoring._runs(model_of, "every-symbol", path, "text"), "x binary, y binary, weight binary").collect()
+    found = [s for r in windows for s in np.frombuffer(r["y"], "<i2")[np.frombuffer(r["weight"], np.uint8) == 1].tolist()]
+    ids = [i for t in texts for w in (t or "").lower().split() + [None] for i in ([subwords.size] if w is None else subwords(w.encode()).tolist())]
+    assert found == alphabet.symbol_of[ids].tolist()
