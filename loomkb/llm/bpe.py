@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import HELD, Scratch, slices
 from .lexicon import Lexicon, compile_lexicon
-from .tokens import BYTE_WORDS, LONG_UNIT, byte_letters, spaced_units
+from .tokens import ASCII_BYTE_WORDS, BYTE_WORDS, LONG_UNIT, byte_letters, spaced_units
 
 #: Frequent words in the lexicon at most.
 LEXICON_WORDS = 1 << 16
-#: Words longer than this many bytes are merged one by one.
+#: Words longer than this many bytes are merged through a heap.
 WIDE = 48
-NONE = np.iinfo(np.int64).max
+#: Above all ranks.
+NONE = 1 << 62
+#: Slots of the table of pairs: a power of two, several times the merges.
+SLOT_BITS = 18
 
 
 class Merges:
@@ -41,10 +44,19 @@ class Merges:
         for k, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a], vocab[b]] = (k, vocab[a + b])
-        keys = np.array([(a << 20) | b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        both = np.array(list(self.rank.values()), np.int64)[order]
-        self.keys, self.ranks, self.made = keys[order], both[:, 0], both[:, 1]
+        # pairs by the hash of both ids, the next free slot where one is taken, and what each makes behind its rank: the least merges next
+        bits = max(SLOT_BITS, 2 + len(self.rank).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.next = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE)
+        keys = np.array([a << 20 | b for a, b in self.rank], np.int64)
+        taken: dict[int, int] = {}
+        for k, slot in enumerate(self._slots(keys).tolist()):
+            while slot in taken:
+                slot = slot + 1 & self.last
+            taken[slot] = k
+        if taken:
+            at, own = np.array(list(taken)), list(self.rank.values())
+            self.pairs[at], self.next[at] = keys[list(taken.values())], [own[k][0] << 20 | own[k][1] for k in taken.values()]
 
     def one(self, word: bytes) -> list[int]:
         """Ids of one word of any length: the lowest-ranked pair merges first, the leftmost of equals."""
@@ -71,57 +83,66 @@ class Merges:
 
     def many(self, words: list[bytes]) -> list[list[int]]:
         """Ids of many words: all short words take their next merge together."""
-        out: list[list[int] | None] = [None] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= WIDE]
-        for k, w in enumerate(words):
-            if not 0 < len(w) <= WIDE:
-                out[k] = self.one(w) if w else []
-        short.sort(key=lambda k: len(words[k]))
+        out = [[] if len(w) <= WIDE else self.one(w) for w in words]
+        short = sorted((k for k, w in enumerate(words) if 0 < len(w) <= WIDE), key=lambda k: len(words[k]))
         for at in range(0, len(short), 4096):
             own = short[at : at + 4096]
             for k, ids in zip(own, self._together([words[k] for k in own]), strict=True):
                 out[k] = ids
         return out
 
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (a << 20) | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What each pair makes, behind its rank; NONE where it doesn't merge or an id is negative."""
+        keys = np.where((a < 0) | (b < 0), -2, a << 20 | b)
+        slots = self._slots(keys)
+        out, met = self.next[slots], self.pairs[slots]
+        left = np.flatnonzero(met != keys)
+        out[left] = NONE
+        left = left[met[left] >= 0]
+        while len(left):
+            slots = slots[left] if len(slots) == len(keys) else slots
+            slots = slots + 1 & self.last
+            met = self.pairs[slots]
+            hit = met == keys[left]
+            out[left[hit]] = self.next[slots[hit]]
+            more = ~hit & (met >= 0)
+            left, slots = left[more], slots[more]
+        return out
 
     def _together(self, words: list[bytes]) -> list[list[int]]:
-        width = max(map(len, words))
-        ids = np.full((len(words), width + 1), -1, np.int64)
-        for k, w in enumerate(words):
-            ids[k, : len(w)] = self.of_byte[np.frombuffer(w, np.uint8)]
-        rank, made = self._ranks(ids[:, :-1], ids[:, 1:])
-        rank[:, -1] = NONE
-        done, live = [None] * len(words), np.arange(len(words))
-        columns = np.arange(width)
+        """Ids of words that are not empty. A word's symbols stay in its row of slots; each knows the slots beside it that are left."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max()) + 1  # the last slot stays empty
+        ids = np.full((len(words), width), -1, np.int64)
+        ids[np.arange(width) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        made = np.full(ids.shape, NONE)
+        made[:, :-1] = self._made(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), -1)
+        slots = np.arange(ids.size).reshape(ids.shape)
+        left, right = slots - 1, slots + 1
+        left[:, 0] = right[:, -1] = slots[:, -1]
+        ids, left, right, rows = ids.ravel(), left.ravel(), right.ravel(), np.arange(len(words))
+        flat = made.ravel()
         while True:
-            best = rank.argmin(axis=1) if width > 1 else np.zeros(len(live), np.int64)
-            rows = np.arange(len(live))
-            go = rank[rows, best] != NONE
-            if not go.all():
-                for r in np.flatnonzero(~go):
-                    row = ids[r]
-                    done[live[r]] = row[row >= 0].tolist()
-                live, ids, rank, made, best = live[go], ids[go], rank[go], made[go], best[go]
-                rows = np.arange(len(live))
-            if not len(live):
-                return done
-            ids[rows, best] = made[rows, best]
-            # what stands right of the merged pair moves left by one
-            moves = columns[None, :] > best[:, None]
-            ids[:, :-1] = np.where(moves, ids[:, 1:], ids[:, :-1])
-            ids[:, -1] = -1
-            rank[:, :-1] = np.where(moves[:, :-1], rank[:, 1:], rank[:, :-1])
-            made[:, :-1] = np.where(moves[:, :-1], made[:, 1:], made[:, :-1])
-            rank[:, -1] = NONE
-            for k in (best - 1, best):
-                ok = (k >= 0) & (k < width)
-                r, c = rows[ok], k[ok]
-                rank[r, c], made[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
+            at = rows * width + made[rows].argmin(axis=1)
+            best = flat[at]
+            go = best < NONE
+            rows, at, best = rows[go], at[go], best[go]
+            if not len(rows):
+                break
+            gone = right[at]
+            beyond = right[gone]
+            ids[at], ids[gone], flat[gone] = best & 0xFFFFF, -1, NONE
+            right[at] = beyond
+            left[beyond] = at
+            before = left[at]
+            flat[at], flat[before] = self._made(ids[at], ids[beyond]), self._made(ids[before], ids[at])
+        kept = ids >= 0
+        ends = np.cumsum(kept.reshape(-1, width).sum(axis=1)).tolist()
+        found = ids[kept].tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
 class Encoder:
@@ -134,17 +155,16 @@ class Encoder:
         added = sorted(self.merges.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.decimals = {i: f"{i}," for i in self.merges.pieces}
-        # of units met lately, in two generations: ids as decimals, each followed by a comma, and the bytes they decode to
-        self.shown: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        # of units and words met lately, in two generations: ids as decimals, each followed by a comma, and the bytes they decode to
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def words(self, unit: str) -> list[str]:
         """Pre-tokens of a unit; added tokens stand alone."""
         if (unit[1:] if unit[:1] == " " else unit).isalpha():
             return [unit]
         if self.added is None or not self.added.search(unit):
-            return self.split.findall(unit)
+            return (ASCII_BYTE_WORDS if unit.isascii() and unit.isprintable() else self.split).findall(unit)
         return [w for k, s in enumerate(self.added.split(unit)) for w in ([s] if k % 2 else self.split.findall(s))]
 
     def ids_of(self, words: list[str]) -> dict[str, list[int]]:
@@ -153,43 +173,50 @@ class Encoder:
         words = [w for w in words if w not in out]
         raw = [w.encode() for w in words]
         numbers = self.lexicon.numbers(raw)
-        out |= {words[k]: self.lexicon.ids_of(numbers[k]).tolist() for k in np.flatnonzero(numbers >= 0)}
+        hits = np.flatnonzero(numbers >= 0)
+        low, high = (self.lexicon.ends[numbers[hits] + k].tolist() for k in (0, 1))
+        out |= {words[k]: self.lexicon.ids[a:b].tolist() for k, a, b in zip(hits.tolist(), low, high, strict=True)}
         unseen = np.flatnonzero(numbers < 0).tolist()
         out |= {words[k]: ids for k, ids in zip(unseen, self.merges.many([raw[k] for k in unseen]), strict=True)}
         return out
 
-    def learn(self, units: list[str]) -> None:
-        """Encode and decode new units."""
+    def unknown(self, units: set[str]) -> list[str]:
+        """Those of ``units`` that were not met lately; what the older generation knows is taken over."""
+        new = []
+        for u in units.difference(self.known):
+            if (x := self.older.get(u)) is None:
+                new.append(u)
+            else:
+                self.known[u] = x
+        return new
+
+    def learn(self, units: list[str]) -> list[str]:
+        """Encode and decode new units, whose words are kept as units of one word; what is too long to keep."""
         split = [self.words(u) for u in units]
-        pieces, decimals = self.merges.pieces.__getitem__, self.decimals.__getitem__
-        ids = self.ids_of(list(set().union(*split)))
-        shown = {w: "".join(map(decimals, own)) for w, own in ids.items()}
-        raw = {w: b"".join(map(pieces, own)) for w, own in ids.items()}
+        pieces, decimals, known = self.merges.pieces.__getitem__, self.decimals.__getitem__, self.known
+        words = self.unknown(set().union(*split))
+        for w, ids in self.ids_of(words).items():
+            known[w] = "".join(map(decimals, ids)), b"".join(map(pieces, ids))
         for u, s in zip(units, split, strict=True):
-            if len(s) == 1:
-                self.shown[u], self.bytes[u] = shown[s[0]], raw[s[0]]
-            else:
-                self.shown[u], self.bytes[u] = "".join(map(shown.__getitem__, s)), b"".join(map(raw.__getitem__, s))
+            if len(s) != 1:
+                own = [known[w] for w in s]
+                known[u] = "".join([x for x, _ in own]), b"".join([x for _, x in own])
+            elif s[0] != u:
+                known[u] = known[s[0]]
+        return [x for x in {*units, *words} if len(x) > LONG_UNIT]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each text's ids (decimals joined by commas) and the bytes decoded from them."""
         split = [spaced_units(t) for t in texts]
-        if len(self.shown) > self.most:
-            self.older = self.shown, self.bytes
-            self.shown, self.bytes = {}, {}
-        new = []
-        for u in set().union(*split).difference(self.shown):
-            if (x := self.older[0].get(u)) is None:
-                new.append(u)
-            else:
-                self.shown[u], self.bytes[u] = x, self.older[1][u]
-        self.learn(new)
-        shown, raw = self.shown.__getitem__, self.bytes.__getitem__
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        long = self.learn(self.unknown(set().union(*split)))
+        get = self.known.__getitem__
         for s in split:
-            yield "".join(map(shown, s))[:-1], b"".join(map(raw, s))
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del self.shown[u], self.bytes[u]
+            shown, raw = zip(*map(get, s), strict=True)
+            yield "".join(shown)[:-1], b"".join(raw)
+        for x in long:
+            del self.known[x]
 
 
 def _words(batches: Iterator[pa.RecordBatch], text_col: str, least: int) -> Iterator[pa.RecordBatch]:
@@ -237,13 +264,17 @@ def _encode(key: str, spec_of, lexicon_of, id_col: str, text_col: str):
         for batch in batches:
             for part in slices(batch, text_col, 2_000_000):
                 rows = list(encode([t or "" for t in part.column(text_col).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "ids", "decoded"])
+                sizes = [x.count(",") + 1 if x else 0 for x, _ in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())],
+                    names=["doc_id", "n_ids", "ids", "decoded"],
+                )
 
     return run
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids, decoded) of every document: decimal ids joined by commas, and the bytes they decode to.
+    """(doc_id, n_ids, ids, decoded) of every document: how many ids, these as decimals joined by commas, and the bytes they decode to.
 
     The corpus' most frequent words, counted over all documents, are compiled
     with their ids into a minimal acyclic transducer of bounded size, which
@@ -261,4 +292,4 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, *, tokenizer: str, id_c
     lexicon = compile_lexicon(dict(zip(raw, merges.many(raw), strict=True)))
     spec_of, lexicon_of = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(lexicon)
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return narrow.mapInArrow(_encode(uuid.uuid4().hex, spec_of, lexicon_of, id_col, text_col), "doc_id long, ids string, decoded binary")
+    return narrow.mapInArrow(_encode(uuid.uuid4().hex, spec_of, lexicon_of, id_col, text_col), "doc_id long, n_ids long, ids string, decoded binary")

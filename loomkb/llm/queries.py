@@ -66,8 +66,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     coded = bpe_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
-    size = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return coded.select("doc_id", size.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

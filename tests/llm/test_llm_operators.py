@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomkb.llm import rans
+from loomkb.llm import bpe, rans
 from loomkb.llm.ann import CrossPolytope, hadamard, nearest_neighbours
 from loomkb.llm.bpe import bpe_round_trip
 from loomkb.llm.components import connected_components
@@ -274,6 +274,19 @@ def test_bpe_round_trip(spark, docs):
     assert bpe_round_trip(spark, no_rows(docs), tokenizer=path("byte_bpe_50k.json")).count() == 0
 
 
+def test_bpe_merges_a_word_once():
+    """Words that new units share are not merged again; ids are those of merging one word by itself, also where slots of pairs collide."""
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encode = bpe.Encoder(f.read(), compile_lexicon({}))
+    merged, many, rng = [], encode.merges.many, random.Random(1)
+    encode.merges.many = lambda words: merged.extend(words) or many(words)
+    for texts in (["one oferineati"], ["one oferineati, oferineati; oferineati.", "oferineati"], ["x" * 200 + " oferineati!"]):
+        list(encode(texts))
+    assert merged.count(b" oferineati") == 1
+    words = ["".join(rng.choices("abdeinorst éñ北", k=rng.randint(1, 40))).encode() for _ in range(3000)]
+    assert many(words) == [encode.merges.one(w) for w in words] and many([]) == []
+
+
 def test_lexicon_shares_suffixes():
     words = {w.encode(): [k, k + 1] for k, w in enumerate(sorted(set(WORDS)))}
     lexicon = Lexicon.mapped(compile_lexicon(words))
