@@ -6,8 +6,10 @@ import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm_operators import edge_texts, prose
@@ -272,3 +274,17 @@ def test_lm_scoring_trains_on_every_symbol(spark):
     found = [s for r in windows for s in np.frombuffer(r["y"], "<i2")[np.frombuffer(r["weight"], np.uint8) == 1].tolist()]
     ids = [i for t in texts for w in (t or "").lower().split() + [None] for i in ([subwords.size] if w is None else subwords(w.encode()).tolist())]
     assert found == alphabet.symbol_of[ids].tolist()
+
+
+def test_lm_scoring_rounds_take_each_window_once(monkeypatch):
+    """Over all rounds a task trains on each of its windows, also where they are many; small rows hold a slice's windows."""
+    values = np.arange(3 * 400 * attention.WINDOW, dtype="<i2").reshape(3, 400, -1)
+    rows = [pa.array([v.tobytes() for v in values], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()), pa.array([bytes(v.size) for v in values], pa.binary())]
+    batch, taken = pa.RecordBatch.from_arrays(rows, names=["x", "y", "weight"]), []
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm_scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(attention, "trained", lambda flat, prior, steps, rate: taken.extend(w for x, _, _ in steps for w in x[:, 0].tolist()) or flat)
+    model_of, flat_of = SimpleNamespace(value=(None, None, None)), SimpleNamespace(value=attention.initial())
+    for nth, rate in enumerate(lm_scoring.RATES):
+        list(lm_scoring._round(flat_of, model_of, nth, rate)(iter([batch])))
+    assert sorted(taken) == sorted(values[:, :, 0].ravel().tolist())
