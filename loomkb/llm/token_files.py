@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import Scratch, broadcast_if_small
-from .tokens import encoded, encoder, spaced_units
+from .common import SLICE_BYTES, Scratch, broadcast_if_small, slices
+from .tokens import spaced_table
 
 #: Ids of a block.
 BLOCK_IDS = 1 << 18
@@ -21,12 +22,17 @@ BLOCK_IDS = 1 << 18
 
 def _tokens(path: str, end_id: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids in encoded(batches, encoder(path, spaced_units), text_col, end_id):
-            wide = any(int(x.max()) > 65535 for x in ids)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(id_col).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([(x if wide else x.astype("<u2")).tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "n", "ids"],
-            )
+        table = spaced_table(path)
+        for batch in batches:
+            for part in slices(batch, text_col, 2 * SLICE_BYTES):
+                ids, ends = table(part.column(text_col), [end_id])
+                raw = ids if ids.max(initial=0) > 65535 else ids.astype("<u2")
+                sizes = np.diff(ends, prepend=0)
+                offsets = pa.py_buffer((np.concatenate([[0], ends]) * raw.itemsize).astype("<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col).cast(pa.int64()), pa.array(sizes), pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(raw)])],
+                    names=["doc_id", "n", "ids"],
+                )
 
     return run
 
@@ -37,12 +43,14 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        for n, raw in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
-            own = np.bincount(_ids(raw, n))
-            if len(own) > len(total):
-                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-            total[: len(own)] += own
+    for whole in batches:
+        for b in slices(whole, "ids"):
+            raw, sizes = b.column("ids"), b.column("n").to_numpy()
+            narrow = pc.binary_length(raw).to_numpy() == 2 * sizes
+            for kind, own in (("<u2", narrow), ("<u4", ~narrow)):
+                ids = np.frombuffer(b"".join(raw.filter(pa.array(own)).to_pylist()), kind)
+                found = np.bincount(ids, minlength=len(total))
+                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)]) + found
     met = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int64)), pa.array(total[met])], names=["id", "size"])
 

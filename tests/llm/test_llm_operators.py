@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomkb.llm import bpe, rans
+from loomkb.llm import bpe, queries, rans
 from loomkb.llm.ann import CrossPolytope, hadamard, nearest_neighbours
 from loomkb.llm.bpe import bpe_round_trip
 from loomkb.llm.components import connected_components
@@ -615,3 +616,22 @@ def test_join_links_negative_and_very_large_ids(spark):
     for rare in (2, 100):  # as frequent tokens and as rare ones
         found = {r["doc_id"]: r["component_id"] for r in shingle_components(spark, docs, rare=rare).collect()}
         assert found == {**dict.fromkeys(ids, -(2**63)), -7: -7}
+
+
+def test_columns_of_texts_are_encoded_as_by_the_library(monkeypatch):
+    """New pieces go to the library many at a time, in few calls; odd texts and a table that begins anew change no id."""
+    from loomkb.llm import tokens
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    encode = tokens.UnitEncoder(path, tokens.spaced_units)
+    odd = ["", None, " ", "  a", "a  ", "a\n b", "x  y", "x ", "<|endoftext|> a b", "a <|endoftext|>b c", "don't  's 's", "　 q", "日本 語 é x", "w" * 90 + " " + "v" * 90 + " u", "a\x1c b", "a b\n", "a\tb c", "end. end... end.& é. über, ab'. (a) a_b_"]
+    many = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{'.' if k % 3 else ''}" for k in range(at, at + 500)) for at in range(0, 3000, 500)]
+    table = tokens.SpacedTable(encode, most=300)
+    for texts in (odd, odd[::-1], [None], many, many + odd):
+        ids, ends = table(pa.array(texts, pa.string()), [2])
+        want = [[*encode.library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    calls, one = [], encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda unit: calls.append(unit) or one(unit))
+    tokens.SpacedTable(encode)(pa.array(many, pa.string()), [2])
+    assert len(calls) < 20
