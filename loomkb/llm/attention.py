@@ -29,6 +29,8 @@ SCALE = np.float32(DIM**-0.5)
 #: Bounds of the logits, so that no maximum need be taken off before powers are.
 BOUND = np.float32(40)
 ONES = np.ones((max(WINDOW, GROUPS), 1), np.float32)
+#: Places of each symbol's components in one vector.
+CELLS = np.arange(SIZES["embed"]).reshape(-1, DIM)
 #: Windows that are scored together (their numbers stay in a core's cache).
 BATCH = 256
 
@@ -78,35 +80,74 @@ def named(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {k: flat[end - SIZES[k] : end].reshape(SHAPES[k]) for k, end in zip(SHAPES, ends.tolist(), strict=True)}
 
 
-def _attended(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention over a batch of windows, with what a step back needs."""
-    first = np.take(p["embed"], x, axis=0)
-    first += p["place"]
-    rows = first.reshape(-1, DIM)
-    q, k, v = ((rows @ m).reshape(first.shape) for m in (p["query"] * SCALE, p["key"], p["value"]))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -BOUND, BOUND, out=a)
-    a += LATER
-    np.exp(a, out=a)
-    size = a @ ONES[:WINDOW]
-    o = np.matmul(a, v)
-    o /= size
-    out = o.reshape(-1, DIM) @ p["mixed"]
-    out += rows
-    return first, q, k, v, a, size, o, out
+class Space:
+    """Arrays for a step over some windows, kept from step to step: making them anew takes longer than filling them."""
+
+    def __init__(self, windows: int):
+        n, f = windows, np.float32
+        self.first, self.o = np.empty((n, WINDOW, DIM), f), np.empty((n, WINDOW, DIM), f)
+        self.a, self.da = np.empty((n, WINDOW, WINDOW), f), np.empty((n, WINDOW, WINDOW), f)
+        self.qkv, self.dqkv = np.empty((n * WINDOW, 3 * DIM), f), np.empty((n * WINDOW, 3 * DIM), f)
+        self.out, self.dout, self.do, self.rows = (np.empty((n * WINDOW, DIM), f) for _ in range(4))
+        self.z, self.before = np.empty((n * WINDOW, GROUPS), f), np.empty((n * WINDOW, GROUPS), f)
+        self.size = np.empty((n * WINDOW, 1), f)
+
+
+#: The spaces of the numbers of windows met lately.
+SPACES: dict[int, Space] = {}
+
+
+def _space(windows: int) -> Space:
+    if windows not in SPACES:
+        if len(SPACES) >= 4:
+            SPACES.clear()
+        SPACES[windows] = Space(windows)
+    return SPACES[windows]
+
+
+def _attended(p: dict[str, np.ndarray], x: np.ndarray) -> Space:
+    """Masked attention over a batch of windows, with what a step back needs; valid until the next batch of as many windows."""
+    s = _space(len(x))
+    np.take(p["embed"], x, axis=0, out=s.first, mode="clip")
+    s.first += p["place"]
+    rows = s.first.reshape(-1, DIM)
+    np.matmul(rows, _all_ways(p), out=s.qkv)
+    q, k, v = _ways(s.qkv)
+    np.matmul(q, k.transpose(0, 2, 1), out=s.a)
+    np.clip(s.a, -BOUND, BOUND, out=s.a)
+    s.a += LATER
+    np.exp(s.a, out=s.a)
+    np.matmul(s.a.reshape(-1, WINDOW), ONES[:WINDOW], out=s.size)
+    np.matmul(s.a, v, out=s.o)
+    o = s.o.reshape(-1, DIM)
+    o /= s.size
+    np.matmul(o, p["mixed"], out=s.out)
+    s.out += rows
+    return s
+
+
+def _all_ways(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The matrices of query (scaled), key and value side by side."""
+    return np.concatenate([p["query"] * SCALE, p["key"], p["value"]], axis=1)
+
+
+def _ways(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Query, key and value of windows whose rows hold them side by side."""
+    m = m.reshape(-1, WINDOW, 3 * DIM)
+    return m[:, :, :DIM], m[:, :, DIM : 2 * DIM], m[:, :, 2 * DIM :]
 
 
 def log_probabilities(p: dict[str, np.ndarray], prior: Prior, x: np.ndarray, y: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the targets ``y`` at the places ``taken`` (flat) of the windows ``x``."""
-    out = np.take(_attended(p, x)[-1], taken, axis=0)
-    before = x.ravel()[taken]
-    z = out @ p["group"]
+    s, n = _attended(p, x), len(taken)
+    before, z = x.ravel()[taken].astype(np.int64), s.z[:n]
+    np.matmul(np.take(s.out, taken, axis=0, out=s.dout[:n], mode="clip"), p["group"], out=z)
     z += p["group0"]
-    z += np.take(prior.group, before, axis=0)
+    z += np.take(prior.group, before, axis=0, out=s.before[:n], mode="clip")
     np.clip(z, -BOUND, BOUND, out=z)
     own = z.ravel()[np.arange(0, z.size, GROUPS) + prior.group_of[y]]
     np.exp(z, out=z)
-    return own - np.log(z @ ONES[:GROUPS])[:, 0] + prior.within.ravel()[before.astype(np.int64) * SYMBOLS + y]
+    return own - np.log(z @ ONES[:GROUPS])[:, 0] + prior.within.ravel()[before * SYMBOLS + y]
 
 
 def log_scores(p: dict[str, np.ndarray], prior: Prior, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -139,44 +180,69 @@ def log_scores(p: dict[str, np.ndarray], prior: Prior, symbols: np.ndarray, ends
 
 def gradient(p: dict[str, np.ndarray], prior: Prior, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
     """The mean loss of the targets' groups over the places of weight 1, and its gradient as one vector."""
-    first, q, k, v, a, size, o, out = _attended(p, x)
-    a /= size
-    flat = np.zeros(PARAMETERS, np.float32)
-    d, group, weight = named(flat), prior.group_of[y.ravel()], weight.ravel().astype(np.float32)
-    n, rows = max(1.0, float(weight.sum())), np.arange(len(group))
-    e = np.exp(np.clip(out @ p["group"] + p["group0"] + prior.group[x.ravel()], -BOUND, BOUND))
-    e /= e @ ONES[:GROUPS]
-    loss = -float(np.log(np.maximum(e[rows, group], 1e-30)) @ weight) / n
-    e[rows, group] -= 1
-    e *= (weight / np.float32(n))[:, None]
-    d["group"] += out.T @ e
-    d["group0"] += e.sum(axis=0)
-    dout = e @ p["group"].T
-    d["mixed"] += o.reshape(-1, DIM).T @ dout
-    do = (dout @ p["mixed"].T).reshape(first.shape)
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    back = {"query": np.matmul(ds, k) * SCALE, "key": np.matmul(ds.transpose(0, 2, 1), q), "value": np.matmul(a.transpose(0, 2, 1), do)}
-    dfirst, rows = dout, first.reshape(-1, DIM)
-    for name, g in back.items():
-        g = g.reshape(-1, DIM)
-        d[name] += rows.T @ g
-        dfirst = dfirst + g @ p[name].T
-    d["place"] += dfirst.reshape(first.shape).sum(axis=0)
-    met = x.ravel()
-    order = np.argsort(met, kind="stable")
-    firsts = np.flatnonzero(np.diff(met[order], prepend=-1))
-    d["embed"][met[order][firsts]] += np.add.reduceat(dfirst[order], firsts, axis=0)
-    return loss, flat
+    flat = np.empty(PARAMETERS, np.float32)
+    return _gradient(p, prior, x, y, weight, flat, named(flat)), flat
+
+
+def _gradient(p: dict[str, np.ndarray], prior: Prior, x: np.ndarray, y: np.ndarray, weight: np.ndarray, flat: np.ndarray, d: dict[str, np.ndarray]) -> float:
+    """The loss; the gradient goes to ``flat``, of which ``d`` are the views."""
+    s, met = _attended(p, x), x.ravel().astype(np.int64)
+    o, first = s.o.reshape(-1, DIM), s.first.reshape(-1, DIM)
+    weight = weight.ravel().astype(np.float32)
+    n, e = max(1.0, float(weight.sum())), s.z
+    np.matmul(s.out, p["group"], out=e)
+    e += p["group0"]
+    e += np.take(prior.group, met, axis=0, out=s.before, mode="clip")
+    np.clip(e, -BOUND, BOUND, out=e)
+    np.exp(e, out=e)
+    sums = (e @ ONES[:GROUPS])[:, 0]
+    at, cells = np.arange(0, e.size, GROUPS) + prior.group_of[y.ravel()], e.ravel()
+    loss = -float(np.log(np.maximum(cells[at] / sums, 1e-30)) @ weight) / n
+    weight /= np.float32(n)
+    e *= (weight / sums)[:, None]
+    cells[at] -= weight
+    np.matmul(s.out.T, e, out=d["group"])
+    np.matmul(np.ones(len(e), np.float32), e, out=d["group0"])
+    dout = np.matmul(e, p["group"].T, out=s.dout)
+    np.matmul(o.T, dout, out=d["mixed"])
+    do = np.matmul(dout, p["mixed"].T, out=s.do)
+    # shares of the attention are a / size; the size divides the narrow rows instead, and what a row's shares take together is do times o
+    do /= s.size
+    taken = np.multiply(do, o, out=s.rows) @ ONES[:DIM]
+    do = do.reshape(s.first.shape)
+    (q, k, v), (dq, dk, dv) = _ways(s.qkv), _ways(s.dqkv)
+    np.matmul(s.a.transpose(0, 2, 1), do, out=dv)
+    np.matmul(do, v.transpose(0, 2, 1), out=s.da)
+    da = s.da.reshape(-1, WINDOW)
+    da -= taken
+    s.da *= s.a
+    np.matmul(s.da, k, out=dq)
+    np.matmul(s.da.transpose(0, 2, 1), q, out=dk)
+    ways = first.T @ s.dqkv
+    np.multiply(ways[:, :DIM], SCALE, out=d["query"])
+    d["key"][:], d["value"][:] = ways[:, DIM : 2 * DIM], ways[:, 2 * DIM :]
+    dout += np.matmul(s.dqkv, _all_ways(p).T, out=s.rows)
+    np.sum(dout.reshape(s.first.shape), axis=0, out=d["place"])
+    d["embed"].fill(0)
+    np.add.at(flat[: SIZES["embed"]], np.take(CELLS, met, axis=0).ravel(), dout.ravel())
+    return loss
 
 
 def trained(flat: np.ndarray, prior: Prior, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> np.ndarray:
     """The parameters after an Adam step for each batch (inputs, targets, weights)."""
     flat = flat.copy()
-    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    first, second, move, g = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat)
+    p, d = named(flat), named(g)
     for step, (x, y, weight) in enumerate(batches, 1):
-        _, g = gradient(named(flat), prior, x, y, weight)
-        first += np.float32(0.1) * (g - first)
-        second += np.float32(0.01) * (g * g - second)
-        flat -= np.float32(rate) * (first / np.float32(1 - 0.9**step)) / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+        _gradient(p, prior, x, y, weight, g, d)
+        first += np.multiply(np.subtract(g, first, out=move), np.float32(0.1), out=move)
+        g *= g
+        g -= second
+        g *= np.float32(0.01)
+        second += g
+        np.sqrt(np.divide(second, np.float32(1 - 0.99**step), out=move), out=move)
+        move += np.float32(1e-8)
+        np.divide(first, move, out=move)
+        move *= np.float32(rate / (1 - 0.9**step))
+        flat -= move
     return flat

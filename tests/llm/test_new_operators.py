@@ -288,3 +288,20 @@ def test_lm_scoring_rounds_take_each_window_once(monkeypatch):
     for nth, rate in enumerate(lm_scoring.RATES):
         list(lm_scoring._round(flat_of, model_of, nth, rate)(iter([batch])))
     assert sorted(taken) == sorted(values[:, :, 0].ravel().tolist())
+
+
+def test_lm_scoring_reads_words_of_texts_once(spark, monkeypatch):
+    """Texts are cut into words to count them and once to spell them; they are scored from what was spelled."""
+    table = spark.createDataFrame([(k, prose(40, k)) for k in range(20)], "doc_id long, text string").coalesce(1)
+    kept = []
+    write = lm_scoring.Scratch.write
+    monkeypatch.setattr(lm_scoring.Scratch, "write", lambda self, df, name: kept.append((name, df)) or write(self, df, name))
+    lm_scoring.score_texts(spark, table, tokenizer=queries.tokenizer_path("byte_bpe_50k.json"), learn=F.lit(True))
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in kept}
+    assert [name for name, plan in plans.items() if "ExistingRDD" in plan or "LogicalRDD" in plan] == ["counts", "spelled"]
+
+
+def test_lm_scoring_words_are_cut_as_by_bytes():
+    texts = [None, "", " ", "A b\tC\x0bd\x0ce\rf\ng ", "\x1c\x85x\xa0Y Ä ä　z", " " + "w" * 80]
+    found = [[w.encode() for w in ws if w] for ws in lm_scoring.lower_words(pa.array(texts, pa.string())).to_pylist()]
+    assert found == [[w for ws in lm_scoring.words_of((t or "").encode()) for w in ws] for t in texts]
