@@ -1,6 +1,8 @@
 """Similarity self-join on word shingles by token-combination prefixes.
 
-Tokens (64-bit shingle hashes) have one global order. A document with n tokens
+Tokens (64-bit shingle hashes) have one global order: those that a sample of the
+documents shows as common come last, each kind by hash. Any order gives the same
+links; this one keeps common tokens out of the prefixes. A document with n tokens
 keeps its prefix of ``missing(n) + 1 + extra(n)`` tokens, where missing(n) is
 how many of its tokens a similar document may lack. Of two similar documents,
 the one whose prefix ends first shares at least ``shared(n)`` prefix tokens with
@@ -77,7 +79,47 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _scan(id_col: str, text_col: str, size: int, rule: Rule):
+#: One document of so many is counted for the order, and a token in so many of these is common.
+ORDER_SAMPLE, ORDER_COMMON = 16, 3
+
+
+def _sampled_tokens(text_col: str, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                sets = shingle_sets(part.column(text_col), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+
+    return run
+
+
+def common_tokens(narrow: DataFrame, scratch: Scratch, size: int, text_col: str) -> np.ndarray:
+    """The bits of tokens (their highest FILTER_BITS binary places) that are common in a sample of the distinct texts.
+
+    This only orders tokens: a common one that is not found, or another one
+    with its bit, costs time and changes no result. At most FILTERED tokens go
+    in, the most common ones.
+    """
+    texts = narrow.where(F.pmod(F.xxhash64(text_col), F.lit(ORDER_SAMPLE)) == 0).where(F.col(text_col).isNotNull())
+    tokens = texts.select(text_col).distinct().mapInArrow(_sampled_tokens(text_col, size), "token long")
+    counted = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= ORDER_COMMON), "common")
+    least = ORDER_COMMON
+    while counted.where(F.col("times") >= least).count() > FILTERED:
+        least *= 2
+    bits = _filter_of(counted.where(F.col("times") >= least).select((F.shiftrightunsigned("token", TOKEN_SHIFT) + 1).alias("bit")))
+    scratch.drop("common")
+    return bits
+
+
+def in_order(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Sorted tokens as numbers in the global order: the common ones, whose highest bit is set, after the others."""
+    at = (tokens >> np.uint64(TOKEN_SHIFT)).astype(np.int64)
+    common = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    half = tokens >> np.uint64(1)
+    return np.concatenate([half[~common], half[common] | np.uint64(1 << 63)])
+
+
+def _scan(id_col: str, text_col: str, size: int, rule: Rule, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
@@ -87,7 +129,7 @@ def _scan(id_col: str, text_col: str, size: int, rule: Rule):
                         part.column(id_col).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets], pa.binary()),
-                        pa.array([s[: int(rule.kept(len(s)))].tobytes() for s in sets], pa.binary()),
+                        pa.array([in_order(s, common.value)[: int(rule.kept(len(s)))].tobytes() for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "n", "digest", "kept"],
                 )
@@ -95,18 +137,20 @@ def _scan(id_col: str, text_col: str, size: int, rule: Rule):
     return run
 
 
-#: Bits of the filter of documents whose whole sets are asked for, and the most documents that go into it.
+#: Bits of a filter (of documents whose whole sets are asked for, or of common tokens), and the most rows that go into it.
 FILTER_BITS, FILTERED = 1 << 26, 1 << 24
 BUCKET_BITS = 1 << 15
+#: A token without its places beyond the highest ones is its bit.
+TOKEN_SHIFT = 64 - (FILTER_BITS.bit_length() - 1)
 
 
 def _bit() -> F.Column:
     return F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1
 
 
-def _filter_of(docs: DataFrame) -> np.ndarray:
-    """The bits of ``docs`` (doc), FILTER_BITS / 8 bytes whatever their number."""
-    parts = docs.groupBy(F.bitmap_bucket_number(_bit()).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("bits"))
+def _filter_of(rows: DataFrame) -> np.ndarray:
+    """The bits of ``rows`` (bit, from 1), FILTER_BITS / 8 bytes whatever their number."""
+    parts = rows.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros((FILTER_BITS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
     for k, bits in parts.collect():
         out[k - 1] = np.frombuffer(bits, np.uint8)
@@ -138,7 +182,7 @@ def whole_sets(narrow: DataFrame, needed: DataFrame, size: int, text_col: str) -
     narrow = narrow.where("doc IS NOT NULL")
     if needed.count() > FILTERED:
         return narrow.join(needed, "doc", "left_semi").mapInArrow(_sets(size, text_col), "doc long, tokens binary")
-    bits_of = narrow.sparkSession.sparkContext.broadcast(_filter_of(needed))
+    bits_of = narrow.sparkSession.sparkContext.broadcast(_filter_of(needed.select(_bit().alias("bit"))))
     return narrow.withColumn("bit", _bit()).mapInArrow(_sets(size, text_col, bits_of), "doc long, tokens binary")
 
 
@@ -407,7 +451,8 @@ def shingle_components(
     while int(rule.least(short)) <= CLASSES:
         short += 1
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    scanned = scratch.write(narrow.mapInArrow(_scan(id_col, text_col, size, rule), "doc_id long, n long, digest binary, kept binary"), "scanned")
+    common = spark.sparkContext.broadcast(common_tokens(narrow, scratch, size, text_col))
+    scanned = scratch.write(narrow.mapInArrow(_scan(id_col, text_col, size, rule, common), "doc_id long, n long, digest binary, kept binary"), "scanned")
     total = scanned.agg(F.sum(F.octet_length("kept")) / 8).first()[0] or 0
     firsts = scanned.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "kept")).alias("s"))
     reps = scratch.write(firsts.select("digest", F.col("s.doc_id").alias("doc"), "s.n", "s.kept"), "reps")

@@ -257,6 +257,27 @@ def test_jaccard_sets_of_more_documents_than_the_filter_takes(spark, docs, monke
         shingle_components(spark, docs, percent=50)
 
 
+def test_jaccard_keeps_common_passages_out_of_the_prefixes(spark, monkeypatch):
+    """Texts of which more than half is common to all are found by their own words, with no combinations of common shingles."""
+    passage, rows = [f"passage{i}" for i in range(300)], []
+    for k in range(80):
+        own = [f"own{k}x{i}" for i in range(200)]
+        rows += [(2 * k, " ".join([*passage, *own])), (2 * k + 1, " ".join([*own[:195], *(f"end{k}y{i}" for i in range(5)), *passage]))]
+    rows += [(500 + k, " ".join([*passage, f"last{k}"])) for k in range(3)]  # hardly anything but common shingles
+    counts, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        counts[name] = (out := write(self, df, name)).count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_components(spark, docs, size=3, percent=90).collect()}
+    assert found == plain_components(rows, 3, 90)
+    assert found[159][1] == 158 and found[502][1] == 500
+    assert counts["around"] <= 3
+
+
 def test_jaccard_without_rows(spark, docs):
     assert shingle_components(spark, no_rows(docs)).count() == 0
 
