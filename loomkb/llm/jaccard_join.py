@@ -1,8 +1,9 @@
 """Similarity self-join on word shingles by token-combination prefixes.
 
 Tokens (64-bit shingle hashes) have one global order: those that a sample of the
-documents shows as common come last, each kind by hash. Any order gives the same
-links; this one keeps common tokens out of the prefixes. A document with n tokens
+documents shows as common come last, the most common ones at the very end, each
+kind by hash. Any order gives the same links; this one keeps common tokens out of
+the prefixes. A document with n tokens
 keeps its prefix of ``missing(n) + 1 + extra(n)`` tokens, where missing(n) is
 how many of its tokens a similar document may lack. Of two similar documents,
 the one whose prefix ends first shares at least ``shared(n)`` prefix tokens with
@@ -79,8 +80,10 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-#: One document of so many is counted for the order, and a token in so many of these is common.
-ORDER_SAMPLE, ORDER_COMMON = 16, 3
+#: One document of so many is counted for the order, and from so many of these on a token is of the next kind; three kinds at most.
+ORDER_SAMPLE, ORDER_KINDS = 16, (3, 12, 48)
+#: Highest places of a token's number in the order, which hold its kind.
+KIND_BITS = 2
 
 
 def _sampled_tokens(text_col: str, size: int):
@@ -94,7 +97,7 @@ def _sampled_tokens(text_col: str, size: int):
 
 
 def common_tokens(narrow: DataFrame, scratch: Scratch, size: int, text_col: str) -> np.ndarray:
-    """The bits of tokens (their highest FILTER_BITS binary places) that are common in a sample of the distinct texts.
+    """For each kind the bits of tokens (their highest binary places) that are so common in a sample of the distinct texts.
 
     This only orders tokens: a common one that is not found, or another one
     with its bit, costs time and changes no result. At most FILTERED tokens go
@@ -102,21 +105,24 @@ def common_tokens(narrow: DataFrame, scratch: Scratch, size: int, text_col: str)
     """
     texts = narrow.where(F.pmod(F.xxhash64(text_col), F.lit(ORDER_SAMPLE)) == 0).where(F.col(text_col).isNotNull())
     tokens = texts.select(text_col).distinct().mapInArrow(_sampled_tokens(text_col, size), "token long")
-    counted = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= ORDER_COMMON), "common")
-    least = ORDER_COMMON
-    while counted.where(F.col("times") >= least).count() > FILTERED:
-        least *= 2
-    bits = _filter_of(counted.where(F.col("times") >= least).select((F.shiftrightunsigned("token", TOKEN_SHIFT) + 1).alias("bit")))
+    counted = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= ORDER_KINDS[0]), "common")
+    scale = 1
+    while counted.where(F.col("times") >= scale * ORDER_KINDS[0]).count() > FILTERED:
+        scale *= 2
+    counted = counted.select("times", (F.shiftrightunsigned("token", TOKEN_SHIFT) + 1).alias("bit"))
+    bits = np.stack([_filter_of(counted.where(F.col("times") >= scale * least)) for least in ORDER_KINDS])
     scratch.drop("common")
     return bits
 
 
 def in_order(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Sorted tokens as numbers in the global order: the common ones, whose highest bit is set, after the others."""
+    """Sorted tokens as numbers in the global order, whose highest places are the kind; ``bits`` has a row for each kind but the first."""
     at = (tokens >> np.uint64(TOKEN_SHIFT)).astype(np.int64)
-    common = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    half = tokens >> np.uint64(1)
-    return np.concatenate([half[~common], half[common] | np.uint64(1 << 63)])
+    kind, within = np.zeros(len(tokens), np.uint64), np.arange(len(tokens))
+    for row in bits:
+        within = within[(row[at[within] >> 3] >> (at[within] & 7).astype(np.uint8) & 1).astype(bool)]
+        kind[within] += np.uint64(1)
+    return np.sort(tokens >> np.uint64(KIND_BITS) | kind << np.uint64(64 - KIND_BITS))
 
 
 def _scan(id_col: str, text_col: str, size: int, rule: Rule, common):
@@ -186,6 +192,21 @@ def whole_sets(narrow: DataFrame, needed: DataFrame, size: int, text_col: str) -
     return narrow.withColumn("bit", _bit()).mapInArrow(_sets(size, text_col, bits_of), "doc long, tokens binary")
 
 
+def _having(bits_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy() - 1
+            yield batch.filter(pa.array((bits_of.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select(["doc", "tokens"])
+
+    return run
+
+
+def only(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``sets`` (doc, tokens) of at least the documents ``docs`` (doc), so that a join does not move the others."""
+    bits_of = sets.sparkSession.sparkContext.broadcast(_filter_of(docs.select(_bit().alias("bit"))))
+    return sets.withColumn("bit", _bit()).mapInArrow(_having(bits_of), "doc long, tokens binary")
+
+
 def _postings(buckets: int, rare: int, most: int = 400_000):
     """Rows (bucket, known, tokens, docs, sizes, places) of a task's prefix tokens, sorted by token within a bucket.
 
@@ -495,12 +516,15 @@ def shingle_components(
 
     comp = lambda df, c, name: df.join(first.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     rest = comp(comp(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    more = scratch.write(_verify(rest, sets, rule), "more")
-    scratch.drop("pairs", "nearest")
+    rest = scratch.write(rest, "rest")
+    asked = only(sets, rest.select(F.col("a").alias("doc")).union(rest.select("b")))
+    more = scratch.write(_verify(rest, asked, rule), "more")
+    scratch.drop("pairs", "nearest", "rest")
     placed = scratch.write(comp(comp(around.select("pivot", "doc"), "doc", "comp"), "pivot", "main"), "placed")
     open_groups = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("pivot")
-    across = scratch.write(_cross(placed.join(open_groups, "pivot"), sets, rule), "across")
-    scratch.drop("around", "placed", "sets")
+    unlinked = scratch.write(placed.join(open_groups, "pivot"), "unlinked")
+    across = scratch.write(_cross(unlinked, only(sets, unlinked.select("doc")), rule), "across")
+    scratch.drop("around", "placed", "unlinked", "sets")
     final = connected_components(links.union(more).union(across), scratch, "cc2")
 
     named = classes.join(final, classes["doc"] == final["node"], "left").select("digest", F.coalesce("component", "doc").alias("component_id"))

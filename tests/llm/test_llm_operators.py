@@ -278,6 +278,16 @@ def test_jaccard_keeps_common_passages_out_of_the_prefixes(spark, monkeypatch):
     assert counts["around"] <= 3
 
 
+def test_jaccard_moves_only_the_sets_that_are_compared(spark):
+    """Of many whole sets, a join reads those of the documents asked for and hardly any other."""
+    from loomkb.llm.jaccard_join import only
+
+    sets = spark.range(2000).select(F.col("id").alias("doc"), F.lit(b"12345678").alias("tokens"))
+    found = {r["doc"] for r in only(sets, spark.range(0, 2000, 100).select(F.col("id").alias("doc"))).collect()}
+    assert set(range(0, 2000, 100)) <= found and len(found) < 25
+    assert only(sets, spark.range(0).select(F.col("id").alias("doc"))).count() == 0
+
+
 def test_jaccard_without_rows(spark, docs):
     assert shingle_components(spark, no_rows(docs)).count() == 0
 
